@@ -1,7 +1,7 @@
 """Every query of this package and the SQL that gives the same rows."""
 
-from . import jaccard, langid, lm, tokens
+from . import decontaminate, jaccard, langid, lines, lm, mixing, pages, quality, tokens, urls
 
-MODULES = [langid, jaccard, lm, tokens]
+MODULES = [decontaminate, lines, mixing, langid, jaccard, quality, lm, tokens, pages, urls]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: q for m in MODULES for k, q in m.ORACLE_SQL.items() if q}
