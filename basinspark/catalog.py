@@ -1,5 +1,8 @@
 """Every query of the library by name, with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans import metrics, timeseries
+
+ALL = [q for m in (metrics, timeseries) for q in m.QUERIES]
+QUERIES = {q.name: q.run for q in ALL}
+ORACLE_SQL = {q.name: s for q in ALL if (s := q.oracle())}
 FLAGSHIP = "skill_metrics"
