@@ -56,11 +56,11 @@ def pivotal(size: np.ndarray, p: np.ndarray, u: np.ndarray) -> np.ndarray:
     return out
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 17, fan_in: int = FAN_IN) -> DataFrame:
     """id, size, source_size, target, taken, copies of every row.
 
     size is the number of words. A source's documents are all wanted target / source_size times; the whole
-    part is given to each, the fraction is rounded: documents are dealt by a hash into lots of about FAN_IN of
+    part is given to each, the fraction is rounded: documents are dealt by a hash into lots of about `fan_in` of
     one source, each lot leaves one open fraction at most, and these meet in lots again until each source
     has one, which is drawn. So a source's words differ from its target by less than one document, however
     large it is. Draws are hashes of id and seed: reruns agree. A null or empty text has size 0 and is never
@@ -73,9 +73,12 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     want = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = rows.join(bounded_broadcast(targets.withColumnRenamed("source", "s"), n_sources, 20_000), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     rows = rows.withColumn("copies", F.floor(want + 1e-9)).withColumn("p", F.when(F.col("size") > 0, F.greatest(F.lit(0.0), want - F.col("copies"))).otherwise(0.0))
-    rows = rows.withColumn("lot", F.pmod(F.xxhash64("id", F.lit(seed)), F.ceil(F.col("n_docs") / FAN_IN)))
+    rows = rows.withColumn("lot", F.pmod(F.xxhash64("id", F.lit(seed)), F.ceil(F.col("n_docs") / fan_in)))
     schema = rows.schema
 
+    def round_lots(level: int):
+        return lambda items: round_lot(items, level)
+
     def round_lot(items: pd.DataFrame, level: int) -> pd.DataFrame:
         order = pd.util.hash_array(items["id"].astype(str).to_numpy(object), hash_key=f"{seed % 10**6:06d}{level:010d}")
         at = np.lexsort((items["size"].to_numpy(), order))
@@ -85,13 +88,13 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return items.assign(copies=items["copies"] + one, p=np.where(one, 0.0, q))
 
     done, level = [], 0
-    lots = targets.agg(F.max(F.ceil(F.col("n_docs") / FAN_IN))).first()[0] or 1
-    rows = stored(rows.groupBy("source", "lot").applyInPandas(lambda x: round_lot(x, 0), schema))
+    lots = targets.agg(F.max(F.ceil(F.col("n_docs") / fan_in))).first()[0] or 1
+    rows = stored(rows.groupBy("source", "lot").applyInPandas(round_lots(0), schema))
     while lots > 1:
-        level, lots = level + 1, -(-lots // FAN_IN)
+        level, lots = level + 1, -(-lots // fan_in)
         done.append(rows.where("p = 0"))
-        left = rows.where("p > 0").withColumn("lot", F.floor(F.col("lot") / FAN_IN))
-        rows = stored(left.groupBy("source", "lot").applyInPandas(lambda x, n=level: round_lot(x, n), schema))
+        left = rows.where("p > 0").withColumn("lot", F.floor(F.col("lot") / fan_in))
+        rows = stored(left.groupBy("source", "lot").applyInPandas(round_lots(level), schema))
     draw = F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(1 << 30)) / (1 << 30)
     rows = rows.withColumn("copies", F.col("copies") + F.when(draw < F.col("p"), 1).otherwise(0))
     for d in done:
