@@ -203,3 +203,20 @@ def elbow(df: DataFrame, threshold: str, drop: str) -> DataFrame:
     return d.where("_c IS NOT NULL").agg(F.max(F.struct("_c", (-F.col("_t")).alias("k"), "_n"))["_n"].alias("threshold"))
 
 
+
+
+def lithology(df: DataFrame, keys: list[str], kind: str, area: str) -> DataFrame:
+    """Share of area of each cleaned type, blanks left out, with the dominant type and Shannon diversity."""
+    from ..functions.columns import clean_name
+
+    d = df.where(F.trim(F.col(kind)) != "").groupBy(*keys, clean_name(F.col(kind)).alias("kind")).agg(F.sum(area).alias("_a"))
+    w = W.partitionBy(*keys)
+    d = d.withColumn("fraction", F.col("_a") / F.sum("_a").over(w))
+    return d.withColumn("dominant", F.first("kind").over(w.orderBy(F.col("_a").desc(), "kind").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).withColumn("shannon", -F.sum(F.col("fraction") * F.log("fraction")).over(w)).drop("_a")
+
+
+def class_pairs(df: DataFrame, keys: list[str], land: str, soil: str, fraction: str, least: float) -> DataFrame:
+    """Land shares above `least` with the unit's soil: an id for each pair of classes, shares made to sum to 1 again."""
+    d = df.where(F.col(fraction) > least)
+    ids = d.select(land, soil).distinct().withColumn("slc", F.row_number().over(W.orderBy(land, soil)))
+    return d.join(ids, [land, soil]).withColumn(fraction, F.col(fraction) / F.sum(fraction).over(W.partitionBy(*keys)))

@@ -326,3 +326,12 @@ def override_forcing(base: DataFrame, supp: DataFrame, keys: list[str], ts: str,
     """Base values replaced by the second source's, interpolated at the base times, where that has any."""
     s = interp_join(base.select(*keys, ts), supp, keys, ts, col).withColumnRenamed(col, "_s")
     return base.join(s, [*keys, ts], "left").withColumn(col, F.coalesce("_s", col)).drop("_s")
+
+
+def to_naive_local(ts: Column, zone: str) -> Column:
+    """UTC wall time to the zone's wall time, without a zone."""
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), ts.cast("timestamp_ntz"))
+
+
+def to_naive_utc(ts: Column, zone: str) -> Column:
+    return F.convert_timezone(F.lit(zone), F.lit("UTC"), ts.cast("timestamp_ntz"))
