@@ -34,33 +34,40 @@ def _over(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
 
 
-O, S = F.col("obs"), F.col("sim")
+def _pair() -> tuple[Column, Column]:
+    return F.col("obs"), F.col("sim")
 
 
 def nse() -> Column:
+    O, S = _pair()
     return (1 - _over(F.sum((S - O) ** 2), F.var_pop(O) * F.count(O))).alias("nse")
 
 
 def nse_simref() -> Column:
     """The denominator is about the mean of the simulation."""
+    O, S = _pair()
     about = F.sum(O * O) - 2 * F.avg(S) * F.sum(O) + F.count(O) * F.avg(S) ** 2
     return (1 - _over(F.sum((S - O) ** 2), about)).alias("nse_simref")
 
 
 def kge() -> Column:
+    O, S = _pair()
     return (1 - F.sqrt((F.corr(S, O) - 1) ** 2 + (_over(F.stddev_samp(S), F.stddev_samp(O)) - 1) ** 2 + (_over(F.avg(S), F.avg(O)) - 1) ** 2)).alias("kge")
 
 
 def kge_prime() -> Column:
+    O, S = _pair()
     cv = lambda c: _over(F.stddev_samp(c), F.avg(c))
     return (1 - F.sqrt((F.corr(S, O) - 1) ** 2 + (_over(cv(S), cv(O)) - 1) ** 2 + (_over(F.avg(S), F.avg(O)) - 1) ** 2)).alias("kge_prime")
 
 
 def errors() -> list[Column]:
+    O, S = _pair()
     return [F.sqrt(F.avg((S - O) ** 2)).alias("rmse"), F.avg((S - O) ** 2).alias("mse"), F.avg(F.abs(S - O)).alias("mae")]
 
 
 def bias_suite() -> list[Column]:
+    O, S = _pair()
     return [
         (100 * _over(F.sum(S) - F.sum(O), F.sum(O))).alias("pbias"), (F.avg(S) - F.avg(O)).alias("bias"), (100 * (F.avg(S) - F.avg(O)) / (F.avg(O) + 1e-9)).alias("bias_pct"),
         F.corr(S, O).alias("r"), _over(F.stddev_samp(S), F.stddev_samp(O)).alias("alpha"), _over(F.avg(S), F.avg(O)).alias("beta"),
@@ -87,6 +94,7 @@ def average_rank(col: str, keys: list[str]) -> Column:
 
 def kge_np(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Non-parametric KGE: flow-duration variability, mean ratio and Spearman correlation."""
+    O, S = _pair()
     all_ = W.partitionBy(*keys)
     p = pairs.withColumn("_ro", average_rank("obs", keys)).withColumn("_rs", average_rank("sim", keys))
     rank = p.groupBy(*keys).agg(F.corr("_ro", "_rs").alias("_r"), _over(F.avg(S), F.avg(O)).alias("_b"))
@@ -96,6 +104,7 @@ def kge_np(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def contingency(pairs: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame:
+    O, S = _pair()
     o, s = O > threshold, S > threshold
     n = lambda c: F.count_if(c)
     hit, miss, false, none = n(o & s), n(o & ~s), n(~o & s), n(~o & ~s)
@@ -113,12 +122,14 @@ def peak_error(pairs: DataFrame, keys: list[str], ts: str) -> DataFrame:
 
 def conditional_bias(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Mean simulated less observed, in percent of observed, where flow is high (q90), low (q10), wet or dry (median)."""
+    O, S = _pair()
     q = pairs.groupBy(*keys).agg(F.percentile("obs", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("_q"))
     part = lambda c: 100 * _over(F.avg(F.when(c, S - O)), F.avg(F.when(c, O)))
     return pairs.join(q, keys).groupBy(*keys).agg(part(O >= F.col("_q")[2]).alias("high_bias"), part(O <= F.col("_q")[0]).alias("low_bias"), part(O >= F.col("_q")[1]).alias("wet_bias"), part(O < F.col("_q")[1]).alias("dry_bias"))
 
 
 def range_metrics(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    O, S = _pair()
     ratio = _over(F.max(S) - F.min(S), F.max(O) - F.min(O))
     return pairs.groupBy(*keys).agg(ratio.alias("range_ratio"), ((ratio - 1) * 100).alias("range_bias"))
 
