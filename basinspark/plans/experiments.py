@@ -13,7 +13,7 @@ RR = f"{CAL}, rr AS (SELECT basin, sum(q)/sum(p) AS rr FROM c WHERE cal GROUP BY
 NAMES = ["bm_mean", "bm_median", "bm_annual_mean", "bm_monthly_mean", "bm_daily_mean", "bm_monthly_median"]
 BM = f"""{CAL}, a AS (SELECT basin, avg(q) AS bm_mean, median(q) AS bm_median FROM c WHERE cal GROUP BY 1), yy AS (SELECT basin, year(d) AS k, avg(q) AS bm_annual_mean FROM c WHERE cal GROUP BY 1, 2), mm AS (SELECT basin, month(d) AS k, avg(q) AS bm_monthly_mean, median(q) AS bm_monthly_median FROM c WHERE cal GROUP BY 1, 2), dd AS (SELECT basin, dayofyear(d) AS k, avg(q) AS bm_daily_mean FROM c WHERE cal GROUP BY 1, 2),
 f AS (SELECT c.*, bm_mean, bm_median, bm_annual_mean, bm_monthly_mean, bm_daily_mean, bm_monthly_median FROM c LEFT JOIN a ON a.basin=c.basin LEFT JOIN yy ON yy.basin=c.basin AND yy.k=year(d) LEFT JOIN mm ON mm.basin=c.basin AND mm.k=month(d) LEFT JOIN dd ON dd.basin=c.basin AND dd.k=dayofyear(d))"""
-LONG = "u AS (" + " UNION ALL ".join(f"SELECT basin, cal, '{n}' AS benchmark, q AS obs, {n} AS sim FROM f WHERE {n} IS NOT NULL" for n in NAMES) + "), sc AS (SELECT basin, benchmark, cal, count(*) AS n, sqrt(avg(pow(sim-obs,2))) AS rmse, 1-sum(pow(sim-obs,2))/(var_pop(obs)*count(*)) AS nse FROM u GROUP BY 1, 2, 3)"
+LONG = "u AS (" + " UNION ALL ".join(f"SELECT basin, cal, '{n}' AS benchmark, q AS obs, {n} AS sim FROM f WHERE {n} IS NOT NULL" for n in NAMES) + "), sc AS (SELECT basin, benchmark, cal, count(*) AS n, sqrt(avg(pow(sim-obs,2))) AS rmse, 1-sum(pow(sim-obs,2))/nullif(var_pop(obs)*count(*), 0) AS nse FROM u GROUP BY 1, 2, 3)"
 P3 = "(SELECT 'p1' AS parameter, p1 AS v, score AS s, l_orderkey, l_linenumber FROM samples UNION ALL SELECT 'p2', p2, score, l_orderkey, l_linenumber FROM samples UNION ALL SELECT 'p3', p3, score, l_orderkey, l_linenumber FROM samples)"
 RANK = "rank() OVER (PARTITION BY parameter ORDER BY {c}) + (count(*) OVER (PARTITION BY parameter, {c}) - 1)/2.0"
 CUM = "list_transform(range(1, len(a)+1), lambda i: list_sum(a[1:i]))"
