@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import bounded_broadcast, stored, table
 
 SYMBOLS, BLANKS = "#*$%&|<>", "\t\n\x0b\x0c\r "
 LEAST_ROWS = 50  # of a group that gets its own estimate
@@ -100,15 +100,16 @@ def robust_estimates(rows: DataFrame, steps: int = 3) -> DataFrame:
     the 0.975 quantile. All are grouped sums and quantile sketches: a group of any size is pre-aggregated.
     """
     n = range(len(FEATURES))
-    mid = rows.groupBy("key").agg(*[F.percentile_approx(f, 0.5, 1000).alias(f"m_{i}") for i, f in enumerate(FEATURES)])
-    off = rows.join(mid, "key").groupBy("key").agg(*[F.percentile_approx(F.abs(F.col(f) - F.col(f"m_{i}")), 0.5, 1000).alias(f"d_{i}") for i, f in enumerate(FEATURES)])
+    mid = stored(rows.groupBy("key").agg(*[F.percentile_approx(f, 0.5, 1000).alias(f"m_{i}") for i, f in enumerate(FEATURES)]))
+    off = rows.join(bounded_broadcast(mid, mid.count(), 20_000), "key").groupBy("key").agg(*[F.percentile_approx(F.abs(F.col(f) - F.col(f"m_{i}")), 0.5, 1000).alias(f"d_{i}") for i, f in enumerate(FEATURES)])
     now = mid.join(off, "key").select("key", *[f"m_{i}" for i in n], *[(F.sqrt((1.4826 * F.col(f"d_{i}")) ** 2 + FLOORS[i] ** 2) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i in n for j in range(i + 1)])
     now = stored(now)
+    groups = now.count()  # rows of a hot group stay where they are while groups are few; only sketches and sums move
     for _ in range(steps):
-        near = rows.join(now, "key").withColumn("d2", _distance())
-        edge = near.groupBy("key").agg(F.percentile_approx("d2", KEPT_SHARE, 1000).alias("edge"))
-        now = stored(_factor(_moments(near.join(edge, "key").where("d2 <= edge")), SCALE))
-    return stored(_factor(_moments(rows.join(now, "key").where(_distance() <= 12.83)), 1.0))
+        near = rows.join(bounded_broadcast(now, groups, 20_000), "key").withColumn("d2", _distance())
+        edge = stored(near.groupBy("key").agg(F.percentile_approx("d2", KEPT_SHARE, 1000).alias("edge")))
+        now = stored(_factor(_moments(near.join(bounded_broadcast(edge, groups, 20_000), "key").where("d2 <= edge")), SCALE))
+    return stored(_factor(_moments(rows.join(bounded_broadcast(now, groups, 20_000), "key").where(_distance() <= 12.83)), 1.0))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -133,7 +134,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = stored(rows)
     enough = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_ROWS).select("key")
     est = robust_estimates(rows.join(enough, "key", "left_semi"))
-    judged = rows.join(est, "key", "left").withColumn("distance", F.sqrt(_distance()))
+    judged = rows.join(bounded_broadcast(est, est.count(), 20_000), "key", "left").withColumn("distance", F.sqrt(_distance()))
     both = judged.unionByName(s.where("base_failed"), allowMissingColumns=True)
     out = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     return both.select(F.col("id").alias(names["id"]), *out, (~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF**0.5, F.lit(True))).alias("kept"), "distance")
