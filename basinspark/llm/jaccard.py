@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from .common import Words, bounded_broadcast, chunks, mix, packed_reduce, stored, table, unpack_columns, shard_of
 from .components import components
 
-SIG = np.dtype([("sig", "u8"), ("id", "u8"), ("band", "u1"), ("need", "u2")])
+SIG = np.dtype([("sig", "u8"), ("id", "u8"), ("band", "u2"), ("need", "u2")])
+EVERY = 1 << 15  # added to the band of signatures that count empty parts too
 BLOCK = 32  # pivots of one signature that are compared at once
 LOCAL = 64  # a task's members of one signature that meet in one place; more are dealt out
 
@@ -38,8 +39,10 @@ def signatures(s: np.ndarray, t: Fraction, edges: list[int]) -> np.ndarray:
 
     Sets of those bands that reach similarity t differ in at most k features. The features are dealt by hash
     into k + 1 + spare parts, of which at least 1 + spare agree whole; a part's features give one signature
-    (subsets of one part). Empty parts agree with every other empty part, so they are left out where the set
-    has no more than `spare` of them: then `need`, at least 1 + spare less the empty parts, non-empty ones agree.
+    (subsets of one part). Empty parts agree with every other empty part, so they are left out: `need`, at least
+    1 + spare less the set's empty parts, non-empty ones agree. A set with more than `spare` empty parts can
+    count on one only, and on that if its partner has fewer; among themselves such sets meet by all parts, empty
+    ones too, under band EVERY + band, where 1 + spare agree.
     """
     n = len(s)
     band = int(np.searchsorted(edges, n, side="right")) - 1
@@ -58,14 +61,16 @@ def signatures(s: np.ndarray, t: Fraction, edges: list[int]) -> np.ndarray:
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         sums, full = np.add.reduceat(h, first), at[first]
         need = 1 + spare - (parts - len(full))
+        kinds = [(low, sums, full, max(need, 1))]
         if need < 1:
             every = np.zeros(parts, np.uint64)
             every[full] = sums
-            sums, full, need = every, np.arange(parts), 1 + spare
-        r = np.empty(len(full), SIG)
-        r["sig"] = mix(mix(sums) + full.astype(np.uint64) + np.uint64(low << 40))
-        r["band"], r["need"] = low, min(need, 65535)
-        out.append(r)
+            kinds.append((EVERY + low, every, np.arange(parts), 1 + spare))
+        for kind, sums, full, need in kinds:
+            r = np.empty(len(full), SIG)
+            r["sig"] = mix(mix(sums) + full.astype(np.uint64) + np.uint64(kind << 40))
+            r["band"], r["need"] = kind, min(need, 65535)
+            out.append(r)
     return np.concatenate(out)
 
 
@@ -150,7 +155,7 @@ def similar_members(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
 def pruned_members(members: DataFrame) -> DataFrame:
     """(sig, digest): members without those that no link can need.
 
-    A set that has a partner shares `need` of its signatures of that band with it, so that it has as many that
+    Partners share, in one band at least, the greater of their `need`s there, so that each has as many that
     any other set has; sets with fewer are left out, which leaves some signatures to one set alone: twice over.
     Of the rest a set's signatures are put in order, rarest first; `need - 1` at the end can go, as a
     partner shares one of those before them.

@@ -171,6 +171,25 @@ def test_signatures_lose_no_link():
                 assert any(best), (n, len(b), both)
 
 
+@pytest.mark.parametrize(("t", "n"), [(Fraction(4, 5), 4), (Fraction(17, 20), 6)])
+def test_pruning_keeps_mixed_pairs(spark, t, n):
+    """Sets with too many empty parts against the same and one shingle more: each pair alone, whatever the hash deals."""
+    r, rows, want = np.random.default_rng(8), [], 0
+    edges = jaccard.size_bands(t, 1 << 20)
+    for pair in range(1500):
+        b = r.integers(0, 1 << 63, n + 1).astype(np.uint64)
+        both = [jaccard.signatures(np.sort(s), t, edges) for s in (b[:n], b)]
+        mixed = len({x["band"].max() >= 1 << 15 for x in both}) > 1
+        want += mixed
+        for i, x in enumerate(both):
+            rows += [(pair, *v) for v in zip(x["sig"].view(np.int64).tolist(), [2 * pair + i] * len(x), x["band"].tolist(), x["need"].tolist(), strict=True)]
+    d = spark.createDataFrame(rows, "pair int, sig long, digest long, band int, need int").withColumn("sig", F.xxhash64("pair", "sig"))
+    shared = d.groupBy("sig").agg(F.count_distinct("digest").alias("_n")).where("_n > 1").select("sig")
+    left = jaccard.pruned_members(d.drop("pair").join(shared, "sig"))
+    met = left.join(left.selectExpr("sig", "digest AS other"), "sig").where("digest + 1 = other AND digest % 2 = 0").select("digest").distinct().count()
+    assert met == 1500 and want > 0
+
+
 def test_jaccard_against_sql(same):
     same(jaccard, "op5_jaccard_join")
 
