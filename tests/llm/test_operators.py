@@ -93,6 +93,37 @@ def test_lines_odd(spark, odd, none):
     assert [r.text for r in lines.dedup_lines(d).orderBy("doc_id").collect()] == ["a common line here\nnext is a line\n\nlast", "own words are new", ""]
 
 
+def test_long_lines_against_brute_force(spark):
+    """Edits grow with the line: every pair within one for 20 characters is found, at every length, and no other."""
+    r, all_lines = random.Random(4), []
+    for n in (*range(57, 90), 99, 160, 161, 320, 1100):
+        a = "".join(r.choice("abcdefgh é") for _ in range(n))
+        for edits in (n // 20 - 1, n // 20, n // 20 + 1):
+            b = list(a)
+            for j in range(edits):
+                i = (j * n) // edits + r.randrange(n // edits // 2)
+                b[i] = r.choice(["", b[i] + "Z", "Z"])
+            all_lines.append("".join(b))
+        all_lines.append(a)
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(all_lines)], "h long, line string")
+    got = {(min(x), max(x)) for x in lines.long_near_pairs(d, 20).collect()}
+    want = set()
+    for i, a in enumerate(all_lines):
+        for j, b in enumerate(all_lines[i + 1 :], i + 1):
+            n = min(len(a), len(b))
+            if i // 4 == j // 4 and n >= 60 and distance(a, b) <= n // 20:
+                want.add((i, j))
+    assert got == want and len(want) > 60
+
+
+def test_pipeline_drops_long_near_lines(spark, sf):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    a = "It was a long line of many words that somebody copied with some words changed, as happens often on pages that copy each other by hand."
+    d = spark.createDataFrame([(1, a, len(a)), (2, a.replace("many", "most").replace("hand", "hard"), len(a)), (3, "quite another line of words", 27)], "doc_id long, text string, n_chars long")
+    assert distance(a, a.replace("many", "most").replace("hand", "hard")) > lines.MAX_EDITS
+    assert sorted(r.doc_id for r in pipeline.line_stage(spark, d, sf).collect()) == [1, 3]
+
+
 # 3: mixing
 
 
