@@ -130,21 +130,22 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
 
 
 def nearest_urls(urls: DataFrame) -> DataFrame:
-    """(host, path, partner): for each of the distinct rows (host, path, rep) the rep of the URL before or after
-    it, in the order of host and path, that is of its host and shares the longer path with it; null if alone.
+    """(host, path, url, partner): for each of the distinct rows (host, path, url, rep) the rep of the URL before or
+    after it, in the order of host, path and URL, that is of its host and shares the longer path with it; no row
+    if alone. URLs of one path, which differ in the query, are nearest to each other.
 
     The order is one range-partitioned sort with an index over all rows, so that a host of any size is
     spread; neighbours meet by equal index.
     """
     spark = urls.sparkSession
-    order = stored(urls.select("host", "path", "rep").sort("host", "path"))
-    rows = order.sort("host", "path").rdd.zipWithIndex().map(lambda x: (x[1], x[0][0], x[0][1], x[0][2]))
-    rows = stored(spark.createDataFrame(rows, "i long, host string, path string, rep long"))
+    order = stored(urls.select("host", "path", "url", "rep").sort("host", "path", "url"))
+    rows = order.sort("host", "path", "url").rdd.zipWithIndex().map(lambda x: (x[1], *x[0]))
+    rows = stored(spark.createDataFrame(rows, "i long, host string, path string, url string, rep long"))
     side = lambda d: rows.select((F.col("i") + d).alias("i"), F.col("host").alias("h"), F.col("path").alias("p"), F.col("rep").alias("r"))
     both = side(1).withColumn("after", F.lit(0)).unionByName(side(-1).withColumn("after", F.lit(1)))
     near = rows.join(both, "i").where("host = h")
     shared = F.coalesce(F.aggregate(F.sequence(F.lit(1), F.least(F.length("path"), F.length("p"))), F.lit(0), lambda a, k: F.when((a == k - 1) & (F.substring(F.col("path"), k, F.lit(1)) == F.substring(F.col("p"), k, F.lit(1))), k).otherwise(a)), F.lit(0))
-    best = near.withColumn("s", F.when((F.length("path") > 0) & (F.length("p") > 0), shared).otherwise(0)).groupBy("host", "path").agg(F.max(F.struct("s", (-F.col("after")).alias("before"), "r"))["r"].alias("partner"))
+    best = near.withColumn("s", F.when((F.length("path") > 0) & (F.length("p") > 0), shared).otherwise(0)).groupBy("host", "path", "url").agg(F.max(F.struct("s", (-F.col("after")).alias("before"), "r"))["r"].alias("partner"))
     return best
 
 
@@ -155,18 +156,20 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     the longest common subsequence of the two, are taken out, unless the page marks them as its article
     (article, main or elements so named) or all its lines are shared (then the other is a copy). Lines
     that the markup calls menus, headers, footers, sidebars, notices, adverts, forms or comments are never
-    text; where a page marks an article, nothing outside it is. A page alone on its host, or without a host,
-    has no partner. A null html is empty; repeated rows stay; other columns are not carried.
+    text; where a page marks an article, nothing outside it is. Pages of one URL are versions of one page, and equal
+    texts of one path are one: neither are partners. A page alone on its host, or without a host, has no partner. A null html is empty; repeated rows stay; other columns are not carried.
     """
     key = F.xxhash64(F.col(id_col), F.col(url_col), F.col(html_col))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), key.alias("key"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
 
     def hashes(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "host", "path")), pa.array([line_hashes(page_lines(h)) for h in b.column("html").to_pylist()], pa.binary())], ["key", "host", "path", "lines"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "host", "path", "url")), pa.array([line_hashes(page_lines(h)) for h in b.column("html").to_pylist()], pa.binary())], ["key", "host", "path", "url", "lines"])
 
-    lines = stored(rows.where("host <> ''").select("key", "host", "path", "html").mapInArrow(hashes, "key long, host string, path string, lines binary").dropDuplicates(["key"]))
-    near = nearest_urls(lines.groupBy("host", "path").agg(F.min("key").alias("rep")))
+    lines = stored(rows.where("host <> ''").select("key", "host", "path", "url", "html").mapInArrow(hashes, "key long, host string, path string, url string, lines binary").dropDuplicates(["key"]))
+    named = lines.where(F.length("lines") > 0).select("key", "host", "path", "url", F.xxhash64("host", "path", "lines").alias("same"))
+    texts = stored(named.groupBy("host", "path", "same").agg(F.min("url").alias("url"), F.min("key").alias("rep")))
+    near = nearest_urls(texts.groupBy("host", "path", "url").agg(F.min("rep").alias("rep")))
 
     def shared(batches):
         for b in batches:
@@ -177,8 +180,10 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 got.append([] if len(c) == len(x) else c)
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(got, pa.list_(pa.int32()))], ["key", "gone"])
 
-    pairs = lines.join(near, ["host", "path"]).select("key", "lines", "partner").join(lines.select(F.col("key").alias("partner"), F.col("lines").alias("other")), "partner")
-    gone = pairs.select("key", "lines", "other").mapInArrow(shared, "key long, gone array<int>").where("size(gone) > 0")
+    pairs = texts.join(near, ["host", "path", "url"]).select(F.col("rep").alias("key"), "same", "partner")
+    pairs = pairs.join(lines.select("key", "lines"), "key").select(F.col("same").alias("key"), "lines", "partner").join(lines.select(F.col("key").alias("partner"), F.col("lines").alias("other")), "partner")
+    gone = pairs.select("key", "lines", "other").mapInArrow(shared, "key long, gone array<int>").where("size(gone) > 0").withColumnRenamed("key", "same")
+    gone = named.select("key", "same").join(gone, "same").select("key", "gone")
 
     def text(batches):
         for b in batches:

@@ -379,6 +379,15 @@ def test_pages(spark):
     assert got == {1: "First own text & more\nsecond", 2: "Other text", 3: "T\nb", 4: "", 5: "alone", 6: ""}
 
 
+def test_pages_of_one_path(spark):
+    """Pages that differ in the query are each other's partners; versions of one URL, copies and empty pages are not."""
+    page = lambda x: f"<p>Menu of the house</p><p>{x}</p><p>All rights kept</p>"
+    rows = [(1, "http://q.x/article?id=1", page("one")), (2, "http://q.x/article?id=2", page("two")), (3, "http://q.x/article?id=3", page("three")), (4, "http://q.x/article?id=4", page("three")), (5, "http://q.x/article?id=2", None), (6, "http://v.x/a", page("old")), (7, "http://v.x/a", page("new"))]
+    got = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    whole = "Menu of the house\n{}\nAll rights kept"
+    assert got == {1: "one", 2: "two", 3: "three", 4: "three", 5: "", 6: whole.format("old"), 7: whole.format("new")}
+
+
 def test_pages_empty(spark):
     d = spark.createDataFrame([], "page_id long, url string, html string")
     assert pages.main_text(d).count() == 0
