@@ -34,7 +34,16 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Deletes the tables of frames that `stored` gave and that no later result reads."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bounded_broadcast(df: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
@@ -205,17 +214,18 @@ def packed_pieces(at: np.ndarray, records: np.ndarray, shards: int) -> pa.Record
     return pa.RecordBatch.from_pydict({"shard": pa.array(full, pa.int32()), "data": pa.array([pack_columns(records[cut[i] : cut[i + 1]]) for i in full], pa.binary())})
 
 
-def packed_reduce(df: DataFrame, pack: Callable, merge: Callable, schema: str, shards: int) -> DataFrame:
+def packed_reduce(df: DataFrame, pack: Callable, merge: Callable, schema: str, shards: int, numbers: int = 0) -> DataFrame:
     """Shuffles packed arrays instead of one Spark row for each record.
 
-    pack(batches) yields (shard of each record, records); the records of one shard become one row.
+    pack(batches) yields (shard of each record, records); the records of one shard become one row. Shards are
+    numbered below `numbers`, which is `shards` if not given.
     merge(shard, records' bytes) yields Arrow batches of `schema`, one at least. pack sums a key's records beforehand, so
     that a hot key brings one record from each task.
     """
 
     def out(batches):
         for at, records in pack(batches):
-            yield packed_pieces(at, records, shards)
+            yield packed_pieces(at, records, numbers or shards)
 
     def one(key, rows):
         return pa.Table.from_batches(merge(key[0].as_py(), rows.column("data").to_pylist()))

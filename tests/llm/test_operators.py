@@ -185,40 +185,69 @@ def test_language_odd(odd, none):
 # 5: n-gram Jaccard join
 
 
-def test_signatures_lose_no_link():
-    t, r = Fraction(17, 20), np.random.default_rng(5)
-    edges = jaccard.size_bands(t, 1 << 20)
-    for n in (*range(1, 40), 60, 100, 250, 700):
-        for _ in range(20):
+@pytest.mark.parametrize("t", [Fraction(17, 20), Fraction(4, 5)])
+def test_signatures_lose_no_link(t):
+    """Every pair at the threshold or above shares a signature, each pair alone, at many sizes; sketches turn none down."""
+    r, sets = np.random.default_rng(5), []
+    for n in (*range(2, 40), 60, 100, 250, 700):
+        for _ in range(60):
             a = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
-            gone = int(r.integers(0, max(1, int(n * 0.15)) + 1))
-            new = r.integers(0, 1 << 63, int(r.integers(0, max(1, int(n * 0.1)) + 1))).astype(np.uint64)
-            b = np.unique(np.concatenate([a[gone:], new]))
-            both = len(np.intersect1d(a, b))
-            if len(b) and 20 * both >= 17 * (len(a) + len(b) - both):
-                x, y = jaccard.signatures(a, t, edges), jaccard.signatures(b, t, edges)
-                shared = np.isin(x["sig"], y["sig"])
-                best = [(shared & (x["band"] == k)).sum() >= max(x["need"][x["band"] == k].max(), 1) for k in np.unique(x["band"]) if k in y["band"]]
-                assert any(best), (n, len(b), both)
-
-
-@pytest.mark.parametrize(("t", "n"), [(Fraction(4, 5), 4), (Fraction(17, 20), 6)])
-def test_pruning_keeps_mixed_pairs(spark, t, n):
-    """Sets with too many empty parts against the same and one shingle more: each pair alone, whatever the hash deals."""
-    r, rows, want = np.random.default_rng(8), [], 0
-    edges = jaccard.size_bands(t, 1 << 20)
-    for pair in range(1500):
-        b = r.integers(0, 1 << 63, n + 1).astype(np.uint64)
-        both = [jaccard.signatures(np.sort(s), t, edges) for s in (b[:n], b)]
-        mixed = len({x["band"].max() >= 1 << 15 for x in both}) > 1
-        want += mixed
-        for i, x in enumerate(both):
-            rows += [(pair, *v) for v in zip(x["sig"].view(np.int64).tolist(), [2 * pair + i] * len(x), x["band"].tolist(), x["need"].tolist(), strict=True)]
-    d = spark.createDataFrame(rows, "pair int, sig long, digest long, band int, need int").withColumn("sig", F.xxhash64("pair", "sig"))
-    shared = d.groupBy("sig").agg(F.count_distinct("digest").alias("_n")).where("_n > 1").select("sig")
-    left = jaccard.pruned_members(d.drop("pair").join(shared, "sig"))
-    met = left.join(left.selectExpr("sig", "digest AS other"), "sig").where("digest + 1 = other AND digest % 2 = 0").select("digest").distinct().count()
-    assert met == 1500 and want > 0
+            most = int(len(a) * (1 - t) / (1 + t)) + 1
+            gone = int(r.integers(0, most + 1))
+            new = r.integers(0, 1 << 63, int(r.integers(0, most + 1))).astype(np.uint64)
+            sets.append((a, np.unique(np.concatenate([a[gone:], new]))))
+    flat = [x for p in sets for x in p]
+    size = np.array([len(x) for x in flat])
+    whose, sig = jaccard.signatures(np.concatenate(flat), size, t)
+    sketch, of, n_similar = jaccard.sketches(np.concatenate(flat), size), defaultdict(set), 0
+    for w, x in zip(whose.tolist(), sig.tolist(), strict=True):
+        of[w].add(x)
+    for i, (a, b) in enumerate(sets):
+        both = len(np.intersect1d(a, b))
+        if len(b) and t.denominator * both >= t.numerator * (len(a) + len(b) - both) and both < max(len(a), len(b)):
+            n_similar += 1
+            assert of[2 * i] & of[2 * i + 1], (len(a), len(b), both)
+            u, v = (jaccard.folded([sketch[2 * i + j]], min(len(sketch[2 * i]), len(sketch[2 * i + 1]))) for j in (0, 1))
+            assert jaccard.may_link(np.array([len(a)]), np.array([len(b)]), np.bitwise_count(u ^ v).sum(1, dtype=np.int64), t).all()
+    assert n_similar > 500
+
+
+@pytest.mark.parametrize(("words", "t", "block"), [(1, "4/5", 3), (1, "17/20", 512)])
+def test_components_against_brute_force(spark, monkeypatch, words, t, block):
+    """A chain of sets each similar to the next only, sets about one core that are just not similar, copies, ids that are null or repeated."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    r, t_, rows = random.Random(6), Fraction(t), []
+    chain = [f"w{i}" for i in range(300)]
+    rows += [(i, " ".join(chain[4 * i : 4 * i + 60])) for i in range(40)]
+    core = [f"c{i}" for i in range(40)]
+    rows += [(100 + i, " ".join(core + [f"x{r.randint(0, 60)}" for _ in range(r.randint(0, 14))])) for i in range(80)]
+    rows += [(300, rows[5][1]), (None, rows[7][1]), (None, "alone here"), (300, rows[100][1]), (301, rows[100][1])]
+    sets = [frozenset(x.split()) for _, x in rows]
+    up = list(range(len(rows)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) * t_.denominator >= len(a | sets[j]) * t_.numerator:
+                up[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(least.get(find(i), d), d)
+    want = Counter((d, len(sets[i]), least.get(find(i))) for i, (d, _) in enumerate(rows))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((x.doc_id, x.n_shingles, x.component_id) for x in jaccard.jaccard_components(d, words=words, similarity=t).collect())
+    assert got == want and len(set(least.values())) < len(rows) - 20
+
+
+def test_jaccard_takes_any_id(spark):
+    d = spark.createDataFrame([("b", "one two three four"), ("a", "one two three four"), (None, None)], "name string, body string")
+    got = {(r.name, r.component_id) for r in jaccard.jaccard_components(d, "name", "body").collect()}
+    assert got == {("a", "a"), ("b", "a"), (None, None)}
 
 
 def test_jaccard_against_sql(same):
