@@ -33,7 +33,7 @@ def stored(df: DataFrame) -> DataFrame:
     """The frame written to the shared folder and read again: its lineage ends here."""
     spark = df.sparkSession
     path = scratch(spark)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
@@ -46,6 +46,14 @@ def dropped(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores after it as long as the frame has such a column."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def bounded_broadcast(df: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
     """Broadcast hint for a narrow frame of a counted size; beyond the bound the join shuffles."""
     return F.broadcast(df) if rows <= most else df

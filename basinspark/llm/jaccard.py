@@ -20,6 +20,7 @@ SECOND = 3  # second-level parts of a first-level part; every two of them make a
 FAMILIES = 3  # independent partitions of the domain that sets with too many empty signatures go through
 LOCAL = 64  # a task's sets of one signature that meet in one place; more are dealt out
 BLOCK = 512  # sets of one signature that are compared at once with as many
+LEAST = 32  # of a set's signatures that it takes along to see at which of them a pair meets first
 
 
 def size_bands(t: Fraction, most: int) -> list[int]:
@@ -108,11 +109,11 @@ def signatures(s: np.ndarray, n: np.ndarray, t: Fraction) -> tuple[np.ndarray, n
 
 
 def sketches(s: np.ndarray, n: np.ndarray) -> list[bytes]:
-    """For each set about as many bits as it has features, a power of two: each feature turns over the bit of its hash.
+    """For each set about four times as many bits as it has features, a power of two: each feature turns over the bit of its hash.
 
     Two sets differ in at least as many features as their sketches in bits; the longer sketch folds onto the shorter.
     """
-    bits = 64 << np.maximum(0, np.round(np.log2(np.maximum(n, 64) / 64))).astype(np.int64)
+    bits = 64 << np.maximum(0, np.round(np.log2(np.maximum(n, 16) / 16))).astype(np.int64)
     base = np.cumsum(bits) - bits
     owner = np.repeat(np.arange(len(n)), n)
     at = base[owner] + (mix(s ^ np.uint64(0x5EED)) & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)
@@ -285,10 +286,13 @@ def compared_in_blocks(mixed: DataFrame, info: DataFrame, t: Fraction) -> DataFr
 
     mixed: (sig, digest, comp, main, size, odd), where main is the signature's most frequent component, size its sets and
     odd those outside main. The odd ones are dealt into blocks, all are dealt into blocks, and every two blocks are
-    compared inside one task: only what passes is a row.
+    compared inside one task: only what passes is a row. Similar sets share many signatures: a pair is left to the least
+    of them, as far as the LEAST least ones of both tell.
     """
-    d = mixed.withColumn("rows", F.ceil(F.col("odd") / BLOCK)).withColumn("cols", F.ceil(F.col("size") / BLOCK)).join(info.select("digest", "n", "sketch"), "digest")
-    keep = ["digest", "comp", "n", "sketch"]
+    first = mixed.groupBy("digest").agg(F.slice(F.sort_array(F.collect_list("sig")), 1, LEAST).alias("first"))
+    own = info.select("digest", "n", "sketch").join(first, "digest")
+    d = mixed.withColumn("rows", F.ceil(F.col("odd") / BLOCK)).withColumn("cols", F.ceil(F.col("size") / BLOCK)).join(own, "digest")
+    keep = ["digest", "comp", "n", "sketch", "first"]
     odd = d.where("comp <> main").select("sig", F.pmod(F.xxhash64("digest"), "rows").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1)).alias("j"), F.lit(0).alias("side"), *keep)
     every = d.select("sig", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("i"), F.pmod(F.xxhash64("digest", F.lit(7)), "cols").alias("j"), F.lit(1).alias("side"), *keep)
 
@@ -296,13 +300,20 @@ def compared_in_blocks(mixed: DataFrame, info: DataFrame, t: Fraction) -> DataFr
         for g in groups(batches, ["sig", "i", "j"]):
             side, digest, comp, n = (g.column(c).to_numpy() for c in ("side", "digest", "comp", "n"))
             x = g.column("sketch").to_pylist()
-            x = folded(x, min(map(len, x)))
+            x, sig, first = folded(x, min(map(len, x))), g.column("sig")[0].as_py(), g.column("first")
             one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            a, b = [], []
+            y, a, b, less = x[two], [], [], {}
+
+            def before(i):
+                if i not in less:
+                    less[i] = {v for v in first[i].as_py() if v < sig}
+                return less[i]
+
             for i in one.tolist():
-                ok = may_link(n[two], n[i], np.bitwise_count(x[two] ^ x[i]).sum(1, dtype=np.int64), t) & (comp[two] != comp[i])
-                b.append(digest[two[ok]])
-                a.append(np.full(len(b[-1]), digest[i]))
+                ok = two[may_link(n[two], n[i], np.bitwise_count(y ^ x[i]).sum(1, dtype=np.int64), t) & (comp[two] != comp[i])]
+                ok = [j for j in ok.tolist() if before(i).isdisjoint(before(j))]
+                b.append(digest[ok])
+                a.append(np.full(len(ok), digest[i]))
             if a:
                 a, b = np.concatenate(a), np.concatenate(b)
                 yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})

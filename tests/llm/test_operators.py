@@ -70,14 +70,13 @@ def distance(a, b):
 def test_edit_distance(spark):
     r, rows = random.Random(3), []
     for _ in range(150):
-        a = "".join(r.choice("abé") for _ in range(r.randint(10, 25)))
+        a = [r.choice("abé") for _ in range(r.randint(10, 25))]
         b = list(a)
-        for _ in range(r.randint(0, 4)):
+        for _ in range(r.randint(0, 7)):
             i = r.randrange(len(b))
-            b[i : i + r.randint(0, 1)] = r.choice(["", "a", "b"])
-        a, b = sorted((a, "".join(b)), key=len)
-        rows += [(a, b, m, distance(a, b) <= m) for m in (1, 2)]
-    d = spark.createDataFrame(rows, "a string, b string, m int, ok boolean")
+            b[i : i + r.randint(0, 1)] = r.choice([[], ["a"], ["b"]])
+        rows += [(x, y, m, distance(a, b) <= m) for m in (1, 2, 5, 30) for x, y in ((a, b), (b, a))]
+    d = spark.createDataFrame(rows, "a array<string>, b array<string>, m int, ok boolean")
     assert d.where(lines.edit_distance_within(F.col("a"), F.col("b"), F.col("m")) != F.col("ok")).count() == 0
 
 
@@ -94,34 +93,52 @@ def test_lines_odd(spark, odd, none):
 
 
 def test_long_lines_against_brute_force(spark):
-    """Edits grow with the line: every pair within one for 20 characters is found, at every length, and no other."""
-    r, all_lines = random.Random(4), []
-    for n in (*range(57, 90), 99, 160, 161, 320, 1100):
-        a = "".join(r.choice("abcdefgh é") for _ in range(n))
-        for edits in (n // 20 - 1, n // 20, n // 20 + 1):
+    """Edits grow with the line: a line is removed if and only if an earlier one is within a word for 20, at every length."""
+    r, every = random.Random(4), []
+    for n in (*range(18, 46), 59, 60, 61, 99, 100, 160, 410, 645, 790, 801, 840, 1300):
+        a = [f"{r.choice('abcdefgh')}{r.randint(0, 300)}" for _ in range(n)]
+        made = [a]
+        for edits in (n // 20, n // 20 + 1):
             b = list(a)
             for j in range(edits):
                 i = (j * n) // edits + r.randrange(n // edits // 2)
-                b[i] = r.choice(["", b[i] + "Z", "Z"])
-            all_lines.append("".join(b))
-        all_lines.append(a)
-    d = spark.createDataFrame([(i, x) for i, x in enumerate(all_lines)], "h long, line string")
-    got = {(min(x), max(x)) for x in lines.long_near_pairs(d, 20).collect()}
+                b[i : i + 1] = r.choice([[], [b[min(i, len(b) - 1)], "Z"], ["Z"]])
+            made.append(b)
+        every += [" ".join(x) for x in made]
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(every)], "doc_id long, text string")
+    got = {x.id for x in lines.duplicate_lines(d).collect()}
     want = set()
-    for i, a in enumerate(all_lines):
-        for j, b in enumerate(all_lines[i + 1 :], i + 1):
-            n = min(len(a), len(b))
-            if i // 4 == j // 4 and n >= 60 and distance(a, b) <= n // 20:
-                want.add((i, j))
-    assert got == want and len(want) > 60
+    for i, a in enumerate(every):
+        for j in range(i // 3 * 3, i):
+            a_, b_ = a.split(), every[j].split()
+            n = min(len(a_), len(b_))
+            if n >= 20 and distance(a_, b_) <= n // 20 or n < 20 and distance(a, every[j]) <= 2:
+                want.add(i)
+    assert got == want and len(want) > 30
+
+
+def test_lines_of_a_large_group(spark):
+    """Near copies that share segments, most within the edits of the earliest, some only of another one."""
+    base = [f"w{i}" for i in range(60)]
+    rows = [" ".join(base[:i] + ["x"] + base[i + 1 :]) for i in range(60)] + [" ".join(base[:i] + ["x", "y", "z"] + base[i + 3 :]) for i in range(50)]
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "doc_id long, text string")
+    want = {i for i, a in enumerate(rows) if any(distance(a.split(), b.split()) <= 3 for b in rows[:i])}
+    assert {x.id for x in lines.duplicate_lines(d).collect()} == want
+
+
+def test_lines_clashing_names(spark):
+    d = spark.createDataFrame([(1, "one two three\none two three", 7, "x", None), (None, None, 8, "y", 1), (1, "one two three", 9, "z", 2)], "doc_id long, text string, n_lines int, removed string, line_id int")
+    got = lines.dedup_lines(d)
+    assert got.columns == ["doc_id", "text", "n_lines", "removed", "line_id", "n_lines_", "n_removed", "removed_"]
+    assert sorted((r.n_lines, r.removed, r.n_removed) for r in got.collect()) == [(7, "x", 1), (8, "y", 0), (9, "z", 0)]
 
 
 def test_pipeline_drops_long_near_lines(spark, sf):
     pipeline = pytest.importorskip("corpus_pipeline")
-    a = "It was a long line of many words that somebody copied with some words changed, as happens often on pages that copy each other by hand."
-    d = spark.createDataFrame([(1, a, len(a)), (2, a.replace("many", "most").replace("hand", "hard"), len(a)), (3, "quite another line of words", 27)], "doc_id long, text string, n_chars long")
-    assert distance(a, a.replace("many", "most").replace("hand", "hard")) > lines.MAX_EDITS
-    assert sorted(r.doc_id for r in pipeline.line_stage(spark, d, sf).collect()) == [1, 3]
+    a = "It was a long line of many words that somebody copied with some word changed, as happens often on pages that copy each other by hand."
+    d = spark.createDataFrame([(1, a, len(a), 5), (2, a.replace("somebody", "everyone"), len(a), 6), (3, "quite another line of words", 27, 7)], "doc_id long, text string, n_chars long, n_removed int")
+    assert distance(a, a.replace("somebody", "everyone")) > lines.MAX_EDITS
+    assert sorted((r.doc_id, r.n_removed) for r in pipeline.line_stage(spark, d, sf).collect()) == [(1, 5), (3, 7)]
 
 
 # 3: mixing
