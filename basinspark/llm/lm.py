@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from .common import Words, chunks, crc_mod, mapped, mix, packed_pieces, packed_reduce, put_bytes, scratch, shard_of, table, unpack_columns
 
 BEGIN, END = np.uint64(0x5BE6), np.uint64(0x0E2D)
-PAIR = np.dtype([("a", "u8"), ("b", "u8"), ("c", "u4")])
-TYPE = np.dtype([("b", "u8"), ("c", "u4")])
+PAIR = np.dtype([("a", "u8"), ("b", "u8"), ("c", "u8")])
+TYPE = np.dtype([("b", "u8"), ("c", "u8")])
 MERGE_AT = 1_500_000  # pairs a task gathers before it sums them
 
 
@@ -135,12 +135,12 @@ class KneserNey:
         every, which = np.unique(np.concatenate([b, a]), return_inverse=True)
         in_b, in_a = which[: len(b)], which[len(b) :]
         at = shard_of(mix(every + np.uint64(1)), self.shards)
-        total, n1, n2, n3 = self.look("context", {"total": "u4", "n1": "u4", "n2": "u4", "n3": "u4"}, at, every)
+        total, n1, n2, n3 = self.look("context", {"total": "u8", "n1": "u8", "n2": "u8", "n3": "u8"}, at, every)
         if len(self.hot):
             i = np.minimum(np.searchsorted(self.hot, every), len(self.hot) - 1)
             is_hot = self.hot[i] == every
             total[is_hot], n1[is_hot], n2[is_hot], n3[is_hot] = self.hot_stats[i[is_hot]].T
-        (types,) = self.look("word", {"types": "u4"}, at, every)
+        (types,) = self.look("word", {"types": "u8"}, at, every)
         # unigrams: continuation counts, interpolated with 1 / (V + 1)
         d = np.array([0, *self.d1])[np.minimum(types, 3).astype(int)]
         t1, t2, t3 = self.totals["types_by_count"]
@@ -151,7 +151,7 @@ class KneserNey:
         (c,) = self.look("pair", {"count": "u1"}, pair_shard(a, b, self.hot, self.shards), key)
         big = c == 255
         if big.any():
-            (full,) = self.look("large", {"count": "u4"}, pair_shard(a[big], b[big], self.hot, self.shards), key[big])
+            (full,) = self.look("large", {"count": "u8"}, pair_shard(a[big], b[big], self.hot, self.shards), key[big])
             c[big] = full
         d = np.array([0, *self.d2])[np.minimum(c, 3).astype(int)]
         ctx = total[in_a]
@@ -187,7 +187,7 @@ def fit_kneser_ney(train: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         for batch in chunks(batches):
             a, b, _ = token_pairs(batch.column("text"))
-            r = summed(a, b, np.ones(len(a), np.uint32))
+            r = summed(a, b, np.ones(len(a), np.uint64))
             held.append((r["a"], r["b"], r["c"]))
             n += len(r)
             if n > MERGE_AT:
@@ -211,14 +211,14 @@ def fit_kneser_ney(train: DataFrame, id_col: str = "doc_id", text_col: str = "te
         is_hot = np.isin(ctx, hot)
         order = np.argsort(ctx[~is_hot])
         for name, x in (("key", ctx), ("total", stats[:, 0]), ("n1", stats[:, 1]), ("n2", stats[:, 2]), ("n3", stats[:, 3])):
-            put_bytes(f"{uri}/context.{name}/{shard}", x[~is_hot][order].astype("u8" if name == "key" else "u4").tobytes())
+            put_bytes(f"{uri}/context.{name}/{shard}", x[~is_hot][order].astype("u8").tobytes())
         key = pair_key(a, r["b"])
         order = np.argsort(key)
         put_bytes(f"{uri}/pair.key/{shard}", key[order].tobytes())
         put_bytes(f"{uri}/pair.count/{shard}", np.minimum(c[order], 255).astype(np.uint8).tobytes())
         large = order[c[order] >= 255]
         put_bytes(f"{uri}/large.key/{shard}", key[large].tobytes())
-        put_bytes(f"{uri}/large.count/{shard}", c[large].astype("u4").tobytes())
+        put_bytes(f"{uri}/large.count/{shard}", c[large].astype("u8").tobytes())
         begin = ctx == BEGIN
         said = {"shard": shard, "pairs": _counts_of_counts(c), "tokens": int(c.sum()), "contexts": int((~is_hot & ~begin).sum()), "begins": int(stats[begin, 0].sum()), "hot": [[int(h), *map(int, s)] for h, s in zip(ctx[is_hot].view(np.int64), stats[is_hot], strict=True)]}
         put_bytes(f"{uri}/said/{shard}.json", json.dumps(said).encode())
@@ -236,7 +236,7 @@ def fit_kneser_ney(train: DataFrame, id_col: str = "doc_id", text_col: str = "te
         at = np.flatnonzero(first)
         types = np.add.reduceat(c, at) if len(at) else c
         put_bytes(f"{uri}/word.key/{key[0].as_py()}", b[at].tobytes())
-        put_bytes(f"{uri}/word.types/{key[0].as_py()}", types.astype("u4").tobytes())
+        put_bytes(f"{uri}/word.types/{key[0].as_py()}", types.astype("u8").tobytes())
         return pa.Table.from_pydict({"words": [len(at)], "types": [int(types.sum())], "by": pa.array([[*_counts_of_counts(types), int((types >= 3).sum())]], pa.list_(pa.int64()))})
 
     got = packed_reduce(rows, pack, merge, "shard int, data binary", shards).groupBy("shard").applyInArrow(words, "words long, types long, by array<long>").collect()
