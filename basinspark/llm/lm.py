@@ -92,8 +92,9 @@ def hot_contexts(rows: DataFrame, share: float = 0.001) -> list[int]:
 class KneserNey:
     """The model's place and its totals; every worker maps the arrays it reads."""
 
-    def __init__(self, uri: str, shards: int, hot: dict, totals: dict):
+    def __init__(self, uri: str, shards: int, hot: dict, totals: dict, counted: set, worded: set):
         self.uri, self.shards, self.totals = uri, shards, totals
+        self.full = {"context": counted, "pair": counted, "large": counted, "word": worded}  # shards that have files
         order = sorted(hot, key=lambda h: h & (1 << 64) - 1)
         self.hot = np.array(order, np.int64).view(np.uint64)
         self.hot_stats = np.array([hot[h] for h in order], np.float64).reshape(-1, 4)
@@ -106,10 +107,8 @@ class KneserNey:
 
     def array(self, kind: str, shard: int, dtype: str) -> np.ndarray:
         if (kind, shard) not in self.open:
-            try:
-                self.open[kind, shard] = np.asarray(mapped(f"{self.uri}/{kind}/{shard}", dtype))
-            except FileNotFoundError:
-                self.open[kind, shard] = np.zeros(0, dtype)
+            # shards without records have no files; where the folder itself cannot be read, that must not pass for an empty model
+            self.open[kind, shard] = np.asarray(mapped(f"{self.uri}/{kind}/{shard}", dtype)) if shard in self.full[kind.split(".")[0]] else np.zeros(0, dtype)
         return self.open[kind, shard]
 
     def look(self, what: str, values: dict[str, str], at: np.ndarray, keys: np.ndarray) -> list[np.ndarray]:
@@ -237,22 +236,24 @@ def fit_kneser_ney(train: DataFrame, id_col: str = "doc_id", text_col: str = "te
         types = np.add.reduceat(c, at) if len(at) else c
         put_bytes(f"{uri}/word.key/{key[0].as_py()}", b[at].tobytes())
         put_bytes(f"{uri}/word.types/{key[0].as_py()}", types.astype("u8").tobytes())
-        return pa.Table.from_pydict({"words": [len(at)], "types": [int(types.sum())], "by": pa.array([[*_counts_of_counts(types), int((types >= 3).sum())]], pa.list_(pa.int64()))})
+        return pa.Table.from_pydict({"shard": pa.array([key[0].as_py()], pa.int32()), "words": [len(at)], "types": [int(types.sum())], "by": pa.array([[*_counts_of_counts(types), int((types >= 3).sum())]], pa.list_(pa.int64()))})
 
-    got = packed_reduce(rows, pack, merge, "shard int, data binary", shards).groupBy("shard").applyInArrow(words, "words long, types long, by array<long>").collect()
+    got = packed_reduce(rows, pack, merge, "shard int, data binary", shards).groupBy("shard").applyInArrow(words, "shard int, words long, types long, by array<long>").collect()
     totals = {"pairs": [0] * 4, "types": [0] * 4, "types_by_count": [0] * 3, "tokens": 0, "vocabulary": 0, "n_types": 0, "ends": 0}
     sums: dict[int, np.ndarray] = {}
+    counted: set[int] = set()
     if got:
         by = np.sum([r.by for r in got], axis=0).tolist()
         totals |= {"types": by[:4], "types_by_count": [by[0], by[1], by[4]], "vocabulary": sum(r.words for r in got), "n_types": sum(r.types for r in got)}
         for x in train.sparkSession.read.text(f"{uri}/said").toLocalIterator():
             s = json.loads(x.value)
+            counted.add(s["shard"])
             totals["pairs"] = [p + q for p, q in zip(totals["pairs"], s["pairs"], strict=True)]
             totals["tokens"] += s["tokens"]
             totals["ends"] += s["begins"]
             for h, *v in s["hot"]:
                 sums[h] = sums.get(h, 0) + np.array(v)
-    return KneserNey(uri, shards, {h: v.tolist() for h, v in sums.items()}, totals)
+    return KneserNey(uri, shards, {h: v.tolist() for h, v in sums.items()}, totals, counted, {r.shard for r in got})
 
 
 def score_kneser_ney(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -469,3 +469,26 @@ def test_pipeline_against_its_parts(spark, sf):
     assert [n for _, n in seen] == sorted((n for _, n in seen), reverse=True) and seen[-1][1] > 0
     items = {r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
     assert not any(i in r.text for r in docs.collect() for i in items)
+
+
+def test_pipeline_odd(spark, odd, none, sf):
+    """Nulls, empty, blank, repeated and very long texts, clashing columns and no rows pass through every stage."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    for docs in (odd.withColumnRenamed("n", "copies").withColumn("copy", F.lit(3)), none):
+        for _, stage in pipeline.STAGES[:-1]:
+            assert stage(spark, docs, sf).columns == docs.columns
+        got = pipeline.mixing_stage(spark, docs, sf)
+        assert got.columns == [*docs.columns, "copy_" if "copy" in docs.columns else "copy"]
+        rows = got.collect()
+        assert all(r.text for r in rows) and bool(rows) == (not docs.isEmpty())
+
+
+def test_mixing_repeated_rows(spark, sf):
+    """Rows that come three times over, and rows without an id, are taken as often as the mix says."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    d = documents(spark, sf)
+    d = d.unionByName(d).unionByName(d).unionByName(d.withColumn("doc_id", F.lit(None).cast("long")))
+    got = pipeline.mixing_stage(spark, d, sf)
+    size = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
+    want = 1.5 * d.agg(F.sum(size)).first()[0]
+    assert abs(got.agg(F.sum(size)).first()[0] / want - 1) < 0.05
