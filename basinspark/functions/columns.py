@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..scratch import stored
+
 # Fixed values: (scale, offset) that take the first unit to the second.
 UNITS = {
     ("degC", "K"): (1.0, 273.15), ("K", "degC"): (1.0, -273.15), ("hPa", "Pa"): (100.0, 0.0), ("m/h", "mm/s"): (1000.0 / 3600.0, 0.0), ("mm/h", "mm/s"): (1.0 / 3600.0, 0.0),
@@ -16,11 +18,21 @@ UNITS = {
 NULL_TOKENS = ["", " ", "NA", "na", "N/A", "n/a", "NULL", "null", "-", "--", "---", "missing", "Missing", "MISSING"]
 # Plausible ranges of forcing variables.
 RANGES = {"airtemp": (200.0, 350.0), "airpres": (5e4, 1.1e5), "spechum": (0.0, 0.1), "windspd": (0.0, 100.0), "pptrate": (0.0, 0.1), "LWRadAtm": (50.0, 600.0), "SWRadAtm": (0.0, 1500.0)}
-# Texture classes as least and greatest percent of sand, silt and clay, first match wins.
+# Texture classes as least and greatest percent of sand, silt and clay; the boxes overlap, the first match wins.
 TEXTURES = [
-    ("sand", 85, 100, 0, 15, 0, 10), ("loamy sand", 70, 90, 0, 30, 0, 15), ("sandy loam", 43, 85, 0, 50, 0, 20), ("loam", 23, 52, 28, 50, 7, 27), ("silt loam", 0, 50, 50, 88, 0, 27), ("silt", 0, 20, 80, 100, 0, 12),
-    ("sandy clay loam", 45, 80, 0, 28, 20, 35), ("clay loam", 20, 45, 15, 53, 27, 40), ("silty clay loam", 0, 20, 40, 73, 27, 40), ("sandy clay", 45, 65, 0, 20, 35, 55), ("silty clay", 0, 20, 40, 60, 40, 60), ("clay", 0, 45, 0, 40, 40, 100),
-]
+    ("clay", 0, 45, 0, 40, 40, 100),
+    ("silty_clay", 0, 20, 40, 60, 40, 60),
+    ("sandy_clay", 45, 65, 0, 20, 35, 55),
+    ("clay_loam", 20, 45, 15, 53, 27, 40),
+    ("silty_clay_loam", 0, 20, 40, 73, 27, 40),
+    ("sandy_clay_loam", 45, 80, 0, 28, 20, 35),
+    ("loam", 23, 52, 28, 50, 7, 27),
+    ("silty_loam", 0, 50, 50, 88, 0, 27),
+    ("sandy_loam", 50, 80, 0, 50, 0, 20),
+    ("silt", 0, 20, 80, 100, 0, 12),
+    ("loamy_sand", 70, 90, 0, 30, 0, 15),
+    ("sand", 85, 100, 0, 15, 0, 10),
+]
 
 
 def convert_units(c: Column, source: str, target: str) -> Column:
@@ -155,7 +167,7 @@ def usda_texture(sand: Column, silt: Column, clay: Column) -> Column:
     out = F.when(total.isNull() | (total <= 0), F.lit(None))
     for n, a, b, d, e, f, g in TEXTURES:
         out = out.when(s.between(a, b) & i.between(d, e) & c.between(f, g), n)
-    return out.otherwise("unclassified")
+    return out
 
 
 def aspect_class(deg: Column, n: int = 8, flat: Column | None = None) -> Column:
@@ -187,8 +199,11 @@ def dedup(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 
 def renumber(df: DataFrame, order: list[str], name: str = "new_id") -> DataFrame:
-    """1..n in a global order: a range-partitioned sort, then each partition's offset from a small table of counts."""
-    d = df.sort(*order).withColumn("_p", F.spark_partition_id())
+    """1..n in a global order: a range-partitioned sort, then each partition's offset from a small table of counts.
+
+    The sorted frame is written, so that counts and rows are of the same partitions.
+    """
+    d = stored(df.sort(*order).withColumn("_p", F.spark_partition_id()))
     d = d.withColumn("_i", F.row_number().over(W.partitionBy("_p").orderBy(*order)))
     n = d.groupBy("_p").agg(F.count("*").alias("_n"))
     start = n.select("_p", (F.sum("_n").over(W.orderBy("_p")) - F.col("_n")).alias("_s"))

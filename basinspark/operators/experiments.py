@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .network import stored
+from ..scratch import stored
 
 
 def _long(df: DataFrame, keep: list, cols: list[str], name: str = "parameter", value: str = "v") -> DataFrame:
@@ -168,10 +170,28 @@ def area_rollup(df: DataFrame, outer: str, inner: str, value: str, area: str) ->
     return g
 
 
-def mean_pairwise_distance(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """Root mean squared distance over all pairs, from sums alone: 2n/(n-1) times the summed variances."""
-    d = df.select(key, F.posexplode(vector).alias("i", "v")).groupBy("i").agg(F.var_pop("v").alias("_v"), F.count("*").alias("_n"))
-    return d.agg(F.sqrt(2 * F.sum("_v") * F.max("_n") / (F.max("_n") - 1)).alias("rms_distance"))
+def mean_pairwise_distance(df: DataFrame, keys: list[str], vector: str, block: int = 1000) -> DataFrame:
+    """Mean Euclidean distance over all pairs of a population's vectors; null for one vector alone.
+
+    A population is dealt into blocks, and every two blocks meet in one task, which sums their distances: rows are
+    copied once for each block, and only sums leave the tasks.
+    """
+    d = df.where(F.col(vector).isNotNull()).select(*keys, F.col(vector).alias("_v"), F.monotonically_increasing_id().alias("_i"))
+    d = stored(d)
+    d = d.join(d.groupBy(*keys).agg(F.ceil(F.count("*") / block).alias("_b")), keys).withColumn("_own", F.pmod(F.xxhash64("_i"), "_b"))
+    d = d.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_b") - 1)))
+    d = d.select(*keys, "_v", "_own", F.least("_own", "_other").alias("_x"), F.greatest("_own", "_other").alias("_y"))
+
+    def sums(rows: pd.DataFrame) -> pd.DataFrame:
+        x, y = (np.stack(rows["_v"][rows["_own"] == rows[c].iloc[0]].to_numpy()).astype(float) if (rows["_own"] == rows[c].iloc[0]).any() else np.zeros((0, 1)) for c in ("_x", "_y"))
+        same, total = rows["_x"].iloc[0] == rows["_y"].iloc[0], 0.0
+        if len(x) and len(y):
+            total = sum(float(np.sqrt(((y[i + 1 if same else 0 :] - v) ** 2).sum(1)).sum()) for i, v in enumerate(x))
+        return rows[keys].head(1).assign(_s=total, _n=len(x) * (len(x) - 1) // 2 if same else len(x) * len(y))
+
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    got = d.groupBy(*keys, "_x", "_y").applyInPandas(sums, f"{kinds}, _s double, _n long")
+    return got.groupBy(*keys).agg((F.sum("_s") / F.nullif(F.sum("_n"), F.lit(0))).alias("mean_distance"))
 
 
 def total_order(df: DataFrame, parameters: list[str], score: str, n: int = 256) -> DataFrame:

@@ -2,25 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def stored(df: DataFrame) -> DataFrame:
-    """The frame written to the folder that the session names in spark.checkpoint.dir, and read again: iterations end their lineage here."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = os.path.join(base, uuid.uuid4().hex)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..scratch import stored
 
 
 def edges_from_columns(df: DataFrame, seg: str, upstream: list[str]) -> DataFrame:
@@ -29,7 +15,7 @@ def edges_from_columns(df: DataFrame, seg: str, upstream: list[str]) -> DataFram
     return d.where("seg > 0").select("seg", "down")
 
 
-def upstream(edges: DataFrame, outlets: DataFrame, most_rounds: int = 100_000) -> DataFrame:
+def upstream(edges: DataFrame, outlets: DataFrame) -> DataFrame:
     """(outlet, seg): each outlet (column seg) that is in the graph with all its ancestors and itself; cycles are safe.
 
     Frontier by frontier: a round joins only what the last one found, and drops what is known.
@@ -37,7 +23,7 @@ def upstream(edges: DataFrame, outlets: DataFrame, most_rounds: int = 100_000) -
     e = edges.select(F.col("seg").alias("_s"), F.col("down").alias("_d")).where("_s <> _d")
     nodes = e.select(F.col("_s").alias("seg")).unionByName(e.select(F.col("_d").alias("seg"))).distinct()
     seen = front = stored(outlets.select("seg").distinct().join(nodes, "seg", "left_semi").select(F.col("seg").alias("outlet"), "seg"))
-    for _ in range(most_rounds):
+    while True:
         new = front.join(e, F.col("seg") == F.col("_d")).select("outlet", F.col("_s").alias("seg")).distinct().join(seen, ["outlet", "seg"], "left_anti")
         front = stored(new)
         if front.isEmpty():
@@ -46,13 +32,13 @@ def upstream(edges: DataFrame, outlets: DataFrame, most_rounds: int = 100_000) -
     return seen
 
 
-def downstream_order(edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+def downstream_order(edges: DataFrame) -> DataFrame:
     """(seg, level): longest distance from a headwater; 0 for headwaters. What hangs on a cycle never becomes free and gets level -1."""
     e = edges.select("seg", "down").distinct()
     inside = e.join(e.select(F.col("seg").alias("down")).distinct(), "down", "left_semi")
     wait = stored(e.select("seg").distinct().join(inside.groupBy(F.col("down").alias("seg")).agg(F.count("*").alias("n")), "seg", "left").select("seg", F.coalesce("n", F.lit(0)).alias("n"), F.lit(0).alias("level")))
     done = None
-    for _ in range(most_rounds):
+    while True:
         free = stored(wait.where("n = 0").select("seg", "level"))
         if free.isEmpty():
             break
@@ -124,7 +110,7 @@ def merge_small(units: DataFrame, adjacency: DataFrame, least: float, most_round
     """
     state = stored(units.select("unit", F.col("unit").alias("merged"), F.col("area").cast("double").alias("area")))
     adj = stored(adjacency.select("a", "b").unionByName(adjacency.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    for _ in range(most_rounds):
+    while True:
         size = state.groupBy("merged").agg(F.sum("area").alias("area"))
         small = size.where(F.col("area") < least)
         near = adj.join(small.select(F.col("merged").alias("a")), "a").join(size.select(F.col("merged").alias("b"), F.col("area").alias("s")), "b")

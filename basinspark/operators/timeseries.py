@@ -34,22 +34,26 @@ def resample(df: DataFrame, keys: list[str], ts: str, freq: str, aggs: dict[str,
     return out.select(*keys, ts, *[F.coalesce(c, F.lit(0)).alias(c) if a in ("sum", "count") else F.col(c) for c, a in aggs.items()])
 
 
-def interpolate(df: DataFrame, keys: list[str], ts: str, col: str, limit: int | None = None, both: bool = False) -> DataFrame:
-    """Fills nulls linearly over row numbers, `limit` at most after each valid one, also in longer gaps; trailing
+def interpolate(df: DataFrame, keys: list[str], ts: str, col: str, limit: int | None = None, both: bool = False, by: str = "row") -> DataFrame:
+    """Fills nulls linearly over row numbers, or with by="time" over the times between, `limit` at most after each valid one, also in longer gaps; trailing
     nulls hold the last value within the limit; leading ones stay unless `both`."""
     w = W.partitionBy(*keys).orderBy(ts)
     d = df.withColumn("_i", F.row_number().over(w))
-    at = F.when(F.col(col).isNotNull(), F.struct("_i", F.col(col).alias("v")))
+    if by not in ("row", "time"):
+        raise ValueError(f"by is row or time, not {by}")
+    seconds = F.unix_micros(F.col(ts).cast("timestamp")) if by == "time" else F.col("_i")
+    d = d.withColumn("_x", seconds)
+    at = F.when(F.col(col).isNotNull(), F.struct("_i", "_x", F.col(col).alias("v")))
     d = d.withColumn("_l", F.last(at, True).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("_n", F.first(at, True).over(w.rowsBetween(0, W.unboundedFollowing)))
     since = F.col("_i") - F.col("_l._i")
-    line = F.col("_l.v") + (F.col("_n.v") - F.col("_l.v")) * since / (F.col("_n._i") - F.col("_l._i"))
+    line = F.col("_l.v") + (F.col("_n.v") - F.col("_l.v")) * (F.col("_x") - F.col("_l._x")) / (F.col("_n._x") - F.col("_l._x"))
     after = F.when(F.col("_n").isNull(), F.col("_l.v")).otherwise(line)
     ok = F.lit(True) if limit is None else since <= limit
     fill = F.when(F.col("_l").isNotNull() & ok, after)
     if both:
         back = F.lit(True) if limit is None else F.col("_n._i") - F.col("_i") <= limit
         fill = F.coalesce(fill, F.when(F.col("_l").isNull() & back, F.col("_n.v")))
-    return d.withColumn(col, F.coalesce(F.col(col), fill)).drop("_i", "_l", "_n")
+    return d.withColumn(col, F.coalesce(F.col(col), fill)).drop("_i", "_x", "_l", "_n")
 
 
 def fill_linear(df: DataFrame, keys: list[str], ts: str, col: str, default: float) -> DataFrame:

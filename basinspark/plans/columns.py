@@ -7,7 +7,19 @@ from .base import Query
 
 CLASSES = {"metal": ["tin", "steel", "nickel", "brass", "copper"], "plated": ["plated"], "large": ["large", "economy"]}
 KW = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(p_type), {chr(39)}{w}{chr(39)})' for w in ws)} THEN '{n}'" for n, ws in CLASSES.items()) + " ELSE 'other' END"
-TEX = "CASE WHEN t<=0 THEN NULL " + " ".join(f"WHEN s BETWEEN {a} AND {b} AND i BETWEEN {d} AND {e} AND y BETWEEN {f} AND {g} THEN '{n}'" for n, a, b, d, e, f, g in c.TEXTURES) + " ELSE 'unclassified' END"
+TEX = """CASE WHEN t <= 0 THEN NULL
+  WHEN s <= 45 AND i <= 40 AND y >= 40 THEN 'clay'
+  WHEN s <= 20 AND i >= 40 AND i <= 60 AND y >= 40 AND y <= 60 THEN 'silty_clay'
+  WHEN s >= 45 AND s <= 65 AND i <= 20 AND y >= 35 AND y <= 55 THEN 'sandy_clay'
+  WHEN s >= 20 AND s <= 45 AND i >= 15 AND i <= 53 AND y >= 27 AND y <= 40 THEN 'clay_loam'
+  WHEN s <= 20 AND i >= 40 AND i <= 73 AND y >= 27 AND y <= 40 THEN 'silty_clay_loam'
+  WHEN s >= 45 AND s <= 80 AND i <= 28 AND y >= 20 AND y <= 35 THEN 'sandy_clay_loam'
+  WHEN s >= 23 AND s <= 52 AND i >= 28 AND i <= 50 AND y >= 7 AND y <= 27 THEN 'loam'
+  WHEN s <= 50 AND i >= 50 AND i <= 88 AND y <= 27 THEN 'silty_loam'
+  WHEN s >= 50 AND s <= 80 AND i <= 50 AND y <= 20 THEN 'sandy_loam'
+  WHEN s <= 20 AND i >= 80 AND y <= 12 THEN 'silt'
+  WHEN s >= 70 AND s <= 90 AND i <= 30 AND y <= 15 THEN 'loamy_sand'
+  WHEN s >= 85 AND i <= 15 AND y <= 10 THEN 'sand' END"""
 TOKEN = "CASE WHEN p_size%7=0 THEN 'NA' WHEN p_size%7=1 THEN ' - ' WHEN p_size%7=2 THEN 'missing' WHEN p_size%7=3 THEN 'x1' ELSE CAST(p_size AS VARCHAR) END"
 
 QUERIES = [

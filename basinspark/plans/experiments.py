@@ -51,7 +51,7 @@ QUERIES = [
     Query("d32_pareto_ranks", "id:i front:i", lambda v: x.pareto_ranks(v.solutions, "id", "f1", "f2", 2), "WITH d AS (SELECT a.id FROM solutions a WHERE NOT EXISTS (SELECT 1 FROM solutions b WHERE b.f1>=a.f1 AND b.f2>=a.f2 AND (b.f1>a.f1 OR b.f2>a.f2))), r AS (SELECT * FROM solutions WHERE id NOT IN (SELECT id FROM d)), e AS (SELECT a.id FROM r a WHERE NOT EXISTS (SELECT 1 FROM r b WHERE b.f1>=a.f1 AND b.f2>=a.f2 AND (b.f1>a.f1 OR b.f2>a.f2))) SELECT id, CASE WHEN id IN (SELECT id FROM d) THEN 0 WHEN id IN (SELECT id FROM e) THEN 1 ELSE 2 END AS front FROM solutions"),
     Query("d33_crowding", "id:i crowding:f", lambda v: x.crowding_distance(v.solutions.withColumn("g", F.col("id") % 5), ["g"], "id", ["f1", "f2"]).where("crowding < 1e300"), "WITH s AS (SELECT id, id%5 AS g, f1, f2 FROM solutions), c AS (SELECT id, (lead(f1) OVER (PARTITION BY g ORDER BY f1, id)-lag(f1) OVER (PARTITION BY g ORDER BY f1, id))/(max(f1) OVER (PARTITION BY g)-min(f1) OVER (PARTITION BY g)) AS a, (lead(f2) OVER (PARTITION BY g ORDER BY f2, id)-lag(f2) OVER (PARTITION BY g ORDER BY f2, id))/(max(f2) OVER (PARTITION BY g)-min(f2) OVER (PARTITION BY g)) AS b FROM s) SELECT id, a+b AS crowding FROM c WHERE a IS NOT NULL AND b IS NOT NULL"),
     Query("d34_knee", "id:i distance:f", lambda v: x.knee_point(x.pareto_front(v.solutions, "f1", "f2"), "id", "f1", "f2"), "WITH p AS (SELECT * FROM solutions a WHERE NOT EXISTS (SELECT 1 FROM solutions b WHERE b.f1>=a.f1 AND b.f2>=a.f2 AND (b.f1>a.f1 OR b.f2>a.f2))), b AS (SELECT min(f1) AS a1, max(f1) AS b1, min(f2) AS a2, max(f2) AS b2 FROM p) SELECT id, sqrt(pow(1-CASE WHEN b1>a1 THEN (f1-a1)/(b1-a1) ELSE 1 END,2)+pow(1-CASE WHEN b2>a2 THEN (f2-a2)/(b2-a2) ELSE 1 END,2)) AS distance FROM p, b ORDER BY 2, 1 LIMIT 1"),
-    Query("d35_diversity", "rms_distance:f", lambda v: x.mean_pairwise_distance(v.table("embeddings"), "vec_id", "embedding"), "WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), s AS (SELECT i, var_pop(v) AS v, count(*) AS n FROM e GROUP BY 1) SELECT sqrt(2*sum(v)*max(n)/(max(n)-1)) AS rms_distance FROM s"),
+    Query("d35_diversity", "label:i mean_distance:f", lambda v: x.mean_pairwise_distance(v.table("embeddings"), ["label"], "embedding"), "SELECT a.label, avg(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: pow(z[1]::DOUBLE - z[2]::DOUBLE, 2))))) FILTER (a.vec_id < b.vec_id) AS mean_distance FROM embeddings a JOIN embeddings b ON a.label = b.label GROUP BY a.label"),
     Query("d36_history", "g:i best:f mean:f std:f valid:i running_best:f change_pct:f stagnation:i", lambda v: x.history(v.samples.withColumn("g", F.col("l_orderkey") % 40), "g", "score"), "WITH a AS (SELECT l_orderkey%40 AS g, max(score) AS best, avg(score) AS mean, stddev_pop(score) AS std, count(score) AS valid FROM samples GROUP BY 1), r AS (SELECT *, max(best) OVER (ORDER BY g) AS running_best FROM a), c AS (SELECT *, lag(running_best) OVER (ORDER BY g) AS p FROM r), i AS (SELECT *, sum(CASE WHEN running_best>p THEN 1 ELSE 0 END) OVER (ORDER BY g) AS i FROM c) SELECT g, best, mean, std, valid, running_best, 100*(running_best-p)/abs(p) AS change_pct, row_number() OVER (PARTITION BY i ORDER BY g)-1 AS stagnation FROM i"),
     Query("d37_runtime", "event_type:s lo:f hi:f mean:f std:f p50:f p95:f p99:f success:f", lambda v: x.runtime_summary(v.table("events").withColumn("ok", F.col("user_id") % 9 != 0), ["event_type"], "value", "ok"), "WITH i AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value)-1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, min(value) AS lo, max(value) AS hi, avg(value) AS mean, stddev_pop(value) AS std, max(value) FILTER (i=floor(n*0.5)) AS p50, max(value) FILTER (i=floor(n*0.95::DOUBLE)) AS p95, max(value) FILTER (i=floor(n*0.99::DOUBLE)) AS p99, avg(CASE WHEN user_id%9<>0 THEN 1.0::DOUBLE ELSE 0 END) AS success FROM i GROUP BY 1"),
     Query("d38_uncertainty", "parameter:s mean:f std:f p5:f p95:f cv:f", lambda v: x.uncertainty(v.samples, ["p1", "p2", "p3"]), f"SELECT parameter, avg(v) AS mean, stddev_pop(v) AS std, quantile_cont(v,0.05) AS p5, quantile_cont(v,0.95) AS p95, stddev_pop(v)/abs(avg(v)) AS cv FROM {P3} GROUP BY 1"),

@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from ..operators.network import stored
+from ..scratch import stored
 from ..sources import readers as r
 from ..streaming import gauges as g
 from .base import Query

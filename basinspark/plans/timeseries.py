@@ -36,6 +36,7 @@ QUERIES = [
     Query("c01_resample_daily", "site:i ts:t value:f total:f n:i", lambda v: t.resample(v.obs_event.selectExpr("site", "ts", "value", "value AS total", "value AS n"), ["site"], "ts", "D", {"value": "mean", "total": "sum", "n": "count"}), DAYS + " SELECT * FROM r"),
     Query("c01_resample_3h", "site:i ts:t hi:f", lambda v: t.resample(v.obs_event.withColumn("hi", F.col("value")), ["site"], "ts", "10800s", {"hi": "max"}).where("hi IS NOT NULL"), "SELECT site, time_bucket(INTERVAL 3 HOUR, ts, TIMESTAMP '1970-01-01') AS ts, max(value) AS hi FROM obs_event GROUP BY 1, 2"),
     Query("c02_interpolate_limit", "basin:s d:d q:f", lambda v: t.interpolate(gappy(v), ["basin"], "d", "q", limit=2), ROWS + " SELECT basin, d, coalesce(q, CASE WHEN li IS NOT NULL AND i-li <= 2 THEN CASE WHEN ni IS NULL THEN lv ELSE lv+(nv-lv)*(i-li)/(ni-li) END END) AS q FROM f"),
+    Query("c02_interpolate_time", "basin:s d:d q:f", lambda v: t.interpolate(gappy(v).where("day(d) % 5 <> 0"), ["basin"], "d", "q", limit=24, by="time"), ROWS.replace(GAPPY, f"SELECT * FROM ({GAPPY}) WHERE day(d) % 5 <> 0").replace("a.q AS lv, b.q AS nv", "a.q AS lv, b.q AS nv, a.d AS ld, b.d AS nd") + " SELECT basin, d, coalesce(q, CASE WHEN li IS NOT NULL AND i-li <= 24 THEN CASE WHEN ni IS NULL THEN lv ELSE lv+(nv-lv)*(d-ld)/(nd-ld) END END) AS q FROM f"),
     Query("c02_interpolate_both", "basin:s d:d q:f", lambda v: t.interpolate(gappy(v), ["basin"], "d", "q", both=True), ROWS + " SELECT basin, d, coalesce(q, CASE WHEN li IS NULL THEN nv WHEN ni IS NULL THEN lv ELSE lv+(nv-lv)*(i-li)/(ni-li) END) AS q FROM f"),
     Query("c03_fill_linear", "basin:s d:d q:f", lambda v: t.fill_linear(gappy(v), ["basin"], "d", "q", 0.0), ROWS + " SELECT basin, d, coalesce(q, CASE WHEN li IS NULL THEN nv WHEN ni IS NULL THEN lv ELSE lv+(nv-lv)*(i-li)/(ni-li) END, 0) AS q FROM f"),
     Query("c04_reindex_nearest", "site:i ts:t value:f", lambda v: t.reindex_nearest(t.resample(v.obs_event, ["site"], "ts", "h", {"value": "mean"}).dropna(), ["site"], "ts", "value", t.spine(v.obs_event, ["site"], "ts", "D")),
