@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from .common import bounded_broadcast, stored, table
 
 SYMBOLS, BLANKS = "#*$%&|<>", "\t\n\x0b\x0c\r "
-LEAST_ROWS = 50  # of a group that gets its own estimate
+LEAST_ROWS = 50  # of a group that gets its own estimate: ten for each statistic
 KEPT_SHARE = 0.75  # of a group's rows that the estimate rests on
 SCALE = 1.41  # 0.75 over the chi-square(7) distribution at the 0.75 quantile of chi-square(5): makes the covariance consistent
-CUTOFF = 35.89  # the 1 - 1e-6 quantile of chi-square(5)
+CUTOFF = 12.83  # the 0.975 quantile of chi-square(5), usual for this estimate: of a normal group one row in 40 lies beyond
 FEATURES = ["length", "word_length", "symbols", "dup_lines", "repeats"]
 FLOORS = [0.5, 0.08, 0.08, 0.5, 0.15]  # least standard deviation of each: a statistic that is nearly always 0 stays usable
 
@@ -96,8 +96,8 @@ def robust_estimates(rows: DataFrame, steps: int = 3) -> DataFrame:
     """Minimum-covariance-determinant estimate of each key: concentration steps from medians and deviations.
 
     Each step takes the KEPT_SHARE of a group's rows that are nearest under the present estimate and computes
-    mean and covariance of these, which never raises the determinant; a last one weighs out what lies beyond
-    the 0.975 quantile. All are grouped sums and quantile sketches: a group of any size is pre-aggregated.
+    mean and covariance of these, which does not raise the determinant but for the error of the quantile
+    sketches (a thousandth of the rows); a last one weighs out what lies beyond CUTOFF. All are grouped sums and quantile sketches: a group of any size is pre-aggregated.
     """
     n = range(len(FEATURES))
     mid = stored(rows.groupBy("key").agg(*[F.percentile_approx(f, 0.5, 1000).alias(f"m_{i}") for i, f in enumerate(FEATURES)]))
@@ -109,16 +109,16 @@ def robust_estimates(rows: DataFrame, steps: int = 3) -> DataFrame:
         near = rows.join(bounded_broadcast(now, groups, 20_000), "key").withColumn("d2", _distance())
         edge = stored(near.groupBy("key").agg(F.percentile_approx("d2", KEPT_SHARE, 1000).alias("edge")))
         now = stored(_factor(_moments(near.join(bounded_broadcast(edge, groups, 20_000), "key").where("d2 <= edge")), SCALE))
-    return stored(_factor(_moments(rows.join(bounded_broadcast(now, groups, 20_000), "key").where(_distance() <= 12.83)), 1.0))
+    return stored(_factor(_moments(rows.join(bounded_broadcast(now, groups, 20_000), "key").where(_distance() <= CUTOFF)), 1.0))
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_rows: int = LEAST_ROWS, cutoff: float = CUTOFF) -> DataFrame:
     """id, the base statistics, base_failed, kept and distance of every row.
 
     Estimates are made for each language and source from the rows that pass the base rules; a pair with
-    fewer than LEAST_ROWS of them is pooled with the others of its language, what is still too few with all
+    fewer than `least_rows` of them is pooled with the others of its language, what is still too few with all
     of that kind; a null language or source is one of its own. A row is kept if it passes the base rules and
-    its distance is within CUTOFF (or too few rows are there to say). A null text has no words and fails.
+    its squared distance is within `cutoff` (or too few rows are there to say). A null text has no words and fails.
     Repeated rows stay and count; other columns are not carried.
     """
     names = {"id": id_col}
@@ -126,18 +126,18 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     s = stored(s.withColumn("base_failed", base_failed()).select("*", *_features()))
     count = s.where("NOT base_failed").groupBy("lang", "source").agg(F.count("*").alias("n"))
     own = F.to_json(F.struct("lang", "source"), {"ignoreNullFields": "false"})
-    count = count.withColumn("one", F.col("n") >= LEAST_ROWS)
+    count = count.withColumn("one", F.col("n") >= least_rows)
     by_lang = count.where("NOT one").groupBy("lang").agg(F.sum("n").alias("n_lang")).withColumnRenamed("lang", "lang_")
     keys = count.join(by_lang, F.col("lang").eqNullSafe(F.col("lang_")), "left")
-    keys = keys.select(F.col("lang").alias("l"), F.col("source").alias("s"), F.when(F.col("one"), own).when(F.col("n_lang") >= LEAST_ROWS, F.to_json(F.struct("lang"), {"ignoreNullFields": "false"})).otherwise("all").alias("key"))
+    keys = keys.select(F.col("lang").alias("l"), F.col("source").alias("s"), F.when(F.col("one"), own).when(F.col("n_lang") >= least_rows, F.to_json(F.struct("lang"), {"ignoreNullFields": "false"})).otherwise("all").alias("key"))
     rows = s.where("NOT base_failed").join(stored(keys), F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left").drop("l", "s")
     rows = stored(rows)
-    enough = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_ROWS).select("key")
+    enough = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= least_rows).select("key")
     est = robust_estimates(rows.join(enough, "key", "left_semi"))
     judged = rows.join(bounded_broadcast(est, est.count(), 20_000), "key", "left").withColumn("distance", F.sqrt(_distance()))
     both = judged.unionByName(s.where("base_failed"), allowMissingColumns=True)
     out = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return both.select(F.col("id").alias(names["id"]), *out, (~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF**0.5, F.lit(True))).alias("kept"), "distance")
+    return both.select(F.col("id").alias(names["id"]), *out, (~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff**0.5, F.lit(True))).alias("kept"), "distance")
 
 
 def op6_quality_rules(spark, sf_dir):
