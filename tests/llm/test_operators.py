@@ -54,6 +54,15 @@ def test_leaks_odd(spark, odd, none):
     assert decontaminate.leaked_items(odd, items.where("false")).count() == 0 == decontaminate.leaked_items(none, items).count()
 
 
+def test_blocks_of_items(spark, sf, monkeypatch):
+    """Scores don't depend on how many blocks the items are cut into."""
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").unionByName(spark.createDataFrame([(-1, ""), (-2, None), (-3, " . ")], "item_id long, text string"))
+    found = lambda: {(r.doc_id, r.item_id): (round(r.score, 9), r.question_overlap, r.answer_overlap) for r in decontaminate.leaked_items(documents(spark, sf), items, share=0.3, overlap=0.1).collect()}
+    whole = found()
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 15)
+    assert found() == whole and whole
+
+
 # 2: line dedup
 
 
@@ -310,6 +319,26 @@ def test_outliers(spark):
     assert not got.pop(100) and sum(got.values()) >= 78
 
 
+def test_labelled_quality(spark):
+    """Of the documents that pass the base rules nearly all labelled good are kept and nearly all labelled bad rejected."""
+    folder = "/root/testdata/sf0.01"
+    got = quality.quality_rules(documents(spark, folder)).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("NOT base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept"), F.count("*").alias("n")).collect()
+    kept = {r.quality: r.kept for r in got}
+    assert min(r.n for r in got) >= 10 and kept[1] >= 0.98 and kept[0] <= 0.1
+
+
+def test_small_groups(spark):
+    """A pair of language and source is judged by its own estimate from least_rows rows on, else with the others of its language."""
+    r = random.Random(3)
+    text = lambda unit, n: " ".join(r.choice(unit) for _ in range(n))
+    rows = [(i, text(["tree", "river", "stone", "of"], r.randint(60, 120)), "en", "a") for i in range(60)] + [(100 + i, text(["#tree", "river", "#stone"], r.randint(60, 120)), "en", "b") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    own = {x.doc_id: x for x in quality.quality_rules(docs, least_rows=30).collect()}
+    assert all(own[100 + i].kept for i in range(28)) and all(x.distance is not None for x in own.values())
+    alone = {x.doc_id: x for x in quality.quality_rules(docs, least_rows=31).collect()}
+    assert all(alone[100 + i].distance is None and alone[100 + i].kept for i in range(30)) and alone[0].distance is not None
+
+
 def test_quality_odd(odd, none):
     got = {r.doc_id: r for r in quality.quality_rules(odd).collect()}
     assert got[1].n_words == 0 and not got[1].kept and got[5].n_repeat_words == 20000
