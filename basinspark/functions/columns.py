@@ -188,6 +188,28 @@ def depth_weighted(layers: list[Column], thickness: tuple[int, ...] = (5, 10, 15
     return sum((F.coalesce(c, F.lit(0.0)) * t for c, t in zip(layers, thickness, strict=True)), F.lit(0.0)) / sum(thickness)
 
 
+# Fixed values of the pedotransfer functions: constant, then factors of sand, clay and silt.
+POROSITY = (0.46, 0.0, -0.0026, 0.0)
+FIELD_CAPACITY = (0.2576, -0.002, 0.0036, 0.0299)
+WILTING_POINT = (0.026, 0.0, 0.005, 0.0158)
+
+
+def soil_hydraulics(sand: list[Column], clay: list[Column], silt: list[Column]) -> dict[str, Column]:
+    """Depth-weighted texture, and from it porosity, field capacity, wilting point, available water and conductivity (mm/h)."""
+    mean = [depth_weighted(layers) for layers in (sand, clay, silt)]
+    linear = lambda k: sum((m * f for m, f in zip(mean, k[1:], strict=True)), F.lit(k[0]))
+    porosity, capacity, wilting = linear(POROSITY), linear(FIELD_CAPACITY), linear(WILTING_POINT)
+    ksat = 10 * 2.54 * 2.778e-6 * F.pow(F.lit(10.0), 3.0 * porosity - 8.5)
+    return {"sand": mean[0], "clay": mean[1], "silt": mean[2], "porosity": porosity, "field_capacity": capacity, "wilting_point": wilting, "available_water": capacity - wilting, "ksat": ksat}
+
+
+def qc_filter(df: DataFrame, flag: str, op: str, limit: float) -> DataFrame:
+    """Rows whose quality flag is at most (<=) or at least (>=) the limit; a null flag drops the row."""
+    if op not in ("<=", ">="):
+        raise ValueError(f"no such comparison: {op}")
+    return df.where(F.col(flag) <= limit if op == "<=" else F.col(flag) >= limit)
+
+
 def apply_scale(c: Column, scale: float = 1.0, offset: float = 0.0, nodata: float | None = None, default: float | None = None) -> Column:
     v = F.nullif(c, F.lit(nodata)) if nodata is not None else c
     v = v * scale + offset

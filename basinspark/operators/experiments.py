@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.columns import renumber
 from ..scratch import stored
 
 
@@ -56,10 +57,11 @@ def spearman_sensitivity(df: DataFrame, parameters: list[str], score: str) -> Da
 
 def rbd_fast(df: DataFrame, parameters: list[str], score: str, tie: list[str], m: int = 10) -> DataFrame:
     """First-order index of each parameter: samples up and down again in its order, power of harmonics 1..m of the score
-    over the total, corrected for bias."""
+    over the total, corrected for bias. Rows are numbered by a range-partitioned sort, not a task for each parameter."""
     long = _long(df, [*tie, F.col(score).cast("double").alias("y")], parameters)
-    all_ = W.partitionBy("parameter")
-    d = long.withColumn("n", F.count("*").over(all_)).withColumn("i", F.row_number().over(all_.orderBy("v", *tie)) - 1)
+    d = renumber(long.select("parameter", "v", *tie, "y"), ["parameter", "v", *tie], "_at")
+    start = d.groupBy("parameter").agg(F.min("_at").alias("_first"), F.count("*").alias("n"))
+    d = d.join(F.broadcast(start), "parameter").withColumn("i", F.col("_at") - F.col("_first"))
     # odd positions going up, even ones coming down
     d = d.withColumn("j", F.when(F.col("i") % 2 == 0, F.floor(F.col("i") / 2)).otherwise(F.col("n") - 1 - F.floor(F.col("i") / 2)))
     a = lambda k: 2 * math.pi * k * F.col("j") / F.col("n")
@@ -95,21 +97,29 @@ def pareto_front(df: DataFrame, f1: str, f2: str) -> DataFrame:
     """Rows that no other dominates (both objectives greater is better), equal ones kept.
 
     With two objectives dominance needs no pairs: of each f1 the greatest f2, then the running greatest f2 of all
-    greater f1, over one row a distinct f1."""
-    top = df.groupBy(f1).agg(F.max(f2).alias("_top"))
-    ahead = F.max("_top").over(W.orderBy(F.col(f1).desc()).rowsBetween(W.unboundedPreceding, -1))
-    front = top.withColumn("_a", ahead).where("_a IS NULL OR _top > _a").select(f1, F.col("_top").alias(f2))
+    greater f1, over one row a distinct f1. These are sorted by ranges; a range takes the greatest f2 of those before it
+    from a table of one row a range."""
+    top = stored(df.groupBy(f1).agg(F.max(f2).alias("_top")).sort(F.col(f1).desc()).withColumn("_p", F.spark_partition_id()))
+    most = top.groupBy("_p").agg(F.max("_top").alias("_m"))
+    before = most.select("_p", F.max("_m").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)).alias("_b"))
+    ahead = F.greatest(F.max("_top").over(W.partitionBy("_p").orderBy(F.col(f1).desc()).rowsBetween(W.unboundedPreceding, -1)), F.col("_b"))
+    front = top.join(F.broadcast(before), "_p").withColumn("_a", ahead).where("_a IS NULL OR _top > _a").select(f1, F.col("_top").alias(f2))
     return df.join(front, [f1, f2], "left_semi")
 
 
-def pareto_ranks(df: DataFrame, key: str, f1: str, f2: str, rounds: int = 3) -> DataFrame:
-    """Front numbers 0..rounds-1 by peeling; what lies behind has rank `rounds`."""
-    left, out = df, None
-    for r in range(rounds):
+def pareto_ranks(df: DataFrame, key: str, f1: str, f2: str, rounds: int | None = None) -> DataFrame:
+    """Front numbers from 0 by peeling, to the last front; with `rounds`, what lies behind so many fronts has rank `rounds`.
+
+    A row with a null objective is in no front: its rank is null."""
+    whole = F.col(f1).isNotNull() & F.col(f2).isNotNull()
+    left, out, r = df.where(whole), df.where(~whole).withColumn("front", F.lit(None).cast("int")), 0
+    while rounds is None or r < rounds:
         front = stored(pareto_front(left, f1, f2).withColumn("front", F.lit(r)))
-        out = front if out is None else out.unionByName(front)
+        if front.isEmpty():
+            break
+        out, r = out.unionByName(front), r + 1
         left = stored(left.join(front.select(key), key, "left_anti"))
-    return out.unionByName(left.withColumn("front", F.lit(rounds)))
+    return out.unionByName(left.withColumn("front", F.lit(r)))
 
 
 def crowding_distance(df: DataFrame, keys: list[str], key: str, objectives: list[str]) -> DataFrame:
@@ -135,6 +145,19 @@ def knee_point(front: DataFrame, key: str, f1: str, f2: str) -> DataFrame:
     return d.orderBy("distance", key).limit(1).select(key, f1, f2, "distance")
 
 
+def composite_best(df: DataFrame, key: str, nse: str, kge: str) -> DataFrame:
+    """The row of the greatest (nse + 1) / 2 + (kge + 1) / 2, ties to the lowest key; rows with a null are passed over."""
+    d = df.withColumn("composite", (F.col(nse) + 1) / 2 + (F.col(kge) + 1) / 2).where("composite IS NOT NULL")
+    return d.orderBy(F.col("composite").desc(), key).limit(1).select(key, nse, kge, "composite")
+
+
+def total_flow(df: DataFrame, time: str, flow: str, least: int = 10) -> DataFrame:
+    """Sum of all outlets at each time, and how many; null everywhere where fewer than `least` times are there to score."""
+    d = df.groupBy(time).agg(F.sum(flow).alias(flow), F.count("*").alias("n"))
+    times = d.agg(F.count("*").alias("_n"))
+    return d.crossJoin(F.broadcast(times)).withColumn(flow, F.when(F.col("_n") >= least, F.col(flow))).drop("_n")
+
+
 def history(df: DataFrame, generation: str, score: str) -> DataFrame:
     """Best, mean, std and valid count of each generation, running best, percent change and generations without progress."""
     g = df.groupBy(generation).agg(F.max(score).alias("best"), F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"), F.count(score).alias("valid"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.columns import renumber
 from ..scratch import stored
 
 
@@ -80,6 +81,17 @@ def morphometry(segments: DataFrame, keys: list[str], length: str, order: str) -
     return n.withColumn("share", F.col("n") / F.sum("n").over(w)).withColumn("bifurcation", F.when(follows, F.col("n") / nxt))
 
 
+def prepare_network(df: DataFrame, outlets: list[int], seg: str = "seg", down: str = "down", length: str = "length", slope: str = "slope") -> DataFrame:
+    """Length null or 0 becomes 1, slope 0.001 (if there is such a column); the segments listed flow out of the network (0)."""
+    defaults = {c: F.coalesce(F.nullif(F.col(c), F.lit(0.0)), F.lit(v)) for c, v in ((length, 1.0), (slope, 0.001)) if c in df.columns}
+    return df.withColumns({**defaults, down: F.when(F.col(seg).isin(outlets), 0).otherwise(F.col(down))})
+
+
+def default_segment(df: DataFrame, seg: str = "seg", down: str = "down") -> DataFrame:
+    """Where no pour point is given: the outlet (down = 0) of lowest id, else the segment of lowest id."""
+    return df.agg(F.coalesce(F.min(F.when(F.col(down) == 0, F.col(seg))), F.min(seg)).alias(seg))
+
+
 def topology(segments: DataFrame, units: DataFrame, unit: str = "unit_id", area: str = "area") -> DataFrame:
     """Routing table: each unit with the segment it drains to (its most downstream, here lowest id) and its area."""
     to = segments.groupBy(unit).agg(F.min("seg").alias("seg"))
@@ -96,10 +108,9 @@ def spread(totals: DataFrame, units: DataFrame, key: str, value: str, area: str)
 
 def map_units(df: DataFrame, order: str, k: int) -> DataFrame:
     """Units in order, dealt to k blocks of n // k (the last takes the rest); for n < k each unit stands for itself."""
-    w = W.orderBy(order)
     n = df.agg(F.count("*").alias("_n"))
-    d = df.withColumn("_i", F.row_number().over(w) - 1).crossJoin(F.broadcast(n))
-    return d.withColumn("block", F.least(F.lit(k - 1), F.floor(F.col("_i") / F.greatest(F.lit(1), F.floor(F.col("_n") / k)))).cast("int")).drop("_i", "_n")
+    d = renumber(df, [order], "_number").withColumn("_at", F.col("_number") - 1).crossJoin(F.broadcast(n))
+    return d.withColumn("block", F.least(F.lit(k - 1), F.floor(F.col("_at") / F.greatest(F.lit(1), F.floor(F.col("_n") / k)))).cast("int")).drop("_number", "_at", "_n")
 
 
 def merge_small(units: DataFrame, adjacency: DataFrame, least: float, most_rounds: int = 50) -> DataFrame:

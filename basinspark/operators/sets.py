@@ -42,3 +42,17 @@ def upsert(existing: DataFrame, new: DataFrame, keys: list[str], mode: str = "fu
     fresh = new.withColumnsRenamed({c: f"_{c}" for c in shared})
     d = existing.join(fresh, keys, mode)
     return d.withColumns({c: F.coalesce(f"_{c}", c) for c in shared}).drop(*[f"_{c}" for c in shared])
+
+
+def known_units(df: DataFrame, units: DataFrame, unit: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose unit is among `units`, and the report of units that are not. None left is an error."""
+    own = units.select(unit).distinct()
+    kept, missing = df.join(own, unit, "left_semi"), df.select(unit).distinct().join(own, unit, "left_anti")
+    if kept.isEmpty():
+        raise ValueError(f"no row has a known {unit}")
+    return kept, missing
+
+
+def mask_union(masks: list[DataFrame], cell: str) -> DataFrame:
+    """Cells that any of the masks has, each once."""
+    return reduce(lambda a, b: a.unionByName(b), [m.select(cell) for m in masks]).distinct()

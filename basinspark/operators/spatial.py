@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..scratch import stored
+
 
 def _bins(low: Column, high: Column, size: float) -> Column:
     return F.explode(F.sequence(F.floor(low / size), F.floor(high / size)))
@@ -174,16 +176,50 @@ def line_density(segments: DataFrame, areas: DataFrame, unit: str, length: str)
     return areas.join(s, unit, "left").select(unit, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("total", F.lit(0.0)).alias("total"), (F.coalesce("total", F.lit(0.0)) / F.col("area")).alias("density"))
 
 
-def nearest_zone(points: DataFrame, zones: DataFrame, most: int = 100_000) -> DataFrame:
-    """Each point with the zone of the nearest centroid, ties to the lowest id. Centroids are a checked small table: the
-    squared distances to all are an array expression, not a join."""
-    z = zones.select("unit_id", ((F.col("xmin") + F.col("xmax")) / 2).alias("cx"), ((F.col("ymin") + F.col("ymax")) / 2).alias("cy"))
-    if z.count() > most:
-        raise ValueError(f"more than {most} zones: join by bins first")
-    all_ = z.agg(F.collect_list(F.struct("cx", "cy", "unit_id")).alias("_z"))
-    d = points.crossJoin(F.broadcast(all_))
-    near = F.array_min(F.transform("_z", lambda k: F.struct(((k["cx"] - F.col("x")) ** 2 + (k["cy"] - F.col("y")) ** 2).alias("d2"), k["unit_id"].alias("unit_id"))))
-    return d.withColumn("_n", near).select(*points.columns, F.col("_n.unit_id").alias("unit_id"), F.sqrt("_n.d2").alias("distance"))
+def nearest_segment(points: DataFrame, segments: DataFrame, key: str = "seg") -> DataFrame:
+    """Each point (x, y and other columns) with the nearest of the segments (key, x1, y1, x2, y2) and its distance, ties to the
+    lowest key. A point without coordinates, and any point where there are no segments, gets nulls.
+
+    Places meet segments in square bins: a segment is in every bin within a bin's width of it, so that what is found within a
+    width is the nearest. Places with nothing so near try again in bins four times as wide.
+    """
+    ends = ["x1", "y1", "x2", "y2"]
+    s = stored(segments.select(F.col(key).alias("_id"), *[F.col(c).cast("double").alias(c) for c in ends]).dropna(subset=ends))
+    rows = points.withColumns({"_x": F.col("x").cast("double"), "_y": F.col("y").cast("double")})
+    left = stored(rows.select("_x", "_y").dropna().distinct())
+    low = lambda c: F.least(f"{c}1", f"{c}2")
+    high = lambda c: F.greatest(f"{c}1", f"{c}2")
+    n, side, *box = s.agg(F.count("*"), F.avg(F.greatest(high("x") - low("x"), high("y") - low("y"))), F.min(low("x")), F.max(high("x")), F.min(low("y")), F.max(high("y"))).first()
+    mine = left.agg(F.min("_x"), F.max("_x"), F.min("_y"), F.max("_y")).first()
+    none = [F.lit(None).cast(s.schema["_id"].dataType).alias(key), F.lit(None).cast("double").alias("distance")]
+    if not n or mine[0] is None:
+        return points.select("*", *none)
+    span = max(max(box[1], mine[1]) - min(box[0], mine[0]), max(box[3], mine[3]) - min(box[2], mine[2]))
+    width = max(side, span / n**0.5) or 1.0
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    along = ((F.col("_x") - F.col("x1")) * dx + (F.col("_y") - F.col("y1")) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))
+    t = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), along)), F.lit(0.0))
+    d2 = F.pow(F.col("x1") + t * dx - F.col("_x"), F.lit(2)) + F.pow(F.col("y1") + t * dy - F.col("_y"), F.lit(2))
+    out = None
+    while True:
+        bins = lambda c: F.sequence(F.floor((low(c) - width) / width), F.floor((high(c) + width) / width))
+        dealt = s.withColumn("_bx", F.explode(bins("x"))).withColumn("_by", F.explode(bins("y")))
+        here = left.withColumns({"_bx": F.floor(F.col("_x") / width), "_by": F.floor(F.col("_y") / width)})
+        near = here.join(dealt, ["_bx", "_by"]).groupBy("_x", "_y").agg(F.min(F.struct(d2.alias("d2"), F.col("_id"))).alias("_n"))
+        last = width > 2 * span
+        found = stored(near if last else near.where(F.sqrt("_n.d2") < 0.999 * width))
+        out = found if out is None else out.unionByName(found)
+        left = stored(left.join(found, ["_x", "_y"], "left_anti"))
+        if last or left.isEmpty():
+            break
+        width *= 4
+    return rows.join(out, ["_x", "_y"], "left").select(*points.columns, F.col("_n._id").alias(key), F.sqrt("_n.d2").alias("distance"))
+
+
+def nearest_zone(points: DataFrame, zones: DataFrame) -> DataFrame:
+    """Each point with the zone of the nearest centroid, ties to the lowest id: the nearest of segments without length."""
+    x, y = (F.col("xmin") + F.col("xmax")) / 2, (F.col("ymin") + F.col("ymax")) / 2
+    return nearest_segment(points, zones.select("unit_id", x.alias("x1"), y.alias("y1"), x.alias("x2"), y.alias("y2")), "unit_id")
 
 
 def point_unit(points: DataFrame, d: float) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
+from ..operators import network as n
 from .base import Query
 
 CLASSES = {"metal": ["tin", "steel", "nickel", "brass", "copper"], "plated": ["plated"], "large": ["large", "economy"]}
@@ -32,7 +33,7 @@ QUERIES = [
     Query("b08_spinup_year", "basin:s d:d", lambda v: c.drop_spinup(v.flow_daily, ["basin"], "d", "first_year"), "SELECT basin, d FROM flow_daily QUALIFY year(d) > year(min(d) OVER (PARTITION BY basin))"),
     Query("b08_spinup_percent", "basin:s d:d", lambda v: c.drop_spinup(v.flow_daily, ["basin"], "d", "percent", 20), "SELECT basin, d FROM flow_daily QUALIFY d-min(d) OVER (PARTITION BY basin) >= floor((max(d) OVER (PARTITION BY basin)-min(d) OVER (PARTITION BY basin))*20/100)"),
     Query("b09_clean_numeric", "p_partkey:i value:f", lambda v: v.table("part").select("p_partkey", c.clean_numeric(F.expr(TOKEN.replace("VARCHAR", "STRING"))).alias("value")), "SELECT p_partkey, CASE WHEN p_size%7<4 THEN NULL ELSE p_size END AS value FROM part"),
-    Query("b10_qc", "event_id:i value:f", lambda v: v.table("events").where((F.col("user_id") % 4 <= 1) & F.col("value").isNotNull()), "SELECT event_id, value FROM events WHERE user_id%4<=1"),
+    Query("b10_qc", "event_id:i value:f", lambda v: c.qc_filter(v.table("events").withColumn("qc", F.col("user_id") % 4), "qc", "<=", 1), "SELECT event_id, value FROM events WHERE user_id%4<=1"),
     Query("b11_clip", "basin:s d:d t:f p:f", lambda v: c.clip_ranges(v.precip_daily, {"t": (268.0, 274.0), "p": (1.0, 20.0)}), "SELECT basin, d, least(greatest(t,268),274) AS t, least(greatest(p,1),20) AS p FROM precip_daily"),
     Query("b11_counts", "basin:s t_below:i t_above:i p_below:i p_above:i", lambda v: c.range_counts(v.precip_daily, ["basin"], {"t": (268.0, 274.0), "p": (1.0, 20.0)}), "SELECT basin, count(*) FILTER (t<268) AS t_below, count(*) FILTER (t>274) AS t_above, count(*) FILTER (p<1) AS p_below, count(*) FILTER (p>20) AS p_above FROM precip_daily GROUP BY basin"),
     Query("b12_validate", "basin:s n:i q_missing:i temperature_bad:i flow_negative:i precipitation_large:i", lambda v: c.validate(v.wb.drop("d"), ["basin"], "t", "q", "p"), "SELECT basin, count(*) AS n, count(*) FILTER (q IS NULL) AS q_missing, count(*) FILTER (t NOT BETWEEN 200 AND 330) AS temperature_bad, count(*) FILTER (q<0) AS flow_negative, count(*) FILTER (p>1000) AS precipitation_large FROM wb GROUP BY basin"),
@@ -50,8 +51,11 @@ QUERIES = [
     Query("b24_dedup", "site:i variable:s ts:t value:f", lambda v: c.dedup(v.obs_event, ["site", "variable"], [F.col("value").desc(), F.col("ts")]), "SELECT site, variable, ts, value FROM obs_event QUALIFY row_number() OVER (PARTITION BY site, variable ORDER BY value DESC, ts)=1"),
     Query("b25_renumber", "cell_id:i new_id:i", lambda v: c.renumber(v.cells, ["cls", "elev", "cell_id"]), "SELECT cell_id, row_number() OVER (ORDER BY cls, elev, cell_id) AS new_id FROM cells"),
     Query("b28_normalise", "id:i n:f back:f", lambda v: v.solutions.select("id", "f1", c.normalise(F.col("f1"), F.lit(900.0), F.lit(1500.0)).alias("n")).withColumn("back", c.denormalise(F.col("n"), F.lit(900.0), F.lit(1500.0))), "SELECT id, greatest(0, least(1, (f1-900)/600)) AS n, 900+greatest(0, least(1, (f1-900)/600))*600 AS back FROM solutions"),
+    Query("b22_hydraulics", "cell_id:i sand:f clay:f silt:f porosity:f field_capacity:f wilting_point:f available_water:f log_ksat:f",
+          lambda v: v.cells.select("cell_id", *[x.alias(k) for k, x in c.soil_hydraulics([F.when(F.col("cls") % 3 != i % 3, F.col("elev") / 10 + i) for i in range(6)], [F.col("cls") + i for i in range(6)], [F.col("cls") * 2 - i for i in range(6)]).items()]).withColumn("log_ksat", F.log10("ksat")),
+          "WITH m AS (SELECT cell_id, (" + "+".join(f"CASE WHEN cls%3<>{i % 3} THEN (elev/10+{i})*{t} ELSE 0 END" for i, t in enumerate((5, 10, 15, 30, 40, 100))) + ")/200 AS sand, (" + "+".join(f"(cls+{i})*{t}" for i, t in enumerate((5, 10, 15, 30, 40, 100))) + ")/200.0 AS clay, (" + "+".join(f"(cls*2-{i})*{t}" for i, t in enumerate((5, 10, 15, 30, 40, 100))) + ")/200.0 AS silt FROM cells), h AS (SELECT *, 0.46-0.0026*clay AS porosity, 0.2576-0.002*sand+0.0036*clay+0.0299*silt AS field_capacity, 0.026+0.005*clay+0.0158*silt AS wilting_point FROM m) SELECT *, field_capacity-wilting_point AS available_water, log10(10*2.54*2.778e-6)+3.0*porosity-8.5 AS log_ksat FROM h"),
     Query("b26_fractions", "unit_id:i cls:i f:f", lambda v: c.clean_fractions(_fractions(v), ["unit_id"], "cls", "f", 0.05), "WITH n AS (SELECT unit_id, cls, count(*)*1.0/sum(count(*)) OVER (PARTITION BY unit_id) AS f FROM inzone GROUP BY 1, 2), z AS (SELECT unit_id, cls, CASE WHEN f<0.05 THEN 0 ELSE f END AS f FROM n) SELECT unit_id, cls, CASE WHEN sum(f) OVER (PARTITION BY unit_id)>0 THEN f/sum(f) OVER (PARTITION BY unit_id) ELSE f END AS f FROM z"),
-    Query("b27_network_defaults", "seg:i down:i length:f", lambda v: v.network.withColumn("length", F.coalesce(F.nullif(F.when(F.col("seg") % 10 != 0, F.col("length")), F.lit(0.0)), F.lit(1.0))).withColumn("down", F.when(F.col("seg").isin(7, 11, 13), 0).otherwise(F.col("down"))), "SELECT seg, CASE WHEN seg IN (7,11,13) THEN 0 ELSE down END AS down, CASE WHEN seg%10=0 OR length=0 THEN 1 ELSE length END AS length FROM network"),
+    Query("b27_network_defaults", "seg:i down:i length:f", lambda v: n.prepare_network(v.network.withColumn("length", F.when(F.col("seg") % 10 != 0, F.col("length"))), [7, 11, 13]), "SELECT seg, CASE WHEN seg IN (7,11,13) THEN 0 ELSE down END AS down, CASE WHEN seg%10=0 OR length=0 THEN 1 ELSE length END AS length FROM network"),
 ]
 
 

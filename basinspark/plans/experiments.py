@@ -50,6 +50,7 @@ QUERIES = [
     Query("d32_pareto", "id:i f1:f f2:f", lambda v: x.pareto_front(v.solutions, "f1", "f2"), "SELECT * FROM solutions a WHERE NOT EXISTS (SELECT 1 FROM solutions b WHERE b.f1>=a.f1 AND b.f2>=a.f2 AND (b.f1>a.f1 OR b.f2>a.f2))"),
     Query("d32_pareto_ranks", "id:i front:i", lambda v: x.pareto_ranks(v.solutions, "id", "f1", "f2", 2), "WITH d AS (SELECT a.id FROM solutions a WHERE NOT EXISTS (SELECT 1 FROM solutions b WHERE b.f1>=a.f1 AND b.f2>=a.f2 AND (b.f1>a.f1 OR b.f2>a.f2))), r AS (SELECT * FROM solutions WHERE id NOT IN (SELECT id FROM d)), e AS (SELECT a.id FROM r a WHERE NOT EXISTS (SELECT 1 FROM r b WHERE b.f1>=a.f1 AND b.f2>=a.f2 AND (b.f1>a.f1 OR b.f2>a.f2))) SELECT id, CASE WHEN id IN (SELECT id FROM d) THEN 0 WHEN id IN (SELECT id FROM e) THEN 1 ELSE 2 END AS front FROM solutions"),
     Query("d33_crowding", "id:i crowding:f", lambda v: x.crowding_distance(v.solutions.withColumn("g", F.col("id") % 5), ["g"], "id", ["f1", "f2"]).where("crowding < 1e300"), "WITH s AS (SELECT id, id%5 AS g, f1, f2 FROM solutions), c AS (SELECT id, (lead(f1) OVER (PARTITION BY g ORDER BY f1, id)-lag(f1) OVER (PARTITION BY g ORDER BY f1, id))/(max(f1) OVER (PARTITION BY g)-min(f1) OVER (PARTITION BY g)) AS a, (lead(f2) OVER (PARTITION BY g ORDER BY f2, id)-lag(f2) OVER (PARTITION BY g ORDER BY f2, id))/(max(f2) OVER (PARTITION BY g)-min(f2) OVER (PARTITION BY g)) AS b FROM s) SELECT id, a+b AS crowding FROM c WHERE a IS NOT NULL AND b IS NOT NULL"),
+    Query("d34_composite", "id:i composite:f", lambda v: x.composite_best(v.solutions.selectExpr("id", "f1 / 2000 AS nse", "f2 / 50 AS kge"), "id", "nse", "kge"), "SELECT id, (f1/2000+1)/2+(f2/50+1)/2 AS composite FROM solutions ORDER BY 2 DESC, 1 LIMIT 1"),
     Query("d34_knee", "id:i distance:f", lambda v: x.knee_point(x.pareto_front(v.solutions, "f1", "f2"), "id", "f1", "f2"), "WITH p AS (SELECT * FROM solutions a WHERE NOT EXISTS (SELECT 1 FROM solutions b WHERE b.f1>=a.f1 AND b.f2>=a.f2 AND (b.f1>a.f1 OR b.f2>a.f2))), b AS (SELECT min(f1) AS a1, max(f1) AS b1, min(f2) AS a2, max(f2) AS b2 FROM p) SELECT id, sqrt(pow(1-CASE WHEN b1>a1 THEN (f1-a1)/(b1-a1) ELSE 1 END,2)+pow(1-CASE WHEN b2>a2 THEN (f2-a2)/(b2-a2) ELSE 1 END,2)) AS distance FROM p, b ORDER BY 2, 1 LIMIT 1"),
     Query("d35_diversity", "label:i mean_distance:f", lambda v: x.mean_pairwise_distance(v.table("embeddings"), ["label"], "embedding"), "SELECT a.label, avg(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: pow(z[1]::DOUBLE - z[2]::DOUBLE, 2))))) FILTER (a.vec_id < b.vec_id) AS mean_distance FROM embeddings a JOIN embeddings b ON a.label = b.label GROUP BY a.label"),
     Query("d36_history", "g:i best:f mean:f std:f valid:i running_best:f change_pct:f stagnation:i", lambda v: x.history(v.samples.withColumn("g", F.col("l_orderkey") % 40), "g", "score"), "WITH a AS (SELECT l_orderkey%40 AS g, max(score) AS best, avg(score) AS mean, stddev_pop(score) AS std, count(score) AS valid FROM samples GROUP BY 1), r AS (SELECT *, max(best) OVER (ORDER BY g) AS running_best FROM a), c AS (SELECT *, lag(running_best) OVER (ORDER BY g) AS p FROM r), i AS (SELECT *, sum(CASE WHEN running_best>p THEN 1 ELSE 0 END) OVER (ORDER BY g) AS i FROM c) SELECT g, best, mean, std, valid, running_best, 100*(running_best-p)/abs(p) AS change_pct, row_number() OVER (PARTITION BY i ORDER BY g)-1 AS stagnation FROM i"),
@@ -57,7 +58,7 @@ QUERIES = [
     Query("d38_uncertainty", "parameter:s mean:f std:f p5:f p95:f cv:f", lambda v: x.uncertainty(v.samples, ["p1", "p2", "p3"]), f"SELECT parameter, avg(v) AS mean, stddev_pop(v) AS std, quantile_cont(v,0.05) AS p5, quantile_cont(v,0.95) AS p95, stddev_pop(v)/abs(avg(v)) AS cv FROM {P3} GROUP BY 1"),
     Query("d39_forcing_summary", "basin:s variable:s mean:f std:f", lambda v: x.forcing_summary(v.precip_daily, ["basin"], ["p", "t"]), "SELECT basin, 'p' AS variable, avg(p) AS mean, stddev_pop(p) AS std FROM precip_daily GROUP BY 1 UNION ALL SELECT basin, 't', avg(t), stddev_pop(t) FROM precip_daily GROUP BY 1"),
     Query("d40_rollup", "n_regionkey:i c_nationkey:i level:i total:f weighted:f plain:f", lambda v: x.area_rollup(v.table("customer").join(v.table("nation"), F.col("c_nationkey") == F.col("n_nationkey")).withColumn("area", F.abs("c_acctbal")), "n_regionkey", "c_nationkey", "c_custkey", "area"), "SELECT n_regionkey, c_nationkey, grouping(n_regionkey, c_nationkey) AS level, sum(abs(c_acctbal)) AS total, sum(c_custkey*abs(c_acctbal))/sum(abs(c_acctbal)) AS weighted, avg(c_custkey) AS plain FROM customer JOIN nation ON c_nationkey=n_nationkey GROUP BY ROLLUP (n_regionkey, c_nationkey)"),
-    Query("d41_total_flow", "d:d q:f n:i", lambda v: v.flow_daily.groupBy("d").agg(F.sum("q").alias("q"), F.count("*").alias("n")), "SELECT d, sum(q) AS q, count(*) AS n FROM flow_daily GROUP BY 1"),
+    Query("d41_total_flow", "d:d q:f n:i", lambda v: x.total_flow(v.flow_daily, "d", "q"), "SELECT d, sum(q) AS q, count(*) AS n FROM flow_daily GROUP BY 1"),
     Query("g01_nearest_layer", "vec_id:i layer:i", lambda v: layers(v).select("vec_id", la.nearest_layer(F.col("a"), 0.5).alias("layer")), f"WITH l AS ({LAYERS}), c AS (SELECT vec_id, a, {CUM} AS c FROM l), m AS (SELECT vec_id, list_transform(range(1, len(a)+1), lambda i: abs(c[i]-a[i]/2-0.5)) AS m FROM c) SELECT vec_id, list_position(m, list_min(m))-1 AS layer FROM m"),
     Query("g02_rootzone", "vec_id:i mean:f", lambda v: layers(v).select("vec_id", la.rootzone_mean(F.col("s"), F.col("a"), 0.6).alias("mean")), f"WITH l AS ({LAYERS}), c AS (SELECT vec_id, s, {CUM} AS c FROM l), f AS (SELECT vec_id, s, list_filter(range(1, len(c)+1), lambda i: c[i]<=0.6::DOUBLE) AS k FROM c) SELECT vec_id, CASE WHEN len(k)>0 THEN list_sum(list_transform(k, lambda i: s[i]))/len(k) ELSE s[1] END AS mean FROM f"),
     Query("g03_water_table", "vec_id:i depth:f", lambda v: layers(v).select("vec_id", la.water_table(F.col("s"), F.col("a"), 0.8).alias("depth")), f"WITH l AS ({LAYERS}), c AS (SELECT vec_id, s, {CUM} AS c FROM l) SELECT vec_id, coalesce(list_max(list_transform(list_filter(range(1, len(c)+1), lambda i: s[i]>=0.8::DOUBLE), lambda i: c[i])), list_max(c)) AS depth FROM c"),

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import network as n
+from ..operators import sets
 from ..operators import spatial as s
 from .base import Query
 
@@ -28,7 +29,8 @@ QUERIES = [
     Query("e02_overlap", "unit_id:i cell_id:i area:f w:f", lambda v: s.overlap_weights(v.cells, v.zones), f"{W} SELECT unit_id, cell_id, area, w FROM w"),
     Query("e03_remap", "unit_id:i k:i elev:f", lambda v: s.remap(v.cells.select("cell_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("k"), "elev").withColumn("elev", F.when((F.col("cell_id") + F.col("k")) % 5 != 0, F.col("elev") * F.col("k"))), s.overlap_weights(v.cells, v.zones), "k", ["elev"], -9999.0), f"{W} SELECT unit_id, k, coalesce(sum(w*elev*k) FILTER ((cell_id+k)%5<>0)/sum(w) FILTER ((cell_id+k)%5<>0), -9999) AS elev FROM w, (VALUES (1),(2),(3)) t(k) GROUP BY 1, 2"),
     Query("e04_lapse", "unit_id:i t:f", lambda v: s.lapse_correct(v.zones.select("unit_id", F.lit(280.0).alias("t")), s.overlap_weights(v.cells, v.zones).join(v.cells.select("cell_id", F.col("elev").alias("forcing_elev")), "cell_id").withColumn("unit_elev", F.lit(1200.0)), "t"), f"{W} SELECT unit_id, 280+sum(w*0.0065*(elev-1200)) AS t FROM w GROUP BY 1"),
-    Query("e05_known_units", "cell_id:i", lambda v: v.cells.join(inzone(v).where("unit_id < 10").select("cell_id").distinct(), "cell_id", "left_semi"), "SELECT cell_id FROM inzone WHERE unit_id<10"),
+    Query("e05_missing_units", "unit_id:i", lambda v: sets.known_units(inzone(v), v.zones.where("unit_id < 10"), "unit_id")[1], "SELECT DISTINCT unit_id FROM inzone WHERE unit_id>=10"),
+    Query("e05_known_units", "cell_id:i", lambda v: sets.known_units(inzone(v), v.zones.where("unit_id < 10"), "unit_id")[0], "SELECT cell_id FROM inzone WHERE unit_id<10"),
     Query("e06_zonal", "unit_id:i n:i lo:f mean:f hi:f std:f median:f", lambda v: s.zonal_stats(inzone(v), ["unit_id"], "elev"), "SELECT unit_id, count(*) AS n, min(elev) AS lo, avg(elev) AS mean, max(elev) AS hi, stddev_pop(elev) AS std, median(elev) AS median FROM inzone GROUP BY 1"),
     Query("e07_circular", "unit_id:i circ_mean:f circ_std:f", lambda v: s.circ_stats(_aspect(v), ["unit_id"], "deg"), "WITH a AS (SELECT unit_id, avg(sin(radians((cell_id*7)%360))) AS s, avg(cos(radians((cell_id*7)%360))) AS c FROM inzone GROUP BY 1) SELECT unit_id, CASE WHEN atan2(s,c)<0 THEN degrees(atan2(s,c))+360 ELSE degrees(atan2(s,c)) END AS circ_mean, degrees(sqrt(-2*ln(sqrt(s*s+c*c)))) AS circ_std FROM a"),
     Query("e08_in_zone", "cell_id:i unit_id:i", inzone, "SELECT cell_id, unit_id FROM inzone"),
@@ -46,6 +48,8 @@ QUERIES = [
     Query("e20_rivers", "unit_id:i n:i total:f order_min:i order_max:i w_slope:f", lambda v: n.river_stats(net(v), ["unit_id"], "length", "ord", "slope"), f"SELECT unit_id, count(*) AS n, sum(length) AS total, min(ord) AS order_min, max(ord) AS order_max, sum(length*slope)/sum(length) AS w_slope FROM ({NET}) GROUP BY 1"),
     Query("e21_morphometry", "unit_id:i ord:i n:i total:f share:f bifurcation:f", lambda v: n.morphometry(net(v), ["unit_id"], "length", "ord"), f"WITH n AS (SELECT unit_id, ord, count(*) AS n, sum(length) AS total FROM ({NET}) GROUP BY 1, 2) SELECT *, n/sum(n) OVER (PARTITION BY unit_id) AS share, CASE WHEN lead(ord) OVER w=ord+1 THEN n/lead(n) OVER w END AS bifurcation FROM n WINDOW w AS (PARTITION BY unit_id ORDER BY ord)"),
     Query("e23_upstream", "outlet:i seg:i", lambda v: n.upstream(v.network, v.network.where("seg IN (5, 9, 700)").select("seg")), "WITH RECURSIVE u AS (SELECT seg AS outlet, seg FROM network WHERE seg IN (5, 9, 700) UNION SELECT outlet, n.seg FROM u JOIN network n ON n.down=u.seg) SELECT * FROM u"),
+    Query("e22_nearest_segment", "cell_id:i seg:i distance:f", lambda v: s.nearest_segment(v.cells.select("cell_id", "x", "y"), v.network.selectExpr("seg", "seg % 40 AS x1", "seg div 40 AS y1", "seg % 40 + down % 3 AS x2", "seg div 40 + seg % 2 AS y2")), "WITH l AS (SELECT seg, seg%40 AS x1, seg//40 AS y1, down%3 AS dx, seg%2 AS dy FROM network), t AS (SELECT cell_id, x, y, l.*, CASE WHEN dx=0 AND dy=0 THEN 0.0 ELSE greatest(0.0, least(1.0, ((x-x1)*dx+(y-y1)*dy)::DOUBLE/(dx*dx+dy*dy))) END AS t FROM cells, l), d AS (SELECT cell_id, seg, pow(x1+t*dx-x, 2)+pow(y1+t*dy-y, 2) AS d2 FROM t) SELECT cell_id, seg, sqrt(d2) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY d2, seg)=1"),
+    Query("e22_default_segment", "seg:i", lambda v: n.default_segment(v.network), "SELECT coalesce(min(CASE WHEN down=0 THEN seg END), min(seg)) AS seg FROM network"),
     Query("e24_subset", "seg:i length:f", lambda v: v.network.join(n.upstream(v.network, v.network.where("seg = 5").select("seg")).select("seg"), "seg", "left_semi"), "WITH RECURSIVE u AS (SELECT seg FROM network WHERE seg=5 UNION SELECT n.seg FROM u JOIN network n ON n.down=u.seg) SELECT seg, length FROM network WHERE seg IN (SELECT seg FROM u)"),
     Query("e25_order", "seg:i level:i", lambda v: n.downstream_order(v.network), "WITH RECURSIVE r AS (SELECT seg, 0 AS level FROM network WHERE seg NOT IN (SELECT down FROM network) UNION SELECT n.down, level+1 FROM r JOIN network n ON n.seg=r.seg WHERE n.down IN (SELECT seg FROM network)) SELECT seg, max(level) AS level FROM r GROUP BY 1"),
     Query("e26_unit_edges", "unit:i down_unit:i", lambda v: n.unit_edges(v.network), "SELECT DISTINCT a.unit_id AS unit, b.unit_id AS down_unit FROM network a JOIN network b ON a.down=b.seg WHERE a.unit_id<>b.unit_id"),
@@ -58,7 +62,7 @@ QUERIES = [
     Query("e33_terrain", "cell_id:i slope:f aspect:f", lambda v: s.terrain(v.cells),
           "WITH g AS (SELECT *, (coalesce(lead(elev) OVER r, elev)-coalesce(lag(elev) OVER r, elev))/nullif(coalesce(lead(x) OVER r, x)-coalesce(lag(x) OVER r, x),0) AS dx, (coalesce(lead(elev) OVER c, elev)-coalesce(lag(elev) OVER c, elev))/nullif(coalesce(lead(y) OVER c, y)-coalesce(lag(y) OVER c, y),0) AS dy FROM cells WINDOW r AS (PARTITION BY y ORDER BY x), c AS (PARTITION BY x ORDER BY y)), h AS (SELECT cell_id, coalesce(dx,0) AS dx, coalesce(dy,0) AS dy FROM g) SELECT cell_id, degrees(atan(sqrt(dx*dx+dy*dy))) AS slope, CASE WHEN dx=0 AND dy=0 THEN 180 WHEN atan2(-dx,-dy)<0 THEN degrees(atan2(-dx,-dy))+360 ELSE degrees(atan2(-dx,-dy)) END AS aspect FROM h"),
     Query("e34_cell_mode", "user_id:i mode:i", lambda v: s.cell_mode(v.table("events").select("user_id", (F.col("event_id") % 7).alias("k")), "user_id", "k"), "SELECT user_id, k AS mode FROM (SELECT user_id, event_id%7 AS k, count(*) AS n FROM events GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, k)=1"),
-    Query("e35_mask_union", "cell_id:i", lambda v: v.cells.where("cls > 12").select("cell_id").unionByName(v.cells.where("elev > 1500").select("cell_id")).distinct(), "SELECT cell_id FROM cells WHERE cls>12 UNION SELECT cell_id FROM cells WHERE elev>1500"),
+    Query("e35_mask_union", "cell_id:i", lambda v: sets.mask_union([v.cells.where("cls > 12"), v.cells.where("elev > 1500")], "cell_id"), "SELECT cell_id FROM cells WHERE cls>12 UNION SELECT cell_id FROM cells WHERE elev>1500"),
     Query("e36_elbow", "threshold:f", lambda v: s.elbow(v.cells.groupBy((F.col("cls") * 10.0).alias("t")).agg(F.avg("elev").alias("q")), "t", "q"), "WITH a AS (SELECT cls*10.0 AS t, log10(avg(elev)+1) AS y FROM cells GROUP BY 1), b AS (SELECT t, abs(lead(y) OVER w-2*y+lag(y) OVER w) AS c, lead(t) OVER w AS n FROM a WINDOW w AS (ORDER BY t)) SELECT n AS threshold FROM b WHERE c IS NOT NULL ORDER BY c DESC, t LIMIT 1"),
     Query("e37_merge_small", "unit:i merged:i", lambda v: n.merge_small(v.network.groupBy(F.col("unit_id").alias("unit")).agg(F.sum("length").alias("area")), n.unit_edges(v.network).select(F.col("unit").alias("a"), F.col("down_unit").alias("b")), 280_000.0)),
     Query("e38_nearest", "cell_id:i unit_id:i distance:f", lambda v: s.nearest_zone(v.cells.select("cell_id", "x", "y"), v.zones), "SELECT cell_id, unit_id, sqrt(d) AS distance FROM (SELECT cell_id, unit_id, pow((xmin+xmax)/2-x,2)+pow((ymin+ymax)/2-y,2) AS d FROM cells, zones) QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY d, unit_id)=1"),
