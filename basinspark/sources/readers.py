@@ -40,9 +40,9 @@ def read_rdb(spark: SparkSession, path: str, param: str = "00060") -> DataFrame:
 
 
 def read_utc_csv(spark: SparkSession, path: str, zone: str = "America/Edmonton") -> DataFrame:
-    """Columns `ISO 8601 UTC` and `Value` below # comments; times become wall time of the zone."""
+    """Columns `ISO 8601 UTC` and `Value` below # comments; times become wall time of the zone, null where they are no times."""
     d = spark.read.csv(path, header=True, comment="#")
-    utc = F.to_utc_timestamp(F.regexp_replace(F.col("`ISO 8601 UTC`"), "(Z|[+]00:00)$", "").cast("timestamp_ntz").cast("timestamp"), "UTC")
+    utc = F.to_utc_timestamp(F.regexp_replace(F.col("`ISO 8601 UTC`"), "(Z|[+]00:00)$", "").try_cast("timestamp_ntz").cast("timestamp"), "UTC")
     return d.select(F.convert_timezone(F.lit("UTC"), F.lit(zone), utc.cast("timestamp_ntz")).alias("ts"), clean_numeric(F.col("Value")).alias("value"))
 
 
