@@ -113,6 +113,11 @@ def map_units(df: DataFrame, order: str, k: int) -> DataFrame:
     return d.withColumn("block", F.least(F.lit(k - 1), F.floor(F.col("_at") / F.greatest(F.lit(1), F.floor(F.col("_n") / k)))).cast("int")).drop("_number", "_at", "_n")
 
 
+def replicate_units(df: DataFrame, k: int, name: str = "hru") -> DataFrame:
+    """Every row once for each of the k units 1..k: a catchment's series stands for all of them."""
+    return df.withColumn(name, F.explode(F.sequence(F.lit(1), F.lit(k)) if k > 0 else F.array().cast("array<int>")))
+
+
 def merge_small(units: DataFrame, adjacency: DataFrame, least: float, most_rounds: int = 50) -> DataFrame:
     """(unit, merged): units (unit, area) below `least` join their largest neighbour (a, b), round after round.
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.columns import renumber
 from ..scratch import stored
 
 
@@ -156,6 +157,38 @@ def terrain(cells: DataFrame, value: str = "elev", spacing: float = 1.0) -> Data
     return d.withColumn("slope", F.degrees(F.atan(F.sqrt(F.col("_dx") ** 2 + F.col("_dy") ** 2)))).withColumn("aspect", F.when(flat, 180.0).otherwise(F.pmod(F.degrees(F.atan2(-F.col("_dx"), -F.col("_dy"))), F.lit(360.0)))).drop("_dx", "_dy")
 
 
+def terrain_horn(cells: DataFrame, value: str = "elev", spacing: float = 1.0) -> DataFrame:
+    """Slope in degrees and aspect as in `terrain`, from the 3x3 window with weights 1, 2, 1: a pass along rows, then one along columns.
+
+    A neighbour that the table lacks counts as the cell itself in each pass.
+    """
+    row, col = W.partitionBy("y").orderBy("x"), W.partitionBy("x").orderBy("y")
+
+    def beside(fn, w, at: str, what: str, by: int) -> Column:
+        return F.when(fn(at).over(w) == F.col(at) + by, fn(what).over(w)).otherwise(F.col(what))
+
+    left, right = beside(F.lag, row, "x", value, -1), beside(F.lead, row, "x", value, 1)
+    d = cells.withColumn("_diff", right - left).withColumn("_sum", left + 2 * F.col(value) + right)
+    below, above = (lambda c: beside(F.lag, col, "y", c, -1)), (lambda c: beside(F.lead, col, "y", c, 1))
+    d = d.withColumn("_dx", (below("_diff") + 2 * F.col("_diff") + above("_diff")) / (8 * spacing)).withColumn("_dy", (above("_sum") - below("_sum")) / (8 * spacing))
+    flat = (F.col("_dx") == 0) & (F.col("_dy") == 0)
+    aspect = F.when(flat, 180.0).otherwise(F.pmod(F.degrees(F.atan2(-F.col("_dx"), -F.col("_dy"))), F.lit(360.0)))
+    return d.withColumn("slope", F.degrees(F.atan(F.sqrt(F.col("_dx") ** 2 + F.col("_dy") ** 2)))).withColumn("aspect", aspect).drop("_dx", "_dy", "_diff", "_sum")
+
+
+def quantile_class(df: DataFrame, value: str, k: int, name: str = "quantile") -> DataFrame:
+    """Class 0..k-1 by the value's exact quantiles at 1/k, 2/k, ..., interpolated; a value at a quantile is in the upper class.
+
+    The values are numbered in a distributed sort; only the 2 (k - 1) values around the quantiles reach the driver.
+    """
+    numbered = renumber(df.select(value).where(F.col(value).isNotNull()), [value], "_rank")
+    n = numbered.count()
+    at = [divmod(j * (n - 1), k) for j in range(1, k)]
+    found = {r._rank: r[value] for r in numbered.where(F.col("_rank").isin([i + 1 + more for i, _ in at for more in (0, 1)])).collect()} if n else {}
+    breaks = [found[i + 1] + (found[i + 2] - found[i + 1]) * rest / k if rest else found[i + 1] for i, rest in at] if n else []
+    return df.withColumn(name, F.when(F.col(value).isNotNull(), sum(((F.col(value) >= b).cast("int") for b in breaks), F.lit(0))))
+
+
 def discretise(joined: DataFrame, keys: list[str], value: str, step: float, classes: list[str]) -> DataFrame:
     """Units by zone, value band (from the least value of all, in steps, the last band closed) and class columns."""
     b = joined.agg(F.min(value).alias("_a"), F.max(value).alias("_b"))

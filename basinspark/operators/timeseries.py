@@ -108,6 +108,31 @@ def to_timestep(df: DataFrame, keys: list[str], ts: str, col: str, freq: str) ->
     return interpolate(resample(df, keys, ts, freq, {col: "mean"}), keys, ts, col, both=True).dropna(subset=[col])
 
 
+def adapt_timestep(df: DataFrame, keys: list[str], ts: str, col: str, freq: str) -> DataFrame:
+    """Hourly (h) or daily (D) series, by each key's own step, the second time minus the first.
+
+    A step near the wanted one (45 to 75 minutes, 20 to 28 hours), or a single time, leaves the series as it is. A finer one is
+    averaged, a coarser one laid on the regular grid (values on the grid's times only) and filled by time to both
+    sides; of these, steps without a value are left out. A series is ordered inside one task; a key may be null.
+    """
+    nominal, low, high = {"h": (3600, 2700, 4500), "D": (86400, 72000, 100800)}[freq]
+    w = W.partitionBy(*keys).orderBy(ts)
+    all_ = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    seconds = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
+    d = df.withColumn("_step", F.when(F.row_number().over(w) == 1, F.lead(seconds).over(w) - seconds)).withColumn("_step", F.max("_step").over(all_))
+    near = F.col("_step").isNull() | F.col("_step").between(low, high)
+    plain = [*keys, ts, col]
+    fine = d.where(~near & (F.col("_step") < nominal)).groupBy(*keys, floor_to(F.col(ts), freq).alias(ts)).agg(F.avg(col).alias(col))
+    slow = d.where(~near & (F.col("_step") > nominal))
+    grid = spine(slow, keys, ts, freq).alias("g")
+    same = F.col(f"g.{ts}") == F.col(f"s.{ts}")
+    for k in keys:
+        same = same & F.col(f"g.{k}").eqNullSafe(F.col(f"s.{k}"))
+    on_grid = grid.join(slow.alias("s"), same, "left").select(*[f"g.{k}" for k in keys], f"g.{ts}", f"s.{col}")
+    slow = interpolate(on_grid, keys, ts, col, both=True, by="time")
+    return d.where(near).select(*plain).unionByName(fine.dropna(subset=[col])).unionByName(slow.dropna(subset=[col]).select(*plain))
+
+
 def match_cadence(obs: DataFrame, sim: DataFrame, keys: list[str], ts: str, col: str) -> DataFrame:
     """The simulation as daily means where the observations' median step is 23 hours or more, else as it is."""
     step = gap_report(obs, keys, ts, 86400).select(*keys, (F.col("median_step") >= 23 * 3600).alias("_daily"))
@@ -242,6 +267,13 @@ def sine_fit(df: DataFrame, keys: list[str], d: str, col: str) -> DataFrame:
     return a.select(*keys, (F.col("m") - b1 * F.col("ms") - b2 * F.col("mc")).alias("level"), F.sqrt(b1**2 + b2**2).alias("amplitude"), F.pmod(F.atan2(-b2, b1) / (2 * math.pi), F.lit(1.0)).alias("phase"))
 
 
+def seasonality_index(df: DataFrame, keys: list[str], d: str, p: str = "p", t: str = "t") -> DataFrame:
+    """Relative yearly amplitude of precipitation times the cosine of its lag behind temperature: 1 in phase, -1 against it."""
+    a, b = sine_fit(df, keys, d, p), sine_fit(df, keys, d, t).withColumnsRenamed({"level": "_tl", "amplitude": "_ta", "phase": "_tp"})
+    index = F.col("amplitude") / F.col("level") * F.signum("_ta") * F.cos(2 * math.pi * (F.col("phase") - F.col("_tp")))
+    return a.join(b, keys).select(*keys, index.alias("seasonality"))
+
+
 def budyko_w(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Fu's parameter by a grid search from 1.01 to 10 in steps of 0.01 over rows with x, y > 0; the grid is made in place."""
     d = df.where(f"{x} > 0 AND {y} > 0").select(*keys, x, y, F.explode(F.sequence(F.lit(101), F.lit(1000))).alias("_k")).withColumn("w", F.col("_k") / 100)

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import columns as c
 from ..operators import network as n
 from ..operators import sets
 from ..operators import spatial as s
@@ -67,4 +68,9 @@ QUERIES = [
     Query("e37_merge_small", "unit:i merged:i", lambda v: n.merge_small(v.network.groupBy(F.col("unit_id").alias("unit")).agg(F.sum("length").alias("area")), n.unit_edges(v.network).select(F.col("unit").alias("a"), F.col("down_unit").alias("b")), 280_000.0)),
     Query("e38_nearest", "cell_id:i unit_id:i distance:f", lambda v: s.nearest_zone(v.cells.select("cell_id", "x", "y"), v.zones), "SELECT cell_id, unit_id, sqrt(d) AS distance FROM (SELECT cell_id, unit_id, pow((xmin+xmax)/2-x,2)+pow((ymin+ymax)/2-y,2) AS d FROM cells, zones) QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY d, unit_id)=1"),
     Query("e40_point_unit", "cell_id:i xmin:f ymax:f down:i", lambda v: s.point_unit(v.cells, 0.25), "SELECT cell_id, x-0.25 AS xmin, y+0.25 AS ymax, 0 AS down FROM cells"),
+    Query("e30_replicate", "unit_id:i hru:i", lambda v: n.replicate_units(v.zones, 3), "SELECT unit_id, hru FROM zones, (SELECT unnest([1, 2, 3]) AS hru)"),
+    Query("e32_quantile_aspect", "unit_id:i quantile:i sector:i area:i mean_value:f", lambda v: s.discretise(s.quantile_class(inzone(v), "elev", 4).withColumn("sector", c.aspect_class(F.pmod(F.col("cell_id") * 7.0, F.lit(360.0)))), ["unit_id"], "elev", 1e9, ["quantile", "sector"]),
+          "WITH b AS (SELECT quantile_cont(elev, [0.25, 0.5, 0.75]) AS b FROM inzone), d AS (SELECT unit_id, elev, CASE WHEN elev>=b[3] THEN 3 WHEN elev>=b[2] THEN 2 WHEN elev>=b[1] THEN 1 ELSE 0 END AS quantile, floor(((cell_id*7)%360+22.5)%360/45)+1 AS sector FROM inzone, b) SELECT unit_id, quantile, sector, count(*) AS area, avg(elev) AS mean_value FROM d GROUP BY 1, 2, 3"),
+    Query("e33_horn", "cell_id:i slope:f aspect:f", lambda v: s.terrain_horn(v.cells),
+          "WITH r AS (SELECT c.cell_id, c.x, c.y, coalesce(e.elev,c.elev)-coalesce(w.elev,c.elev) AS df, coalesce(w.elev,c.elev)+2*c.elev+coalesce(e.elev,c.elev) AS sm FROM cells c LEFT JOIN cells w ON w.x=c.x-1 AND w.y=c.y LEFT JOIN cells e ON e.x=c.x+1 AND e.y=c.y), g AS (SELECT r.cell_id, (coalesce(b.df,r.df)+2*r.df+coalesce(a.df,r.df))/8 AS dx, (coalesce(a.sm,r.sm)-coalesce(b.sm,r.sm))/8 AS dy FROM r LEFT JOIN r b ON b.x=r.x AND b.y=r.y-1 LEFT JOIN r a ON a.x=r.x AND a.y=r.y+1) SELECT cell_id, degrees(atan(sqrt(dx*dx+dy*dy))) AS slope, CASE WHEN dx=0 AND dy=0 THEN 180 WHEN atan2(-dx,-dy)<0 THEN degrees(atan2(-dx,-dy))+360 ELSE degrees(atan2(-dx,-dy)) END AS aspect FROM g"),
 ]

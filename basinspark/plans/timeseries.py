@@ -32,6 +32,29 @@ def _high(v):
 
 
 SPELL_COLS = "basin:s spells:i mean_len:f median_len:f max_len:i per_year:f"
+# Series of three kinds: six hours a step, a day, three days; each is treated by its own first step.
+ADAPTED = """WITH s AS (SELECT basin, TIMESTAMP '1992-01-01 00:00:00' + to_hours((d - DATE '1992-01-01') * CASE basin WHEN 'AUTOMOBILE' THEN 6 WHEN 'BUILDING' THEN 72 ELSE 24 END) AS ts, q FROM flow_daily),
+n AS (SELECT basin, ts, row_number() OVER (PARTITION BY basin ORDER BY ts) AS i FROM s),
+k AS (SELECT basin, epoch(max(ts) FILTER (i=2)) - epoch(min(ts)) AS step FROM n GROUP BY 1),
+m AS (SELECT s.*, CASE WHEN step IS NULL OR step BETWEEN 72000 AND 100800 THEN 'as it is' WHEN step < 86400 THEN 'fine' ELSE 'slow' END AS kind FROM s JOIN k ON k.basin=s.basin),
+g AS (SELECT basin, unnest(generate_series(date_trunc('day', min(ts)), date_trunc('day', max(ts)), INTERVAL 1 DAY)) AS ts FROM m WHERE kind='slow' GROUP BY basin),
+o AS (SELECT g.basin, g.ts, m.q FROM g LEFT JOIN m ON m.basin=g.basin AND m.ts=g.ts),
+f AS (SELECT *, last_value(q IGNORE NULLS) OVER a AS lq, last_value(CASE WHEN q IS NOT NULL THEN ts END IGNORE NULLS) OVER a AS lt, first_value(q IGNORE NULLS) OVER b AS nq, first_value(CASE WHEN q IS NOT NULL THEN ts END IGNORE NULLS) OVER b AS nt FROM o
+  WINDOW a AS (PARTITION BY basin ORDER BY ts ROWS UNBOUNDED PRECEDING), b AS (PARTITION BY basin ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT basin, ts, q FROM m WHERE kind='as it is' UNION ALL SELECT basin, date_trunc('day', ts) AS ts, avg(q) AS q FROM m WHERE kind='fine' GROUP BY 1, 2
+UNION ALL SELECT basin, ts, CASE WHEN lt IS NULL THEN nq WHEN nt IS NULL OR lt=nt THEN lq ELSE lq+(nq-lq)*(epoch(ts)-epoch(lt))/(epoch(nt)-epoch(lt)) END AS q FROM f"""
+
+
+def stretched(v):
+    hours = F.datediff("d", F.lit("1992-01-01").cast("date")) * F.when(F.col("basin") == "AUTOMOBILE", 6).when(F.col("basin") == "BUILDING", 72).otherwise(24)
+    return v.flow_daily.select("basin", (F.lit("1992-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), hours)).alias("ts"), "q")
+
+
+def sine_sql(column: str) -> str:
+    return f"""SELECT basin, m-b1*ms-b2*mc AS level, sqrt(b1*b1+b2*b2) AS amplitude, atan2(-b2,b1)/(2*pi()) AS phase FROM (SELECT *, (sv*cc-cv*sc)/(ss*cc-sc*sc) AS b1, (cv*ss-sv*sc)/(ss*cc-sc*sc) AS b2
+  FROM (SELECT basin, avg(v) AS m, covar_pop(s,v) AS sv, covar_pop(c,v) AS cv, var_pop(s) AS ss, var_pop(c) AS cc, covar_pop(s,c) AS sc, avg(s) AS ms, avg(c) AS mc FROM (SELECT basin, sin({X}) AS s, cos({X}) AS c, {column} AS v FROM precip_daily) GROUP BY 1))"""
+
+
 QUERIES = [
     Query("c01_resample_daily", "site:i ts:t value:f total:f n:i", lambda v: t.resample(v.obs_event.selectExpr("site", "ts", "value", "value AS total", "value AS n"), ["site"], "ts", "D", {"value": "mean", "total": "sum", "n": "count"}), DAYS + " SELECT * FROM r"),
     Query("c01_resample_3h", "site:i ts:t hi:f", lambda v: t.resample(v.obs_event.withColumn("hi", F.col("value")), ["site"], "ts", "10800s", {"hi": "max"}).where("hi IS NOT NULL"), "SELECT site, time_bucket(INTERVAL 3 HOUR, ts, TIMESTAMP '1970-01-01') AS ts, max(value) AS hi FROM obs_event GROUP BY 1, 2"),
@@ -86,4 +109,7 @@ QUERIES = [
     Query("c34_assemble", "basin:s d:d p:f t:f q:f", lambda v: t.assemble({"a": v.precip_daily, "b": v.flow_daily}, ["basin"], "d"), "WITH b AS (SELECT basin, greatest(a1, a2) AS a, least(b1, b2) AS b FROM (SELECT basin, min(d) AS a1, max(d) AS b1 FROM precip_daily GROUP BY 1) JOIN (SELECT basin, min(d) AS a2, max(d) AS b2 FROM flow_daily GROUP BY 1) USING (basin)), s AS (SELECT basin, CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS d FROM b) SELECT s.basin, s.d, p, t, q FROM s LEFT JOIN precip_daily p ON p.basin=s.basin AND p.d=s.d LEFT JOIN flow_daily f ON f.basin=s.basin AND f.d=s.d"),
     Query("c35_nearest_join", "site:i ts:t value:f", lambda v: t.nearest_join(v.obs_event.where("variable = 'click'").select("site", "ts").distinct(), v.obs_event.where("variable = 'view'").groupBy("site", "ts").agg(F.max("value").alias("value")), ["site"], "ts", "value", 6 * 3600),
           "WITH l AS (SELECT DISTINCT site, ts FROM obs_event WHERE variable='click'), r AS (SELECT site, ts, max(value) AS value FROM obs_event WHERE variable='view' GROUP BY 1, 2), c AS (SELECT l.site, l.ts, r.value, row_number() OVER (PARTITION BY l.site, l.ts ORDER BY abs(epoch_us(r.ts)-epoch_us(l.ts)), r.ts) AS k, abs(epoch_us(r.ts)-epoch_us(l.ts))/1e6 AS off FROM l JOIN r ON r.site=l.site) SELECT site, ts, value FROM c WHERE k=1 AND off<=6*3600"),
+    Query("c06_adapt_timestep", "basin:s ts:t q:f", lambda v: t.adapt_timestep(stretched(v), ["basin"], "ts", "q", "D"), ADAPTED),
+    Query("c26_seasonality_index", "basin:s seasonality:f", lambda v: t.seasonality_index(v.precip_daily, ["basin"], "d"),
+          f"SELECT p.basin, p.amplitude/p.level*cos(2*pi()*(p.phase-t.phase)) AS seasonality FROM ({sine_sql('p')}) p JOIN ({sine_sql('t')}) t ON t.basin=p.basin"),
 ]
