@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -62,6 +64,76 @@ def fill_linear(df: DataFrame, keys: list[str], ts: str, col: str, default: floa
     return d.withColumn(col, F.coalesce(col, F.lit(default)))
 
 
+# What a forcing variable is filled with where a series has no value at all.
+FILL_DEFAULTS = {"airtemp": 273.15, "airpres": 101325.0, "spechum": 0.005, "windspd": 2.0, "LWRadAtm": 300.0, "SWRadAtm": 0.0, "pptrate": 0.0}
+
+
+def cubic_spline(at: np.ndarray, values: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """The not-a-knot cubic through four or more points, continued beyond them; linear through two or three."""
+    piece = np.clip(np.searchsorted(at, where, "right") - 1, 0, len(at) - 2)
+    h = np.diff(at)
+    slope = np.diff(values) / h
+    left = where - at[piece]
+    if len(at) < 4:
+        return values[piece] + slope[piece] * left
+    # second derivatives at the inner points: three diagonals, the outer two points eliminated
+    low, main, high, right = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy(), 6 * np.diff(slope)
+    first, last = h[0] / h[1], h[-1] / h[-2]
+    main[0] += h[0] * (1 + first)
+    high[0] -= h[0] * first
+    main[-1] += h[-1] * (1 + last)
+    low[-1] -= h[-1] * last
+    for k in range(1, len(main)):
+        f = low[k] / main[k - 1]
+        main[k] -= f * high[k - 1]
+        right[k] -= f * right[k - 1]
+    m = np.empty(len(at))
+    m[-2] = right[-1] / main[-1]
+    for k in range(len(main) - 2, -1, -1):
+        m[k + 1] = (right[k] - high[k] * m[k + 2]) / main[k]
+    m[0], m[-1] = m[1] + first * (m[1] - m[2]), m[-2] + last * (m[-2] - m[-3])
+    b = slope - h * (2 * m[:-1] + m[1:]) / 6
+    return values[piece] + left * (b[piece] + left * (m[piece] / 2 + left * (m[piece + 1] - m[piece]) / (6 * h[piece])))
+
+
+def fill_spline(df: DataFrame, keys: list[str], ts: str, col: str, default: float, low: float, high: float) -> DataFrame:
+    """Nulls by a cubic spline over row numbers, a series (one unit's) in a task; then all values clipped to low..high."""
+
+    def fill(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(ts, kind="stable", ignore_index=True)
+        v = rows[col].to_numpy(dtype=float, na_value=np.nan)
+        at = np.flatnonzero(~np.isnan(v))
+        rows[col] = np.clip(cubic_spline(at.astype(float), v[at], np.arange(len(v), dtype=float)) if len(at) > 1 else np.full(len(v), default), low, high)
+        return rows
+
+    d = df.withColumn(col, F.col(col).cast("double"))
+    return d.groupBy(*keys).applyInPandas(fill, d.schema)
+
+
+def fill_forcing(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
+    """Fills the forcing variables (FILL_DEFAULTS) that the table has, each by its rule.
+
+    Precipitation: 0. Air temperature of which more than half of all values are null: a cubic spline, within 200 to 350. The
+    others linearly over time, the first and last value held outward, a default where a series has none; if
+    more than 80 % of one are null, ValueError (not for short-wave radiation). A variable without nulls stays as it is.
+    """
+    have = [c for c in FILL_DEFAULTS if c in df.columns]
+    if not have:
+        return df
+    share = df.agg(*[F.coalesce(F.avg(F.col(c).isNull().cast("int")), F.lit(0.0)).alias(c) for c in have]).first()
+    poor = [c for c in have if share[c] > 0.8 and c not in ("airtemp", "pptrate", "SWRadAtm")]
+    if poor:
+        raise ValueError(f"more than 80 % null: {', '.join(poor)}")
+    for c in have:
+        if share[c] and c == "pptrate":
+            df = df.withColumn(c, F.coalesce(c, F.lit(0.0)))
+        elif c == "airtemp" and share[c] > 0.5:
+            df = fill_spline(df, keys, ts, c, FILL_DEFAULTS[c], 200.0, 350.0)
+        elif share[c]:
+            df = interpolate(df, keys, ts, c, both=True, by="time").withColumn(c, F.coalesce(c, F.lit(FILL_DEFAULTS[c])))
+    return df
+
+
 def reindex_nearest(df: DataFrame, keys: list[str], ts: str, col: str, grid: DataFrame) -> DataFrame:
     """The nearest point's value at each time of `grid` (keys, ts); the later point wins a tie."""
     return _two_sides(grid, df, keys, ts, col, lambda before, after, near: F.when(after <= before, F.col("_n.v")).otherwise(F.col("_l.v")))

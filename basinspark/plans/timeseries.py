@@ -55,6 +55,18 @@ def sine_sql(column: str) -> str:
   FROM (SELECT basin, avg(v) AS m, covar_pop(s,v) AS sv, covar_pop(c,v) AS cv, var_pop(s) AS ss, var_pop(c) AS cc, covar_pop(s,c) AS sc, avg(s) AS ms, avg(c) AS mc FROM (SELECT basin, sin({X}) AS s, cos({X}) AS c, {column} AS v FROM precip_daily) GROUP BY 1))"""
 
 
+def holed(v):
+    day = F.dayofmonth("d")
+    return v.precip_daily.select("basin", "d", F.when(day % 3 != 0, F.col("p")).alias("pptrate"), F.when((day % 4 != 0) & (F.col("basin") != "BUILDING"), F.col("t")).alias("windspd"), F.when(day % 5 != 0, F.col("t")).alias("airtemp"))
+
+
+def linear_sql(c: str, default: float) -> str:
+    """Linear over the days between the values before and after, held outward."""
+    before, after = f"last_value({c} IGNORE NULLS) OVER a", f"first_value({c} IGNORE NULLS) OVER b"
+    since, until = f"last_value(CASE WHEN {c} IS NOT NULL THEN d END IGNORE NULLS) OVER a", f"first_value(CASE WHEN {c} IS NOT NULL THEN d END IGNORE NULLS) OVER b"
+    return f"coalesce({c}, {before} + ({after} - {before}) * (d - {since}) / ({until} - {since}), {before}, {after}, {default})"
+
+
 QUERIES = [
     Query("c01_resample_daily", "site:i ts:t value:f total:f n:i", lambda v: t.resample(v.obs_event.selectExpr("site", "ts", "value", "value AS total", "value AS n"), ["site"], "ts", "D", {"value": "mean", "total": "sum", "n": "count"}), DAYS + " SELECT * FROM r"),
     Query("c01_resample_3h", "site:i ts:t hi:f", lambda v: t.resample(v.obs_event.withColumn("hi", F.col("value")), ["site"], "ts", "10800s", {"hi": "max"}).where("hi IS NOT NULL"), "SELECT site, time_bucket(INTERVAL 3 HOUR, ts, TIMESTAMP '1970-01-01') AS ts, max(value) AS hi FROM obs_event GROUP BY 1, 2"),
@@ -112,4 +124,6 @@ QUERIES = [
     Query("c06_adapt_timestep", "basin:s ts:t q:f", lambda v: t.adapt_timestep(stretched(v), ["basin"], "ts", "q", "D"), ADAPTED),
     Query("c26_seasonality_index", "basin:s seasonality:f", lambda v: t.seasonality_index(v.precip_daily, ["basin"], "d"),
           f"SELECT p.basin, p.amplitude/p.level*cos(2*pi()*(p.phase-t.phase)) AS seasonality FROM ({sine_sql('p')}) p JOIN ({sine_sql('t')}) t ON t.basin=p.basin"),
+    Query("c03_fill_policy", "basin:s d:d pptrate:f windspd:f airtemp:f", lambda v: t.fill_forcing(holed(v), ["basin"], "d"),
+          f"WITH h AS (SELECT basin, d, CASE WHEN day(d)%3<>0 THEN p END AS pptrate, CASE WHEN day(d)%4<>0 AND basin<>'BUILDING' THEN t END AS windspd, CASE WHEN day(d)%5<>0 THEN t END AS airtemp FROM precip_daily) SELECT basin, d, coalesce(pptrate, 0) AS pptrate, {linear_sql('windspd', 2.0)} AS windspd, {linear_sql('airtemp', 273.15)} AS airtemp FROM h WINDOW a AS (PARTITION BY basin ORDER BY d ROWS UNBOUNDED PRECEDING), b AS (PARTITION BY basin ORDER BY d ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"),
 ]

@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from basinspark.functions import columns as c
@@ -90,3 +92,49 @@ def test_network_cycle_and_stray_unit(spark):
 
 def test_closest_column():
     assert layers.closest_column(["sm_5_x", "sm_20_x", "other"], 18) == "sm_20_x"
+
+
+def test_spline_is_exact_on_cubics_and_smooth():
+    x = np.array([0.0, 1.0, 4.0, 5.0, 9.0, 10.0])
+    f = lambda t: 2.0 - t + 0.5 * t**2 - 0.03 * t**3
+    where = np.arange(-2.0, 14.0)
+    for n in (4, 5, 6):
+        assert np.allclose(t.cubic_spline(x[:n], f(x[:n]), where), f(where))
+    assert np.allclose(t.cubic_spline(x[:3], np.array([0.0, 1.0, 7.0]), np.array([-1.0, 0.5, 2.0, 6.0])), [-1, 0.5, 3, 11])
+    y = np.array([1.0, -2.0, 3.0, 0.5, 4.0, 4.0])
+    e = 1e-5
+    for k in x[1:-1]:  # value, slope and curvature agree on both sides of an inner point
+        g = lambda t_: t.cubic_spline(x, y, np.array([t_]))[0]
+        assert abs(g(k + e) - g(k - e)) < 1e-3 and abs((g(k + 2 * e) - g(k + e)) - (g(k - e) - g(k - 2 * e))) / e < 1e-2
+
+
+def test_fill_forcing_spline_and_refusal(spark):
+    day = [dt.datetime(2020, 1, 1) + dt.timedelta(days=i) for i in range(13)]
+    f = lambda i: 280.0 + i - 0.1 * i**2
+    rows = [(1, d, f(i) if i % 3 == 0 else None) for i, d in enumerate(day)] + [(2, day[0], None), (None, day[0], 400.0), (None, day[1], None)]
+    d = spark.createDataFrame(rows, "k int, ts timestamp_ntz, airtemp double")
+    got = {(r.k, r.ts): r.airtemp for r in t.fill_forcing(d, ["k"], "ts").collect()}
+    assert np.allclose([got[1, x] for x in day], [f(i) for i in range(13)])
+    assert (got[2, day[0]], got[None, day[0]]) == (273.15, 273.15)
+    with pytest.raises(ValueError):
+        t.fill_forcing(d.select("k", "ts", F.when(F.col("ts") == day[0], F.lit(None)).otherwise(F.lit(None)).cast("double").alias("windspd")), ["k"], "ts")
+    assert t.fill_forcing(d.where("false"), ["k"], "ts").count() == 0
+
+
+def test_adapt_timestep_single_and_null_key(spark):
+    a = dt.datetime(2020, 1, 1)
+    rows = [(1, a, 5.0)] + [(None, a + dt.timedelta(days=3 * i), float(i)) for i in range(2)] + [(2, a + dt.timedelta(hours=6 * i), float(i)) for i in range(5)] + [(3, a + dt.timedelta(hours=25 * i), float(i)) for i in range(3)]
+    d = spark.createDataFrame(rows, "k int, ts timestamp_ntz, v double")
+    got = sorted(((r.k or 0, r.ts, round(r.v, 6)) for r in t.adapt_timestep(d, ["k"], "ts", "v", "D").collect()))
+    h = lambda n: a + dt.timedelta(hours=n)
+    assert got == [(0, a, 0.0), (0, h(24), round(1 / 3, 6)), (0, h(48), round(2 / 3, 6)), (0, h(72), 1.0), (1, a, 5.0), (2, a, 1.5), (2, h(24), 4.0), (3, a, 0.0), (3, h(25), 1.0), (3, h(50), 2.0)]
+
+
+def test_quantile_class_ties_nulls_empty(spark):
+    d = spark.createDataFrame([(x,) for x in (1.0, 1.0, 1.0, 2.0, 9.0, None)], "v double")
+    from basinspark.operators import spatial
+
+    got = sorted(((r.v, r.q) for r in spatial.quantile_class(d, "v", 2, "q").collect()), key=str)
+    want = np.quantile([1, 1, 1, 2, 9], 0.5)
+    assert got == sorted([(v, None if v is None else int(v >= want)) for (v,) in d.collect()], key=str)
+    assert spatial.quantile_class(d.where("false"), "v", 4).count() == 0
