@@ -68,13 +68,16 @@ def outlet(flows: DataFrame, segments: DataFrame, seg: str = "seg", down: str =
     return d.agg(F.coalesce(F.min(F.when(F.col(down) == -1, F.col(seg))), F.max(F.when(F.col("_m").isNotNull(), F.struct("_m", (-F.col(seg)).alias("k"))))["k"] * -1, F.max(seg)).alias("outlet"))
 
 
-def river_stats(segments: DataFrame, keys: list[str], length: str, order: str, slope: str) -> DataFrame:
-    return segments.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(length).alias("total"), F.min(order).alias("order_min"), F.max(order).alias("order_max"), (F.sum(F.col(length) * F.col(slope)) / F.sum(length)).alias("w_slope"))
+def river_stats(segments: DataFrame, keys: list[str], length: str, order: str, slope: str, chord: str | None = None) -> DataFrame:
+    """Count, length, orders and length-weighted slope; with the straight distance `chord` the length-weighted sinuosity (length / chord, where it is above 0)."""
+    wound = [] if chord is None else [(F.sum(F.when(F.col(chord) > 0, F.col(length) ** 2 / F.col(chord))) / F.sum(F.when(F.col(chord) > 0, F.col(length)))).alias("w_sinuosity")]
+    return segments.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(length).alias("total"), F.min(order).alias("order_min"), F.max(order).alias("order_max"), (F.sum(F.col(length) * F.col(slope)) / F.sum(length)).alias("w_slope"), *wound)
 
 
-def morphometry(segments: DataFrame, keys: list[str], length: str, order: str) -> DataFrame:
-    """By stream order: count, length, share, and the bifurcation ratio to the next order."""
-    n = segments.groupBy(*keys, order).agg(F.count("*").alias("n"), F.sum(length).alias("total"))
+def morphometry(segments: DataFrame, keys: list[str], length: str, order: str, slope: str | None = None) -> DataFrame:
+    """By stream order: count, length, share, and the bifurcation ratio to the next order; with a slope column its mean."""
+    steep = [] if slope is None else [F.avg(slope).alias("mean_slope")]
+    n = segments.groupBy(*keys, order).agg(F.count("*").alias("n"), F.sum(length).alias("total"), *steep)
     w = W.partitionBy(*keys)
     nxt = F.lead("n").over(w.orderBy(order))
     follows = F.lead(order).over(w.orderBy(order)) == F.col(order) + 1
@@ -118,7 +121,7 @@ def replicate_units(df: DataFrame, k: int, name: str = "hru") -> DataFrame:
     return df.withColumn(name, F.explode(F.sequence(F.lit(1), F.lit(k)) if k > 0 else F.array().cast("array<int>")))
 
 
-def merge_small(units: DataFrame, adjacency: DataFrame, least: float, most_rounds: int = 50) -> DataFrame:
+def merge_small(units: DataFrame, adjacency: DataFrame, least: float) -> DataFrame:
     """(unit, merged): units (unit, area) below `least` join their largest neighbour (a, b), round after round.
 
     In a round only units that no smaller-id small neighbour is joining move, so that two never swap; areas are

@@ -73,4 +73,7 @@ QUERIES = [
           "WITH b AS (SELECT quantile_cont(elev, [0.25, 0.5, 0.75]) AS b FROM inzone), d AS (SELECT unit_id, elev, CASE WHEN elev>=b[3] THEN 3 WHEN elev>=b[2] THEN 2 WHEN elev>=b[1] THEN 1 ELSE 0 END AS quantile, floor(((cell_id*7)%360+22.5)%360/45)+1 AS sector FROM inzone, b) SELECT unit_id, quantile, sector, count(*) AS area, avg(elev) AS mean_value FROM d GROUP BY 1, 2, 3"),
     Query("e33_horn", "cell_id:i slope:f aspect:f", lambda v: s.terrain_horn(v.cells),
           "WITH r AS (SELECT c.cell_id, c.x, c.y, coalesce(e.elev,c.elev)-coalesce(w.elev,c.elev) AS df, coalesce(w.elev,c.elev)+2*c.elev+coalesce(e.elev,c.elev) AS sm FROM cells c LEFT JOIN cells w ON w.x=c.x-1 AND w.y=c.y LEFT JOIN cells e ON e.x=c.x+1 AND e.y=c.y), g AS (SELECT r.cell_id, (coalesce(b.df,r.df)+2*r.df+coalesce(a.df,r.df))/8 AS dx, (coalesce(a.sm,r.sm)-coalesce(b.sm,r.sm))/8 AS dy FROM r LEFT JOIN r b ON b.x=r.x AND b.y=r.y-1 LEFT JOIN r a ON a.x=r.x AND a.y=r.y+1) SELECT cell_id, degrees(atan(sqrt(dx*dx+dy*dy))) AS slope, CASE WHEN dx=0 AND dy=0 THEN 180 WHEN atan2(-dx,-dy)<0 THEN degrees(atan2(-dx,-dy))+360 ELSE degrees(atan2(-dx,-dy)) END AS aspect FROM g"),
+    Query("e20_sinuosity", "unit_id:i n:i w_sinuosity:f", lambda v: n.river_stats(net(v).withColumn("chord", F.col("length") / (1 + F.col("seg") % 3) * F.when(F.col("seg") % 11 == 0, 0).otherwise(1)), ["unit_id"], "length", "ord", "slope", "chord"),
+          f"SELECT unit_id, count(*) AS n, sum(CASE WHEN seg%11<>0 AND length>0 THEN length*(1+seg%3) END)/sum(CASE WHEN seg%11<>0 AND length>0 THEN length END) AS w_sinuosity FROM ({NET}) GROUP BY 1"),
+    Query("e21_mean_slope", "unit_id:i ord:i mean_slope:f", lambda v: n.morphometry(net(v), ["unit_id"], "length", "ord", "slope"), f"SELECT unit_id, ord, avg(slope) AS mean_slope FROM ({NET}) GROUP BY 1, 2"),
 ]

@@ -138,3 +138,21 @@ def test_quantile_class_ties_nulls_empty(spark):
     want = np.quantile([1, 1, 1, 2, 9], 0.5)
     assert got == sorted([(v, None if v is None else int(v >= want)) for (v,) in d.collect()], key=str)
     assert spatial.quantile_class(d.where("false"), "v", 4).count() == 0
+
+
+def test_merge_small_leaves_nothing_that_could_merge(spark):
+    rng = np.random.default_rng(3)
+    area = {i: float(rng.integers(1, 12)) for i in range(40)}
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 40, (45, 2))] + [(0, 0)]
+    units = spark.createDataFrame(list(area.items()), "unit long, area double")
+    got = dict(map(tuple, network.merge_small(units, spark.createDataFrame(edges, "a long, b long"), 10.0).collect()))
+    assert sorted(got) == sorted(area)
+    total = {g: sum(area[u] for u in area if got[u] == g) for g in got.values()}
+    between = {(got[a], got[b]) for a, b in edges if got[a] != got[b]}
+    small = {g for g, s in total.items() if s < 10}
+    assert not any(a in small or b in small for a, b in between)  # a small group has no neighbour left
+    for g in total:  # groups hang together
+        members, seen = {u for u in got if got[u] == g}, {g}
+        while more := {y for x, y in [*edges, *((b, a) for a, b in edges)] if x in seen and y in members} - seen:
+            seen |= more
+        assert seen == members
