@@ -16,38 +16,90 @@ def edges_from_columns(df: DataFrame, seg: str, upstream: list[str]) -> DataFram
     return d.where("seg > 0").select("seg", "down")
 
 
+def _steps(edges: DataFrame) -> DataFrame:
+    """(u, v): distinct edges without loops and nulls."""
+    return edges.select(F.col("seg").alias("u"), F.col("down").alias("v")).where("u <> v").distinct()
+
+
+def _twice(steps: DataFrame) -> DataFrame:
+    """(u, v) for walks of twice the length."""
+    return steps.select("u", F.col("v").alias("_m")).join(steps.select(F.col("u").alias("_m"), "v"), "_m").select("u", "v").distinct()
+
+
 def upstream(edges: DataFrame, outlets: DataFrame) -> DataFrame:
     """(outlet, seg): each outlet (column seg) that is in the graph with all its ancestors and itself; cycles are safe.
 
-    Frontier by frontier: a round joins only what the last one found, and drops what is known.
+    By doubling: round k knows who is fewer than 2^k steps above an outlet and where walks of 2^k steps lead, and
+    ends once nobody is added, so that a river of n reaches in a row takes log2(n) rounds. Each is written.
     """
-    e = edges.select(F.col("seg").alias("_s"), F.col("down").alias("_d")).where("_s <> _d")
-    nodes = e.select(F.col("_s").alias("seg")).unionByName(e.select(F.col("_d").alias("seg"))).distinct()
-    seen = front = stored(outlets.select("seg").distinct().join(nodes, "seg", "left_semi").select(F.col("seg").alias("outlet"), "seg"))
+    step = stored(_steps(edges))
+    nodes = step.select(F.col("u").alias("seg")).unionByName(step.select(F.col("v").alias("seg")))
+    seen = stored(outlets.select("seg").distinct().join(nodes, "seg", "left_semi").select(F.col("seg").alias("outlet"), "seg"))
+    size = seen.count()
     while True:
-        new = front.join(e, F.col("seg") == F.col("_d")).select("outlet", F.col("_s").alias("seg")).distinct().join(seen, ["outlet", "seg"], "left_anti")
-        front = stored(new)
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    return seen
+        more = seen.join(step, F.col("seg") == F.col("v")).select("outlet", F.col("u").alias("seg"))
+        seen = stored(seen.unionByName(more).distinct())
+        last, size = size, seen.count()
+        if size == last:
+            return seen
+        step = stored(_twice(step))
+
+
+def subset(df: DataFrame, ids: DataFrame, key: str, id_col: str = "seg") -> DataFrame:
+    """Rows of df whose key is among the ids, each once."""
+    return df.join(ids.select(F.col(id_col).alias(key)).distinct(), key, "left_semi").select(*df.columns)
+
+
+def _levels(step: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(node, level): most edges from any ancestor; and, if there are cycles, (u, v) of walks that never end. By doubling."""
+    nodes = step.select(F.col("u").alias("node")).unionByName(step.select(F.col("v").alias("node"))).distinct()
+    level = stored(nodes.withColumn("level", F.lit(0)))
+    n, length, walks = level.count(), 1, step
+    while length <= n:
+        if walks.isEmpty():
+            return level, None
+        came = walks.join(level, F.col("u") == F.col("node")).groupBy(F.col("v").alias("node")).agg((F.max("level") + length).alias("far"))
+        level = stored(level.join(came, "node", "left").select("node", F.greatest("level", F.coalesce("far", F.lit(0))).alias("level")))
+        walks, length = stored(_twice(walks)), length * 2
+    return (level, None) if walks.isEmpty() else (level, walks)
+
+
+def cut_cycles(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(u, v) edges without cycles, and (node, level) over them, the longest distance from a headwater.
+
+    A cycle is cut where it enters its lowest id. (All nodes of a cycle have the same descendants, so that their
+    number singles none out.) What lies on cycles is what endless walks both lead to and come from; who reaches
+    whom is spelled out for these few nodes only.
+    """
+    step = stored(_steps(edges))
+    while True:
+        level, endless = _levels(step)
+        if endless is None:
+            return step, level
+        core = stored(endless.select(F.col("u").alias("n")).intersect(endless.select(F.col("v").alias("n"))))
+        inner = step.join(core.select(F.col("n").alias("u")), "u", "left_semi").join(core.select(F.col("n").alias("v")), "v", "left_semi")
+        reach = upstream(inner.select(F.col("u").alias("seg"), F.col("v").alias("down")), core.select(F.col("n").alias("seg"))).select(F.col("outlet").alias("x"), F.col("seg").alias("y"))
+        same = reach.join(reach.select(F.col("x").alias("y"), F.col("y").alias("x")), ["x", "y"])  # x and y reach each other
+        low = stored(same.groupBy("x").agg(F.min("y").alias("low")))
+        into = low.select(F.col("x").alias("u"), F.col("low").alias("v"))  # edges from a cycle's nodes to its lowest id
+        step = stored(step.join(into, ["u", "v"], "left_anti"))
 
 
 def downstream_order(edges: DataFrame) -> DataFrame:
-    """(seg, level): longest distance from a headwater; 0 for headwaters. What hangs on a cycle never becomes free and gets level -1."""
+    """(seg, level): longest distance from a headwater; 0 for headwaters and for ids without neighbours. Cycles are cut as `cut_cycles` says."""
     e = edges.select("seg", "down").distinct()
-    inside = e.join(e.select(F.col("seg").alias("down")).distinct(), "down", "left_semi")
-    wait = stored(e.select("seg").distinct().join(inside.groupBy(F.col("down").alias("seg")).agg(F.count("*").alias("n")), "seg", "left").select("seg", F.coalesce("n", F.lit(0)).alias("n"), F.lit(0).alias("level")))
-    done = None
-    while True:
-        free = stored(wait.where("n = 0").select("seg", "level"))
-        if free.isEmpty():
-            break
-        done = free if done is None else done.unionByName(free)
-        came = inside.join(free, "seg").groupBy(F.col("down").alias("seg")).agg(F.count("*").alias("c"), (F.max("level") + 1).alias("l"))
-        wait = stored(wait.where("n > 0").join(came, "seg", "left").select("seg", (F.col("n") - F.coalesce("c", F.lit(0))).alias("n"), F.greatest("level", F.coalesce("l", F.lit(0))).alias("level")))
-    left = wait.where("n > 0").select("seg", F.lit(-1).alias("level"))
-    return left if done is None else done.unionByName(left)
+    ids = e.select("seg").distinct()
+    _, level = cut_cycles(e.join(ids.select(F.col("seg").alias("down")), "down", "left_semi"))
+    return ids.join(level.select(F.col("node").alias("seg"), "level"), "seg", "left").select("seg", F.coalesce("level", F.lit(0)).alias("level"))
+
+
+def positions(edges: DataFrame) -> DataFrame:
+    """(seg, level, position): ids without neighbours come first, then from headwaters down, equals by id; position counts from 1."""
+    e = stored(edges.select("seg", "down").distinct())
+    linked = _steps(e.where("down > 0"))
+    linked = linked.select(F.col("u").alias("seg")).unionByName(linked.select(F.col("v").alias("seg"))).distinct().withColumn("_in", F.lit(1))
+    d = downstream_order(e).join(linked, "seg", "left").withColumn("_in", F.coalesce("_in", F.lit(0)))
+    return renumber(d, ["_in", "level", "seg"], "position").select("seg", "level", "position")
 
 
 def unit_edges(segments: DataFrame) -> DataFrame:

@@ -17,6 +17,16 @@ def inzone(v):
     return s.cells_in_zones(v.cells, v.zones)
 
 
+# chains of eight with a loop back in every fifth, from which a sound reach hangs, and ids without neighbours
+LOOPED = "looped AS (SELECT seg, CASE WHEN seg%8=7 THEN -1 WHEN seg%8=4 AND seg//8%5=1 THEN seg-2 WHEN seg%8=0 AND seg//8%7=3 THEN -1 WHEN seg%8=6 THEN -1 ELSE seg+1 END AS down FROM network UNION SELECT seg, seg+1 FROM network WHERE seg%8=4 AND seg//8%5=1)"
+
+
+def looped(v):
+    k = "seg % 8 = 4 AND seg div 8 % 5 = 1"
+    d = v.network.selectExpr("seg", f"CASE WHEN seg % 8 = 7 THEN -1 WHEN {k} THEN seg - 2 WHEN seg % 8 = 0 AND seg div 8 % 7 = 3 THEN -1 WHEN seg % 8 = 6 THEN -1 ELSE seg + 1 END AS down")
+    return d.unionByName(v.network.where(k).selectExpr("seg", "seg + 1 AS down"))
+
+
 def net(v):
     return v.network.withColumn("ord", F.floor("length") % 5).withColumn("slope", (F.col("seg") % 13) / 10.0)
 
@@ -51,8 +61,11 @@ QUERIES = [
     Query("e23_upstream", "outlet:i seg:i", lambda v: n.upstream(v.network, v.network.where("seg IN (5, 9, 700)").select("seg")), "WITH RECURSIVE u AS (SELECT seg AS outlet, seg FROM network WHERE seg IN (5, 9, 700) UNION SELECT outlet, n.seg FROM u JOIN network n ON n.down=u.seg) SELECT * FROM u"),
     Query("e22_nearest_segment", "cell_id:i seg:i distance:f", lambda v: s.nearest_segment(v.cells.select("cell_id", "x", "y"), v.network.selectExpr("seg", "seg % 40 AS x1", "seg div 40 AS y1", "seg % 40 + down % 3 AS x2", "seg div 40 + seg % 2 AS y2")), "WITH l AS (SELECT seg, seg%40 AS x1, seg//40 AS y1, down%3 AS dx, seg%2 AS dy FROM network), t AS (SELECT cell_id, x, y, l.*, CASE WHEN dx=0 AND dy=0 THEN 0.0 ELSE greatest(0.0, least(1.0, ((x-x1)*dx+(y-y1)*dy)::DOUBLE/(dx*dx+dy*dy))) END AS t FROM cells, l), d AS (SELECT cell_id, seg, pow(x1+t*dx-x, 2)+pow(y1+t*dy-y, 2) AS d2 FROM t) SELECT cell_id, seg, sqrt(d2) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY d2, seg)=1"),
     Query("e22_default_segment", "seg:i", lambda v: n.default_segment(v.network), "SELECT coalesce(min(CASE WHEN down=0 THEN seg END), min(seg)) AS seg FROM network"),
-    Query("e24_subset", "seg:i length:f", lambda v: v.network.join(n.upstream(v.network, v.network.where("seg = 5").select("seg")).select("seg"), "seg", "left_semi"), "WITH RECURSIVE u AS (SELECT seg FROM network WHERE seg=5 UNION SELECT n.seg FROM u JOIN network n ON n.down=u.seg) SELECT seg, length FROM network WHERE seg IN (SELECT seg FROM u)"),
+    Query("e24_subset", "seg:i length:f", lambda v: n.subset(v.network, n.upstream(v.network, v.network.where("seg = 5").select("seg")), "seg").select("seg", "length"), "WITH RECURSIVE u AS (SELECT seg FROM network WHERE seg=5 UNION SELECT n.seg FROM u JOIN network n ON n.down=u.seg) SELECT seg, length FROM network WHERE seg IN (SELECT seg FROM u)"),
     Query("e25_order", "seg:i level:i", lambda v: n.downstream_order(v.network), "WITH RECURSIVE r AS (SELECT seg, 0 AS level FROM network WHERE seg NOT IN (SELECT down FROM network) UNION SELECT n.down, level+1 FROM r JOIN network n ON n.seg=r.seg WHERE n.down IN (SELECT seg FROM network)) SELECT seg, max(level) AS level FROM r GROUP BY 1"),
+    Query("e25_cycles", "seg:i level:i position:i", lambda v: n.positions(looped(v)), f"WITH RECURSIVE {LOOPED}, k AS (SELECT seg, down FROM looped WHERE down<>seg-2), r AS (SELECT seg, 0 AS level FROM k WHERE seg NOT IN (SELECT down FROM k) UNION SELECT k.down, level+1 FROM r JOIN k ON k.seg=r.seg WHERE k.down IN (SELECT seg FROM looped)), o AS (SELECT seg, max(level) AS level FROM r GROUP BY 1), i AS (SELECT seg FROM looped WHERE down>0 UNION SELECT down FROM looped WHERE down>0) SELECT seg, level, row_number() OVER (ORDER BY seg IN (SELECT seg FROM i), level, seg) AS position FROM o"),
+    Query("e25_long_river", "seg:i level:i", lambda v: n.downstream_order(v.table("orders").select(F.col("o_orderkey").alias("seg"), (F.col("o_orderkey") - 1).alias("down"))), "SELECT seg, seg-first_value(seg) OVER (PARTITION BY seg-k ORDER BY seg) AS up, max(seg) OVER (PARTITION BY seg-k)-seg AS level FROM (SELECT o_orderkey AS seg, row_number() OVER (ORDER BY o_orderkey) AS k FROM orders)"),
+    Query("e23_long_river", "outlet:i seg:i", lambda v: n.upstream(v.table("orders").select(F.col("o_orderkey").alias("seg"), (F.col("o_orderkey") - 1).alias("down")), v.table("orders").where("o_orderkey % 1000 = 7").select(F.col("o_orderkey").alias("seg"))), "WITH k AS (SELECT o_orderkey AS seg, o_orderkey-row_number() OVER (ORDER BY o_orderkey) AS run FROM orders), g AS (SELECT o_orderkey-1 AS seg FROM orders UNION SELECT o_orderkey FROM orders) SELECT o.seg AS outlet, k.seg FROM k o JOIN k ON k.run=o.run AND k.seg>=o.seg WHERE o.seg%1000=7"),
     Query("e26_unit_edges", "unit:i down_unit:i", lambda v: n.unit_edges(v.network), "SELECT DISTINCT a.unit_id AS unit, b.unit_id AS down_unit FROM network a JOIN network b ON a.down=b.seg WHERE a.unit_id<>b.unit_id"),
     Query("e27_down_neighbour", "seg:i down:i", lambda v: n.down_neighbour(v.network.select("seg", "unit_id", "length"), "unit_id", "seg", "length"), "SELECT seg, coalesce(lead(seg) OVER (PARTITION BY unit_id ORDER BY length DESC, seg), 0) AS down FROM network"),
     Query("e28_topology", "unit_id:i seg:i down:i area:f", lambda v: n.topology(v.network, v.zones.withColumn("area", F.lit(80.0))), "SELECT unit_id, seg, down, 80 AS area FROM network WHERE unit_id IN (SELECT unit_id FROM zones) QUALIFY row_number() OVER (PARTITION BY unit_id ORDER BY seg)=1"),
