@@ -68,18 +68,59 @@ def precip_benchmarks(df: DataFrame, keys: list[str], d: str, lags: int = 10, wi
     return x.withColumn("adjusted", F.col("_l")[F.col("lag")]).withColumn("smoothed", F.col("_w")[F.col("width")]).drop("_l", "_w", "_rr")
 
 
+def _columns(df: DataFrame, keep: list, names: list[str]) -> DataFrame:
+    """One row for each benchmark column: keep, benchmark, sim."""
+    d = df.select(*keep, F.explode(F.array(*[F.struct(F.lit(n).alias("benchmark"), F.col(n).cast("double").alias("sim")) for n in names])).alias("_b"))
+    return d.select(*[c for c in d.columns if c != "_b"], "_b.benchmark", "_b.sim")
+
+
 def benchmark_scores(df: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
-    """Metrics of each benchmark column against q, apart for calibration and validation rows."""
-    long = df.select(*keys, "cal", F.col("q").alias("obs"), F.explode(F.array(*[F.struct(F.lit(n).alias("benchmark"), F.col(n).alias("sim")) for n in names])).alias("_b")).select(*keys, "cal", "obs", "_b.benchmark", F.col("_b.sim").alias("sim"))
-    return metrics(long.dropna(subset=["obs", "sim"]), [*keys, "benchmark", "cal"])
+    """Metrics of each benchmark column against q, apart for calibration and validation rows.
+
+    A benchmark that is one constant correlates with nothing: its kge, kge_prime and r are null.
+    """
+    return metrics(_columns(df, [*keys, "cal", F.col("q").alias("obs")], names).dropna(subset=["obs", "sim"]), [*keys, "benchmark", "cal"])
+
+
+def best_benchmarks(scores: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
+    """keys and benchmark of the k highest calibration KGE, ties to the first name; those without a KGE are left out."""
+    w = W.partitionBy(*keys).orderBy(F.col("kge").desc(), "benchmark")
+    return scores.where("cal AND kge IS NOT NULL").withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k).select(*keys, "benchmark")
 
 
 def envelope(df: DataFrame, scores: DataFrame, keys: list[str], d: str, names: list[str], k: int = 5) -> DataFrame:
     """Least and greatest of the k benchmarks of highest calibration KGE, each day."""
-    best = scores.where("cal AND kge IS NOT NULL").withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy(F.col("kge").desc(), "benchmark"))).where(F.col("_k") <= k).groupBy(*keys).agg(F.collect_set("benchmark").alias("_best"))
+    best = best_benchmarks(scores, keys, k).groupBy(*keys).agg(F.collect_set("benchmark").alias("_best"))
     v = F.array(*[F.when(F.array_contains("_best", n), F.col(n)) for n in names])
     return df.join(best, keys).select(*keys, d, F.array_min(F.array_compact(v)).alias("lo"), F.array_max(F.array_compact(v)).alias("hi"))
 
 
+def duration_envelope(df: DataFrame, scores: DataFrame, keys: list[str], names: list[str], k: int = 5, points: int = 1000) -> DataFrame:
+    """keys, point (0 .. points - 1), exceedance, and over the flow-duration curves of the k best benchmarks lo, q25, median, q75, hi.
+
+    A curve has exceedance i / n at its i-th greatest of n values; it is read at `points` even steps from 0 to 1 by
+    linear interpolation, the first value standing for what lies before it. Each step joins the two ranks it needs.
+    """
+    long = _columns(df, keys, names).dropna(subset=["sim"]).join(best_benchmarks(scores, keys, k), [*keys, "benchmark"])
+    by = [*keys, "benchmark"]
+    curve = long.select(*by, "sim", F.row_number().over(W.partitionBy(*by).orderBy(F.col("sim").desc())).alias("_i"))
+    size = curve.groupBy(*by).agg(F.count("*").alias("_n"))
+    steps = size.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("exceedance", F.col("point") / max(1, points - 1))
+    at = steps.withColumn("_x", F.greatest(F.lit(1.0), F.col("exceedance") * F.col("_n"))).withColumn("_i", F.least(F.col("_n"), F.floor("_x")).cast("int"))
+    one = at.join(curve, [*by, "_i"])
+    two = curve.select(*by, (F.col("_i") - 1).alias("_i"), F.col("sim").alias("_next"))
+    value = F.col("sim") + (F.coalesce("_next", "sim") - F.col("sim")) * (F.col("_x") - F.col("_i"))
+    d = one.join(two, [*by, "_i"], "left").select(*keys, "point", "exceedance", value.alias("_v"))
+    q = F.percentile("_v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    return d.groupBy(*keys, "point", "exceedance").agg(F.min("_v").alias("lo"), q.alias("_q"), F.max("_v").alias("hi")).select(*keys, "point", "exceedance", "lo", F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q75"), "hi")
+
+
+def benchmark_summary(df: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """Of each benchmark column mean, standard deviation, their ratio and quartiles, nulls left out."""
+    q = F.percentile("sim", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    d = _columns(df, keys, names).dropna(subset=["sim"]).groupBy(*keys, "benchmark").agg(F.avg("sim").alias("mean"), F.stddev_samp("sim").alias("std"), q.alias("_q"))
+    return d.select(*keys, "benchmark", "mean", "std", (F.col("std") / F.nullif(F.col("mean"), F.lit(0.0))).alias("cv"), F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("q50"), F.col("_q")[2].alias("q75"))
+
+
 def union_all(dfs: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)

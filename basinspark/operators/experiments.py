@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from itertools import product
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,7 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import renumber
-from ..scratch import stored
+from ..scratch import folder, stored
+from .metrics import correlation
 
 
 def _long(df: DataFrame, keep: list, cols: list[str], name: str = "parameter", value: str = "v") -> DataFrame:
@@ -37,8 +38,9 @@ def best_rows(df: DataFrame, columns: list[str], metrics: dict[str, bool]) -> Da
 
 
 def combinations(spark: SparkSession, options: dict[str, list[str]]) -> DataFrame:
-    """All combinations of short option lists."""
-    return spark.createDataFrame(list(product(*options.values())), list(options))
+    """All combinations of short option lists, as a chain of products of one small frame an option; an empty list gives none."""
+    frames = [spark.createDataFrame([(o,) for o in dict.fromkeys(values)], f"`{name}` string") for name, values in options.items()]
+    return reduce(DataFrame.crossJoin, frames)
 
 
 def spearman_sensitivity(df: DataFrame, parameters: list[str], score: str) -> DataFrame:
@@ -52,7 +54,7 @@ def spearman_sensitivity(df: DataFrame, parameters: list[str], score: str) -> Da
         return n.select("parameter", c, (F.sum("_n").over(W.partitionBy("parameter").orderBy(c)) - (F.col("_n") - 1) / 2).alias(f"r_{c}"))
 
     r = long.join(ranks("v"), ["parameter", "v"]).join(ranks("s"), ["parameter", "s"])
-    return r.groupBy("parameter").agg(F.abs(F.corr("r_v", "r_s")).alias("spearman"))
+    return r.groupBy("parameter").agg(F.abs(correlation(F.col("r_v"), F.col("r_s"))).alias("spearman"))
 
 
 def rbd_fast(df: DataFrame, parameters: list[str], score: str, tie: list[str], m: int = 10) -> DataFrame:
@@ -83,14 +85,20 @@ def mutual_information(df: DataFrame, keys: list[str], x: str, y: str, bins: int
 
 
 def mi_significance(df: DataFrame, keys: list[str], x: str, y: str, tie: list[str], n: int = 20, bins: int = 10, percent: float = 0.95) -> DataFrame:
-    """Observed information, the percentile of it under n shuffles of y (dealt by hashes), and whether it is above."""
+    """Observed information, the percentile of it under n shuffles of y (dealt by MD5 of the shuffle's number and the tie columns, which must tell rows apart), and whether it is above.
+
+    A shuffle pairs the k-th row in one hash order with the k-th in another. Bins need only numbers: both columns are
+    narrowed to what counts, and rows with a null are left out first.
+    """
+    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     w = W.partitionBy(*keys, "rep")
-    reps = df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    a = reps.select(*keys, "rep", x, F.row_number().over(w.orderBy(F.xxhash64(*tie))).alias("_i"))
-    b = reps.select(*keys, "rep", y, F.row_number().over(w.orderBy(F.xxhash64(*tie, F.col("rep")))).alias("_i"))
+    reps = d.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    text = [F.col(t).cast("string") for t in tie]
+    a = reps.select(*keys, "rep", x, F.row_number().over(w.orderBy(F.md5(F.concat_ws(":", *text)))).alias("_i"))
+    b = reps.select(*keys, "rep", y, F.row_number().over(w.orderBy(F.md5(F.concat_ws(":", F.col("rep").cast("string"), *text)))).alias("_i"))
     shuffled = mutual_information(a.join(b, [*keys, "rep", "_i"]), [*keys, "rep"], x, y, bins)
     edge = shuffled.groupBy(*keys).agg(F.percentile("mi", F.lit(percent)).alias("edge"))
-    return mutual_information(df, keys, x, y, bins).join(edge, keys).withColumn("significant", F.col("mi") > F.col("edge"))
+    return mutual_information(d, keys, x, y, bins).join(edge, keys).withColumn("significant", F.col("mi") > F.col("edge"))
 
 
 def pareto_front(df: DataFrame, f1: str, f2: str) -> DataFrame:
@@ -107,19 +115,108 @@ def pareto_front(df: DataFrame, f1: str, f2: str) -> DataFrame:
     return df.join(front, [f1, f2], "left_semi")
 
 
-def pareto_ranks(df: DataFrame, key: str, f1: str, f2: str, rounds: int | None = None) -> DataFrame:
-    """Front numbers from 0 by peeling, to the last front; with `rounds`, what lies behind so many fronts has rank `rounds`.
+def pareto_ranks(df: DataFrame, objectives: list[str], block: int = 200_000) -> DataFrame:
+    """The number of each row's front, from 0: the length of the longest chain of rows that dominate it (greater is better).
 
-    A row with a null objective is in no front: its rank is null."""
-    whole = F.col(f1).isNotNull() & F.col(f2).isNotNull()
-    left, out, r = df.where(whole), df.where(~whole).withColumn("front", F.lit(None).cast("int")), 0
-    while rounds is None or r < rounds:
-        front = stored(pareto_front(left, f1, f2).withColumn("front", F.lit(r)))
-        if front.isEmpty():
-            break
-        out, r = out.unionByName(front), r + 1
-        left = stored(left.join(front.select(key), key, "left_anti"))
-    return out.unionByName(left.withColumn("front", F.lit(r)))
+    Equal rows share a front; a row with a null or NaN objective is in none. One objective: the rank among distinct
+    values. Two: distinct points are dealt to blocks of about `block` by ranges of both, and the blocks of a diagonal
+    are worked on side by side, knowing of all blocks before them only the best point of each front in their own ranges
+    and the last front beyond; so 2 * sqrt(points / block) - 1 rounds, whatever the number of fronts. More: see `_ranks_many`.
+    """
+    names = [f"_o{k}" for k in range(len(objectives))]
+    o = [F.col(c).cast("double").alias(n) for c, n in zip(objectives, names, strict=True)]
+    d = df.withColumns(dict(zip(names, [F.col(c).cast("double") + F.lit(0.0) for c in objectives], strict=True)))
+    whole = reduce(lambda a, b: a & b, [F.col(n).isNotNull() & ~F.isnan(n) for n in names])
+    points = stored(df.select(*o).select(*[(F.col(n) + F.lit(0.0)).alias(n) for n in names]).where(whole).distinct())
+    n = points.count()
+    if len(names) == 1:
+        ranks = renumber(points.withColumn("_k", -F.col("_o0")), ["_k"], "front").select("_o0", (F.col("front") - 1).cast("int").alias("front"))
+    elif len(names) == 2:
+        ranks = _ranks_two(points, max(1, math.ceil(math.sqrt(n / block))))
+    else:
+        ranks = _ranks_many(points, names)
+    return d.join(ranks, names, "left").drop(*names)
+
+
+def _ranks_two(points: DataFrame, cuts: int) -> DataFrame:
+    probs = [k / cuts for k in range(1, cuts)]
+    at = points.approxQuantile(["_o0", "_o1"], probs, 0.1 / cuts) if probs else [[], []]
+    place = lambda c, q: F.size(F.filter(F.array(*map(F.lit, q)), lambda v: F.col(c) < v)) if q else F.lit(0)
+    points = stored(points.withColumns({"_i": place("_o0", at[0]), "_j": place("_o1", at[1])}))
+    path, done = folder(points.sparkSession), None
+    shape = "_i int, _j int, _o0 double, _o1 double, front int"
+
+    def fronts(rows: pd.DataFrame) -> pd.DataFrame:
+        mine = rows[rows["kind"] == 0].sort_values(["_o0", "_o1"], ascending=False)
+        a, b = mine["_o0"].to_numpy(), mine["_o1"].to_numpy()
+        least = np.full(len(mine), int(rows.loc[rows["kind"] == 3, "front"].max()) + 1 if (rows["kind"] == 3).any() else 0)
+        for kind, value in ((1, a), (2, b)):
+            known = rows[rows["kind"] == kind].sort_values("front", ascending=False)
+            if len(known):
+                # the greatest value of each front or a later one falls with the front's number
+                steps = np.maximum.accumulate(known["_o0" if kind == 1 else "_o1"].to_numpy())
+                first = np.searchsorted(steps, value, side="left")
+                f = np.append(known["front"].to_numpy() + 1, 0)
+                least = np.maximum(least, f[first])
+        order = np.searchsorted(-np.unique(b)[::-1], -b) + 1  # 1 is the greatest second objective
+        tree = [0] * (len(b) + 2)  # prefix maxima of front + 1 by second objective
+        out = np.zeros(len(b), np.int32)
+        for k, (r, low) in enumerate(zip(order.tolist(), least.tolist(), strict=True)):
+            q, best = r, low
+            while q:
+                best = max(best, tree[q])
+                q &= q - 1
+            out[k] = best
+            while r < len(tree):
+                tree[r] = max(tree[r], best + 1)
+                r += r & -r
+        return mine[["_i", "_j", "_o0", "_o1"]].assign(front=out)
+
+    for diagonal in range(2 * cuts - 1):
+        mine = points.where(F.col("_i") + F.col("_j") == diagonal).select("_i", "_j", "_o0", "_o1", F.lit(None).cast("int").alias("front"), F.lit(0).alias("kind"))
+        rows = mine
+        if done is not None:
+            column = done.groupBy("_i", "front").agg(F.max("_o0").alias("_o0")).select("_i", (F.lit(diagonal) - F.col("_i")).alias("_j"), "_o0", F.lit(None).cast("double").alias("_o1"), "front", F.lit(1).alias("kind"))
+            row = done.groupBy("_j", "front").agg(F.max("_o1").alias("_o1")).select((F.lit(diagonal) - F.col("_j")).alias("_i"), "_j", F.lit(None).cast("double").alias("_o0"), "_o1", "front", F.lit(2).alias("kind"))
+            last = done.groupBy("_i", "_j").agg(F.max("front").alias("front")).withColumn("_x", F.explode(F.sequence(F.lit(0), F.lit(cuts - 1)))).where((F.col("_x") > F.col("_i")) & (F.lit(diagonal) - F.col("_x") > F.col("_j")))
+            beyond = last.groupBy("_x").agg(F.max("front").alias("front")).select(F.col("_x").alias("_i"), (F.lit(diagonal) - F.col("_x")).alias("_j"), F.lit(None).cast("double").alias("_o0"), F.lit(None).cast("double").alias("_o1"), "front", F.lit(3).alias("kind"))
+            have = mine.select("_i", "_j").distinct()
+            rows = mine.unionByName(column.unionByName(row).unionByName(beyond).join(have, ["_i", "_j"], "left_semi"))
+        done = stored(rows.groupBy("_i", "_j").applyInPandas(fronts, shape), path)
+    return done.select("_o0", "_o1", "front")
+
+
+def _ranks_many(points: DataFrame, names: list[str], block: int = 4096) -> DataFrame:
+    """Three and more objectives: points in falling order, a block of them after the other.
+
+    A row's front is settled in its block; the block (of bounded size) is then held against all later rows, which
+    are spread over the tasks. As every pair may have to be compared, the work grows with the square of the points.
+    """
+    d = renumber(points.select(*names, *[(-F.col(n)).alias(f"_n{n}") for n in names]), [f"_n{n}" for n in names], "_at").select(*names, ((F.col("_at") - 1) / block).cast("long").alias("_b"), "_at")
+    kind = ", ".join(f"{n} double" for n in names) + ", front int"
+    left, path, at = stored(d.withColumn("front", F.lit(0))), folder(points.sparkSession), 0
+    whole = f"{kind}, _b long, _at long"
+    while not left.isEmpty():
+        rows = left.where(F.col("_b") == at).orderBy("_at").toPandas()
+        v, front = rows[names].to_numpy(), rows["front"].to_numpy().copy()
+        for k in range(1, len(v)):
+            over = (v[:k] >= v[k]).all(axis=1)
+            if over.any():
+                front[k] = max(front[k], front[:k][over].max() + 1)
+        stored(points.sparkSession.createDataFrame(rows[names].assign(front=front), kind), path)
+
+        def later(batches, v=v, front=front):
+            for b in batches:
+                x, f = b[names].to_numpy(), b["front"].to_numpy().copy()
+                for k in range(0, len(x), 256):
+                    over = (v[None] >= x[k : k + 256, None]).all(axis=2)
+                    f[k : k + 256] = np.maximum(f[k : k + 256], np.where(over, front[None] + 1, 0).max(axis=1))
+                yield b.assign(front=f.astype(np.int32))
+
+        left, at = stored(left.where(F.col("_b") > at).select(*names, "front", "_b", "_at").mapInPandas(later, whole)), at + 1
+    if not at:
+        return points.withColumn("front", F.lit(0))
+    return points.sparkSession.read.schema(kind).parquet(path)
 
 
 def crowding_distance(df: DataFrame, keys: list[str], key: str, objectives: list[str]) -> DataFrame:
@@ -217,17 +314,27 @@ def mean_pairwise_distance(df: DataFrame, keys: list[str], vector: str, block: i
     return got.groupBy(*keys).agg((F.sum("_s") / F.nullif(F.sum("_n"), F.lit(0))).alias("mean_distance"))
 
 
-def total_order(df: DataFrame, parameters: list[str], score: str, n: int = 256) -> DataFrame:
-    """Total-order index on an additive surrogate: the mean over parameters of the score's binned mean along each.
-
-    The design points are hashes. Of an additive function the total effect of a parameter is the variance of its
-    own term; Jansen's estimator of it needs the term at two independent points."""
-    long = _long(df, [F.col(score).cast("double").alias("y")], parameters)
-    b = long.groupBy("parameter").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    k = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 20), F.lit(19))).otherwise(0)
-    term = long.join(b, "parameter").groupBy("parameter", k.cast("int").alias("k")).agg((F.avg("y") / len(parameters)).alias("f"))
-    have = term.groupBy("parameter").agg(F.array_sort(F.collect_list(F.struct("k", "f"))).alias("t"))
-    i = have.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    pick = lambda s: F.element_at("t", (F.pmod(F.xxhash64("parameter", "i", F.lit(s)), F.size("t")) + 1).cast("int"))["f"]
-    e = i.groupBy("parameter").agg((F.avg((pick(1) - pick(2)) ** 2) / 2).alias("_v"))
-    return e.select("parameter", (F.col("_v") / F.sum("_v").over(W.partitionBy(F.lit(1)))).alias("st"))
+def total_order(df: DataFrame, parameters: list[str], score: str, n: int = 1024, bins: int = 1024) -> DataFrame:
+    """(parameter, st): total-order indices by Jansen's estimator on a surrogate, the mean over parameters of the score interpolated linearly along each.
+
+    Knots are a parameter's distinct values with their mean score. The design is Saltelli's: points A and B of n rows, uniform
+    between a parameter's least and greatest value by MD5, and A with one column of B. Knots are put in order
+    by a range-partitioned sort and meet the design points in bins, so that no parameter's samples lie in one task.
+    """
+    long = _long(df.where(F.col(score).isNotNull()), [F.col(score).cast("double").alias("y")], parameters).where("v IS NOT NULL")
+    knots = renumber(long.groupBy("parameter", "v").agg(F.avg("y").alias("y")), ["parameter", "v"], "_k").select("parameter", "v", "y", "_k")
+    b = knots.groupBy("parameter").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    nxt = knots.select("parameter", (F.col("_k") - 1).alias("_k"), F.col("v").alias("v2"), F.col("y").alias("y2"))
+    bin_ = lambda c: F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col(c) - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))).otherwise(F.lit(0))
+    spans = knots.join(nxt, ["parameter", "_k"], "left").join(b, "parameter").withColumns({"v2": F.coalesce("v2", "v"), "y2": F.coalesce("y2", "y")}).withColumn("_bin", F.explode(F.sequence(bin_("v"), bin_("v2")))).select("parameter", "_bin", "v", "y", "v2", "y2", "hi")
+    u = lambda s: F.conv(F.substring(F.md5(F.concat_ws(":", "parameter", F.col("i").cast("string"), F.lit(s))), 1, 8), 16, 10).cast("double") / (1 << 32)
+    points = b.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("_x", F.explode(F.array(*[F.struct(F.lit(s).alias("s"), (F.col("lo") + u(s) * (F.col("hi") - F.col("lo"))).alias("x")) for s in "AB"])))
+    points = points.select("parameter", "i", "_x.s", "_x.x", "lo", "hi").withColumn("_bin", bin_("x")).drop("lo", "hi")
+    on = (F.col("v") <= F.col("x")) & ((F.col("x") < F.col("v2")) | (F.col("v") == F.col("hi")))
+    value = F.when(F.col("v2") > F.col("v"), F.col("y") + (F.col("y2") - F.col("y")) * (F.col("x") - F.col("v")) / (F.col("v2") - F.col("v"))).otherwise(F.col("y"))
+    term = points.join(spans, ["parameter", "_bin"]).where(on).select("parameter", "i", "s", (value / len(parameters)).alias("g"))
+    pair = term.groupBy("parameter", "i").agg(F.max(F.when(F.col("s") == "A", F.col("g"))).alias("a"), F.max(F.when(F.col("s") == "B", F.col("g"))).alias("b"))
+    total = pair.groupBy("i").agg(F.sum("a").alias("fa"), F.sum("b").alias("fb"))
+    spread = total.select(F.explode(F.array("fa", "fb")).alias("f")).agg(F.var_pop("f").alias("_var"))
+    effect = pair.groupBy("parameter").agg((F.avg((F.col("a") - F.col("b")) ** 2) / 2).alias("_e"))
+    return effect.crossJoin(F.broadcast(spread)).select("parameter", (F.col("_e") / F.nullif(F.col("_var"), F.lit(0.0))).alias("st"))

@@ -38,6 +38,11 @@ def _pair() -> tuple[Column, Column]:
     return F.col("obs"), F.col("sim")
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson's correlation; null where either side does not vary."""
+    return _over(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def nse() -> Column:
     O, S = _pair()
     return (1 - _over(F.sum((S - O) ** 2), F.var_pop(O) * F.count(O))).alias("nse")
@@ -52,13 +57,13 @@ def nse_simref() -> Column:
 
 def kge() -> Column:
     O, S = _pair()
-    return (1 - F.sqrt((F.corr(S, O) - 1) ** 2 + (_over(F.stddev_samp(S), F.stddev_samp(O)) - 1) ** 2 + (_over(F.avg(S), F.avg(O)) - 1) ** 2)).alias("kge")
+    return (1 - F.sqrt((correlation(S, O) - 1) ** 2 + (_over(F.stddev_samp(S), F.stddev_samp(O)) - 1) ** 2 + (_over(F.avg(S), F.avg(O)) - 1) ** 2)).alias("kge")
 
 
 def kge_prime() -> Column:
     O, S = _pair()
     cv = lambda c: _over(F.stddev_samp(c), F.avg(c))
-    return (1 - F.sqrt((F.corr(S, O) - 1) ** 2 + (_over(cv(S), cv(O)) - 1) ** 2 + (_over(F.avg(S), F.avg(O)) - 1) ** 2)).alias("kge_prime")
+    return (1 - F.sqrt((correlation(S, O) - 1) ** 2 + (_over(cv(S), cv(O)) - 1) ** 2 + (_over(F.avg(S), F.avg(O)) - 1) ** 2)).alias("kge_prime")
 
 
 def errors() -> list[Column]:
@@ -70,7 +75,7 @@ def bias_suite() -> list[Column]:
     O, S = _pair()
     return [
         (100 * _over(F.sum(S) - F.sum(O), F.sum(O))).alias("pbias"), (F.avg(S) - F.avg(O)).alias("bias"), (100 * (F.avg(S) - F.avg(O)) / (F.avg(O) + 1e-9)).alias("bias_pct"),
-        F.corr(S, O).alias("r"), _over(F.stddev_samp(S), F.stddev_samp(O)).alias("alpha"), _over(F.avg(S), F.avg(O)).alias("beta"),
+        correlation(S, O).alias("r"), _over(F.stddev_samp(S), F.stddev_samp(O)).alias("alpha"), _over(F.avg(S), F.avg(O)).alias("beta"),
     ]
 
 
@@ -97,7 +102,7 @@ def kge_np(pairs: DataFrame, keys: list[str]) -> DataFrame:
     O, S = _pair()
     all_ = W.partitionBy(*keys)
     p = pairs.withColumn("_ro", average_rank("obs", keys)).withColumn("_rs", average_rank("sim", keys))
-    rank = p.groupBy(*keys).agg(F.corr("_ro", "_rs").alias("_r"), _over(F.avg(S), F.avg(O)).alias("_b"))
+    rank = p.groupBy(*keys).agg(correlation(F.col("_ro"), F.col("_rs")).alias("_r"), _over(F.avg(S), F.avg(O)).alias("_b"))
     share = lambda c: pairs.select(*keys, F.row_number().over(W.partitionBy(*keys).orderBy(c)).alias("_k"), (F.col(c) / F.sum(c).over(all_)).alias(f"_{c}"))
     alpha = share("obs").join(share("sim"), [*keys, "_k"]).groupBy(*keys).agg((1 - 0.5 * F.sum(F.abs(F.col("_sim") - F.col("_obs")))).alias("_a"))
     return rank.join(alpha, keys).select(*keys, (1 - F.sqrt((F.col("_a") - 1) ** 2 + (F.col("_b") - 1) ** 2 + (F.col("_r") - 1) ** 2)).alias("kge_np"))
@@ -137,7 +142,7 @@ def range_metrics(pairs: DataFrame, keys: list[str]) -> DataFrame:
 def pair_report(obs: DataFrame, sim: DataFrame, keys: list[str], ts: str, col: str = "q") -> DataFrame:
     """Counts, moments and flags of two series, and how much of the shorter one they share."""
     side = lambda d, n: d.groupBy(*keys).agg(F.count(col).alias(f"n_{n}"), F.min(col).alias(f"min_{n}"), F.max(col).alias(f"max_{n}"), F.avg(col).alias(f"mean_{n}"), F.stddev_samp(col).alias(f"std_{n}"), F.median(col).alias(f"median_{n}"), F.avg((F.col(col) == 0).cast("double")).alias(f"zero_{n}"))
-    both = align(obs, sim, [*keys, ts], col, col).groupBy(*keys).agg(F.count("*").alias("n_both"), F.corr("obs", "sim").alias("r"))
+    both = align(obs, sim, [*keys, ts], col, col).groupBy(*keys).agg(F.count("*").alias("n_both"), correlation(F.col("obs"), F.col("sim")).alias("r"))
     d = reduce(lambda a, b: a.join(b, keys, "left"), [side(obs, "obs"), side(sim, "sim"), both])
     d = d.withColumn("mean_ratio", _over(F.col("mean_sim"), F.col("mean_obs"))).withColumn("overlap_pct", 100 * F.coalesce("n_both", F.lit(0)) / F.least("n_obs", "n_sim"))
     flag = (F.col("mean_ratio") < 0.01) | (F.col("mean_ratio") > 100) | F.coalesce(F.col("r") < -0.5, F.lit(False)) | (F.col("zero_obs") > 0.8) | (F.col("zero_sim") > 0.8)

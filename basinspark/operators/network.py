@@ -102,6 +102,28 @@ def positions(edges: DataFrame) -> DataFrame:
     return renumber(d, ["_in", "level", "seg"], "position").select("seg", "level", "position")
 
 
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component) of every node on an edge: the smallest node that links lead to.
+
+    In a round every group hangs itself on the smallest group next to it, the chains of this are flattened by
+    doubling, and the edges shrink to those between groups that are left; each round is written.
+    """
+    e = stored(edges.select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y")).distinct())
+    of = stored(e.select(F.col("x").alias("node")).unionByName(e.select(F.col("y").alias("node"))).distinct().withColumn("component", F.col("node")))
+    e = stored(e.where("x <> y"))
+    while not e.isEmpty():
+        to = stored(e.groupBy("x").agg(F.min("y").alias("to")))
+        while True:
+            deeper = to.join(to.select(F.col("x").alias("to"), F.col("to").alias("_next")), "to", "left")
+            if deeper.where("_next IS NOT NULL").isEmpty():
+                break
+            to = stored(deeper.select("x", F.coalesce("_next", "to").alias("to")))
+        new = lambda d, c: d.join(to.select(F.col("x").alias("_x"), F.col("to").alias("_t")), F.col(c) == F.col("_x"), "left").withColumn(c, F.coalesce("_t", c)).drop("_x", "_t")
+        of = stored(new(of, "component"))
+        e = stored(new(new(e, "x"), "y").where("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())
+    return of
+
+
 def unit_edges(segments: DataFrame) -> DataFrame:
     """(unit, down_unit): units whose segments drain into another unit's; self-loops are left out."""
     d = segments.select(F.col("seg").alias("down"), F.col("unit_id").alias("down_unit"))

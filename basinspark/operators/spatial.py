@@ -255,6 +255,36 @@ def nearest_zone(points: DataFrame, zones: DataFrame) -> DataFrame:
     return nearest_segment(points, zones.select("unit_id", x.alias("x1"), y.alias("y1"), x.alias("x2"), y.alias("y2")), "unit_id")
 
 
+def pieces(cells: DataFrame, by: list[str]) -> DataFrame:
+    """Cells with `piece`: the least cell_id of those that are joined to them by shared sides and have the same values of `by`."""
+    from .network import components
+
+    at = cells.select("cell_id", "x", "y", *by)
+    side = lambda dx, dy: at.select(F.col("cell_id").alias("b"), (F.col("x") - dx).alias("x"), (F.col("y") - dy).alias("y"), *by)
+    near = at.join(side(1, 0).unionByName(side(0, 1)), ["x", "y", *by]).select(F.col("cell_id").alias("a"), "b")
+    found = components(near).select(F.col("node").alias("cell_id"), F.col("component").alias("piece"))
+    return cells.join(found, "cell_id", "left").withColumn("piece", F.coalesce("piece", "cell_id"))
+
+
+def allocate(land: DataFrame, zones: DataFrame, cell_area: float, least: float = 0.1) -> DataFrame:
+    """(cell_id, nearest, unit_id): land cells outside all zones, given to the zone of the nearest centroid and cut into pieces that hang together.
+
+    Pieces of `least` (km2) or under are dropped; the others are numbered from the greatest unit_id + 1 by nearest zone, then least cell.
+    """
+    out = land.join(cells_in_zones(land, zones).select("cell_id").distinct(), "cell_id", "left_anti")
+    near = nearest_zone(out.select("cell_id", "x", "y"), zones).select("cell_id", "x", "y", F.col("unit_id").alias("nearest"))
+    d = pieces(stored(near), ["nearest"])
+    size = d.groupBy("nearest", "piece").agg(F.count("*").alias("_n")).where(F.col("_n") * cell_area > least)
+    number = renumber(size, ["nearest", "piece"], "_k").crossJoin(F.broadcast(zones.agg(F.coalesce(F.max("unit_id"), F.lit(0)).alias("_max"))))
+    return d.join(number.select("nearest", "piece", (F.col("_k") + F.col("_max")).alias("unit_id")), ["nearest", "piece"]).select("cell_id", "nearest", "unit_id")
+
+
+def with_coast(units: DataFrame, allocated: DataFrame, cell_area: float) -> DataFrame:
+    """(unit_id, area, seg, coastal): the units (unit_id, area, seg) and after them the allocated pieces, which drain to no segment (0)."""
+    new = allocated.groupBy("unit_id").agg((F.count("*") * cell_area).alias("area")).select("unit_id", "area", F.lit(0).cast("long").alias("seg"), F.lit(True).alias("coastal"))
+    return units.select("unit_id", F.col("area").cast("double").alias("area"), F.col("seg").cast("long").alias("seg"), F.lit(False).alias("coastal")).unionByName(new)
+
+
 def point_unit(points: DataFrame, d: float) -> DataFrame:
     return points.withColumns({"xmin": F.col("x") - d, "xmax": F.col("x") + d, "ymin": F.col("y") - d, "ymax": F.col("y") + d, "down": F.lit(0)})
 

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-STEPS = {"h": ("hour", "INTERVAL 1 HOUR"), "D": ("day", "INTERVAL 1 DAY"), "M": ("month", "INTERVAL 1 MONTH"), "Y": ("year", "INTERVAL 1 YEAR")}
+from .metrics import correlation
 
+STEPS = {"h": ("hour", "INTERVAL 1 HOUR"), "D": ("day", "INTERVAL 1 DAY"), "M": ("month", "INTERVAL 1 MONTH"), "Y": ("year", "INTERVAL 1 YEAR")}
 
 def floor_to(ts: Column, freq: str) -> Column:
     """The start of the step: h, D, M, Y, or `<n>s` seconds counted from the epoch."""
@@ -240,7 +241,7 @@ def anomaly_corr(pairs: DataFrame, keys: list[str], ts: str, before: int = 6, af
     w = W.partitionBy(*keys).orderBy(ts).rowsBetween(-before, after)
     off = lambda c: F.when(F.count(c).over(w) == before + after + 1, F.col(c) - F.avg(c).over(w))
     d = pairs.withColumn("_o", off("obs")).withColumn("_s", off("sim")).where("_o IS NOT NULL AND _s IS NOT NULL")
-    return d.groupBy(*keys).agg(F.when(F.count("*") > 10, F.corr("_o", "_s")).alias("anomaly_corr"))
+    return d.groupBy(*keys).agg(F.when(F.count("*") > 10, correlation(F.col("_o"), F.col("_s"))).alias("anomaly_corr"))
 
 
 def trend(df: DataFrame, keys: list[str], ts: str, col: str) -> DataFrame:
@@ -251,7 +252,7 @@ def trend(df: DataFrame, keys: list[str], ts: str, col: str) -> DataFrame:
 
 def autocorr(df: DataFrame, keys: list[str], ts: str, col: str, lag: int = 1) -> DataFrame:
     d = df.withColumn("_p", F.lag(col, lag).over(W.partitionBy(*keys).orderBy(ts))).where(F.col("_p").isNotNull() & F.col(col).isNotNull())
-    return d.groupBy(*keys).agg(F.when(F.count("*") >= 10, F.corr(col, "_p")).alias("autocorr"))
+    return d.groupBy(*keys).agg(F.when(F.count("*") >= 10, correlation(F.col(col), F.col("_p"))).alias("autocorr"))
 
 
 def spells(df: DataFrame, keys: list[str], ts: str, cond: Column) -> DataFrame:
@@ -316,7 +317,7 @@ def water_balance(df: DataFrame, keys: list[str], d: str, p: str = "p", q: str =
     a = year.groupBy(*keys).agg(F.avg("_r").alias("rr_mean"), F.stddev_samp("_r").alias("rr_std"), (F.stddev_samp("_r") / F.avg("_r")).alias("rr_cv"), F.avg(F.col("_p") - F.col("_q")).alias("aet"))
     month = df.groupBy(*keys, F.month(d).alias("_m")).agg(F.avg(p).alias("_p"), F.avg(q).alias("_q"))
     month = month.withColumn("_f", F.col("_q") / F.sum("_q").over(W.partitionBy(*keys)))
-    b = month.groupBy(*keys).agg(F.corr("_p", "_q").alias("pq_corr"), F.max(F.struct("_q", (-F.col("_m")).alias("k")))["k"].alias("_k"), (0.5 * F.sum(F.abs(F.col("_f") - 1 / 12))).alias("flow_seasonality"))
+    b = month.groupBy(*keys).agg(correlation(F.col("_p"), F.col("_q")).alias("pq_corr"), F.max(F.struct("_q", (-F.col("_m")).alias("k")))["k"].alias("_k"), (0.5 * F.sum(F.abs(F.col("_f") - 1 / 12))).alias("flow_seasonality"))
     return a.join(b, keys).withColumn("peak_month", -F.col("_k")).drop("_k")
 
 
@@ -436,6 +437,59 @@ def override_forcing(base: DataFrame, supp: DataFrame, keys: list[str], ts: str,
     return base.join(s, [*keys, ts], "left").withColumn(col, F.coalesce("_s", col)).drop("_s")
 
 
+def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], span: tuple[str, str] = ("start", "end"), other: tuple[str, str] = ("from", "to")) -> DataFrame:
+    """Rows whose closed intervals overlap, with equal keys: left's columns and right's others.
+
+    Both sides are dealt to the months that they touch and meet in an equi-join; a pair that meets in several months
+    counts in the first both have. Intervals without a start or end, or that end before they start, match nothing.
+    """
+    first = lambda c: F.date_trunc("month", F.col(c).cast("timestamp_ntz"))
+    months = lambda d, a, b: d.where(F.col(a) <= F.col(b)).withColumn("_m", F.explode(F.sequence(first(a), first(b), F.expr("INTERVAL 1 MONTH"))))
+    (a, b), (c, e) = span, other
+    j = months(left, a, b).join(months(right, c, e), [*keys, "_m"])
+    return j.where((F.col(a) <= F.col(e)) & (F.col(c) <= F.col(b)) & (F.col("_m") == F.greatest(first(a), first(c)))).drop("_m")
+
+
+# The second source's variables and, for each, the names under which a forcing table may hold it.
+SECOND_SOURCE = {
+    "prcp": ["pptrate", "pcp", "precipitation", "PRCP", "prcp"],
+    "prcp_corrected": ["pptrate", "pcp", "precipitation", "PRCP", "prcp"],
+    "tmean": ["airtemp", "tmp", "temperature", "TEMP", "tmean", "tas"],
+}
+
+
+def second_source_unit(name: str, value: Column, unit: str) -> Column:
+    """The second source's precipitation (mm/h) or temperature (Celsius) in the forcing's unit.
+
+    A rate "m s-1" is looked for before "mm s-1", which holds it too and is thus taken for metres; "mm/s" is not.
+    Precipitation in another unit stays in mm/h.
+    """
+    if name == "tmean":
+        return value + 273.15 if "K" in unit and "celsius" not in unit.lower() else value
+    if "kg m-2 s-1" in unit or "kg m**-2 s**-1" in unit or ("m s-1" not in unit and "mm/s" in unit):
+        return value / 3600
+    return value / 3_600_000 if "m s-1" in unit else value
+
+
+def override_from_files(base: DataFrame, files: DataFrame, supp: DataFrame, keys: list[str], ts: str, units: dict[str, str], file: str = "file") -> DataFrame:
+    """Forcing whose precipitation and temperature come from a second source where that has them.
+
+    files (keys, file, from, to) lists the second source's month files; those that overlap a base series' record are
+    read from supp (keys, file, ts, variables of SECOND_SOURCE). Each variable is interpolated to the base times, put
+    into the unit of the first base column that can hold it, and replaces it; variables and columns that are missing are let be.
+    """
+    record = base.groupBy(*keys).agg(F.min(ts).alias("start"), F.max(ts).alias("end"))
+    wanted = overlap_join(record, files.select(*keys, file, "from", "to"), keys).select(*keys, file).distinct()
+    rows, out = supp.join(wanted, [*keys, file], "left_semi"), base
+    for name, targets in SECOND_SOURCE.items():
+        target = next((t for t in targets if t in base.columns), None)
+        if name not in supp.columns or target is None:
+            continue
+        value = second_source_unit(name, F.col(name).cast("double"), units.get(target, ""))
+        out = override_forcing(out, rows.select(*keys, ts, value.alias(target)), keys, ts, target)
+    return out.select(*base.columns)
+
+
 def to_naive_local(ts: Column, zone: str) -> Column:
     """UTC wall time to the zone's wall time, without a zone."""
     return F.convert_timezone(F.lit("UTC"), F.lit(zone), ts.cast("timestamp_ntz"))

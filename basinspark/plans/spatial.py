@@ -21,6 +21,13 @@ def inzone(v):
 LOOPED = "looped AS (SELECT seg, CASE WHEN seg%8=7 THEN -1 WHEN seg%8=4 AND seg//8%5=1 THEN seg-2 WHEN seg%8=0 AND seg//8%7=3 THEN -1 WHEN seg%8=6 THEN -1 ELSE seg+1 END AS down FROM network UNION SELECT seg, seg+1 FROM network WHERE seg%8=4 AND seg//8%5=1)"
 
 
+COAST = """WITH RECURSIVE z AS (SELECT * FROM zones WHERE unit_id%2=0), o AS (SELECT * FROM cells WHERE elev%7<5 AND cell_id NOT IN (SELECT cell_id FROM cells JOIN z ON x>=xmin AND x<xmax AND y>=ymin AND y<ymax)),
+nz AS (SELECT cell_id, x, y, unit_id AS nearest FROM o, z QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY pow((xmin+xmax)/2-x,2)+pow((ymin+ymax)/2-y,2), unit_id)=1),
+ne AS (SELECT a.cell_id AS a, b.cell_id AS b FROM nz a JOIN nz b ON a.nearest=b.nearest AND abs(a.x-b.x)+abs(a.y-b.y)=1), re AS (SELECT cell_id AS a, cell_id AS b FROM nz UNION SELECT re.a, ne.b FROM re JOIN ne ON re.b=ne.a),
+pi AS (SELECT a AS cell_id, min(b) AS piece, count(*) AS n FROM re GROUP BY 1), k AS (SELECT DISTINCT nearest, piece FROM pi JOIN nz ON nz.cell_id=pi.cell_id WHERE n*0.04>0.1),
+kk AS (SELECT *, row_number() OVER (ORDER BY nearest, piece)+(SELECT max(unit_id) FROM z) AS unit_id FROM k), al AS (SELECT pi.cell_id, nz.nearest, kk.unit_id FROM pi JOIN nz ON nz.cell_id=pi.cell_id JOIN kk ON kk.piece=pi.piece AND kk.nearest=nz.nearest)"""
+
+
 def looped(v):
     k = "seg % 8 = 4 AND seg div 8 % 5 = 1"
     d = v.network.selectExpr("seg", f"CASE WHEN seg % 8 = 7 THEN -1 WHEN {k} THEN seg - 2 WHEN seg % 8 = 0 AND seg div 8 % 7 = 3 THEN -1 WHEN seg % 8 = 6 THEN -1 ELSE seg + 1 END AS down")
@@ -80,6 +87,8 @@ QUERIES = [
     Query("e36_elbow", "threshold:f", lambda v: s.elbow(v.cells.groupBy((F.col("cls") * 10.0).alias("t")).agg(F.avg("elev").alias("q")), "t", "q"), "WITH a AS (SELECT cls*10.0 AS t, log10(avg(elev)+1) AS y FROM cells GROUP BY 1), b AS (SELECT t, abs(lead(y) OVER w-2*y+lag(y) OVER w) AS c, lead(t) OVER w AS n FROM a WINDOW w AS (ORDER BY t)) SELECT n AS threshold FROM b WHERE c IS NOT NULL ORDER BY c DESC, t LIMIT 1"),
     Query("e37_merge_small", "unit:i merged:i", lambda v: n.merge_small(v.network.groupBy(F.col("unit_id").alias("unit")).agg(F.sum("length").alias("area")), n.unit_edges(v.network).select(F.col("unit").alias("a"), F.col("down_unit").alias("b")), 280_000.0)),
     Query("e38_nearest", "cell_id:i unit_id:i distance:f", lambda v: s.nearest_zone(v.cells.select("cell_id", "x", "y"), v.zones), "SELECT cell_id, unit_id, sqrt(d) AS distance FROM (SELECT cell_id, unit_id, pow((xmin+xmax)/2-x,2)+pow((ymin+ymax)/2-y,2) AS d FROM cells, zones) QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY d, unit_id)=1"),
+    Query("e38_allocate", "cell_id:i nearest:i unit_id:i", lambda v: s.allocate(v.cells.where("elev % 7 < 5"), v.zones.where("unit_id % 2 = 0"), 0.04), f"{COAST} SELECT cell_id, nearest, unit_id FROM al"),
+    Query("e38_coast", "unit_id:i area:f seg:i coastal:b", lambda v: (lambda z: s.with_coast(z.withColumn("area", F.lit(80.0)).withColumn("seg", F.col("unit_id") + 1), s.allocate(v.cells.where("elev % 7 < 5"), z, 0.04), 0.04))(v.zones.where("unit_id % 2 = 0")), f"{COAST} SELECT unit_id, 80.0 AS area, unit_id+1 AS seg, false AS coastal FROM z UNION ALL SELECT unit_id, count(*)*0.04::DOUBLE, 0, true FROM al GROUP BY 1"),
     Query("e40_point_unit", "cell_id:i xmin:f ymax:f down:i", lambda v: s.point_unit(v.cells, 0.25), "SELECT cell_id, x-0.25 AS xmin, y+0.25 AS ymax, 0 AS down FROM cells"),
     Query("e30_replicate", "unit_id:i hru:i", lambda v: n.replicate_units(v.zones, 3), "SELECT unit_id, hru FROM zones, (SELECT unnest([1, 2, 3]) AS hru)"),
     Query("e32_quantile_aspect", "unit_id:i quantile:i sector:i area:i mean_value:f", lambda v: s.discretise(s.quantile_class(inzone(v), "elev", 4).withColumn("sector", c.aspect_class(F.pmod(F.col("cell_id") * 7.0, F.lit(360.0)))), ["unit_id"], "elev", 1e9, ["quantile", "sector"]),

@@ -57,12 +57,26 @@ def _pairs_stream(v):
 
 MONTHS = ", ".join(f"max(CASE WHEN day(d)={i} THEN q END) AS FLOW{i}" for i in range(1, 32))
 
+def _stateful(v):
+    """Four files, one a batch; the last row of all comes far later, so that every unit before it is closed."""
+    t = v.table("events")
+    path = scratch(v)
+    t.repartitionByRange(3, "ts", "event_id").write.parquet(f"{path}/in")
+    late = t.orderBy(F.desc("event_id")).limit(1).withColumn("ts", F.col("ts") + F.expr("INTERVAL 900 DAYS")).withColumn("event_type", F.lit("end"))
+    late.write.mode("append").parquet(f"{path}/in")
+    s = g.stream_source(v.spark, f"{path}/in", EVENTS, files=1)
+    pairs = s.select("event_type", "ts", F.col("value").alias("obs"), (F.col("value") * 1.1 + F.col("user_id") / 100).alias("sim"))
+    rows = g.run_updates(g.stream_moments(pairs, ["event_type"], "ts", "60 days", 86_400_000 * 120), path)
+    return g.moment_metrics(g.newest(rows.where("event_type <> 'end'"), ["event_type"]))
+
+
 QUERIES = [
     Query("h01_stream_source", "event_id:i value:f", lambda v: through(v, lambda s: s.where("event_type <> 'end'").select("event_id", "value")), "SELECT event_id, value FROM events"),
     Query("h02_stream_resample", "user_id:i ts:t value:f n:i", lambda v: ntz(closed(through(v, lambda s: g.stream_resample(s, ["user_id"], "ts", "value", "1 day", "2 days"))), "ts"), "SELECT user_id, date_trunc('day', ts) AS ts, avg(value) AS value, count(value) AS n FROM events GROUP BY 1, 2"),
     Query("h03_stream_sliding", "event_type:s ts:t value:f", lambda v: ntz(closed(through(v, lambda s: g.stream_sliding(s.where("event_type <> 'end'").unionByName(s.where("event_type = 'end'")), ["event_type"], "ts", "value", "2 hours", "1 hour", "2 days"))), "ts"), "WITH w AS (SELECT event_type, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS ts, value FROM events) SELECT event_type, ts, avg(value) AS value FROM w GROUP BY 1, 2"),
     Query("h04_stream_sessions", "user_id:i first:t last:t n:i", lambda v: ntz(closed(through(v, lambda s: g.stream_sessions(s, ["user_id"], "ts", "6 hours", "2 days")), "first"), "first", "last"), "WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM o) SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n FROM s GROUP BY user_id, s"),
     Query("h05_stream_metrics", "event_type:s n:i rmse:f pbias:f", lambda v: through(v, lambda s: g.stream_metrics(s.where("event_type <> 'end'").select("event_type", F.col("value").alias("obs"), (F.col("value") * 1.1 + F.col("user_id") / 100).alias("sim")), ["event_type"]), mode="complete"), "SELECT event_type, count(*) AS n, sqrt(avg(pow(value*0.1::DOUBLE+user_id/100.0::DOUBLE,2))) AS rmse, 100*(sum(value*1.1::DOUBLE+user_id/100.0::DOUBLE)-sum(value))/sum(value) AS pbias FROM events GROUP BY 1"),
+    Query("h05_stateful", "event_type:s closed:b n:i rmse:f pbias:f nse:f kge:f", _stateful, "WITH p AS (SELECT event_type, value AS o, value*1.1::DOUBLE+user_id/100.0::DOUBLE AS s FROM events) SELECT event_type, true AS closed, count(*) AS n, sqrt(avg(pow(s-o,2))) AS rmse, 100*(sum(s)-sum(o))/sum(o) AS pbias, 1-sum(pow(s-o,2))/(var_pop(o)*count(*)) AS nse, 1-sqrt(pow(corr(s,o)-1,2)+pow(stddev_pop(s)/stddev_pop(o)-1,2)+pow(avg(s)/avg(o)-1,2)) AS kge FROM p GROUP BY 1"),
     Query("h06_stream_enrich", "event_id:i c_name:s", lambda v: through(v, lambda s: g.stream_enrich(s.where("event_type <> 'end'"), v.table("customer").select(F.col("c_custkey").alias("user_id"), "c_name"), ["user_id"]).select("event_id", "c_name")), "SELECT event_id, c_name FROM events JOIN customer ON c_custkey=user_id"),
     Query("h07_stream_align", "k:i ts:t obs:f sim:f", lambda v: ntz(closed(_pairs_stream(v)), "ts"), "SELECT event_id AS k, ts, value AS obs, value*2 AS sim FROM events WHERE event_type NOT IN ('error', 'view')"),
     Query("h08_stream_dedup", "event_id:i", lambda v: through(v, lambda s: g.stream_dedup(s.where("event_type <> 'end'").unionByName(s.where("event_type <> 'end'")), ["event_id"], "ts", "60 days").select("event_id")), "SELECT event_id FROM events"),

@@ -67,6 +67,26 @@ def linear_sql(c: str, default: float) -> str:
     return f"coalesce({c}, {before} + ({after} - {before}) * (d - {since}) / ({until} - {since}), {before}, {after}, {default})"
 
 
+# quarters of the flow record, and month files of the second source that begin on the 4th and reach ten days into the next
+SPANS = "WITH q AS (SELECT basin, date_trunc('quarter', d)::TIMESTAMP AS k, min(d)::TIMESTAMP AS a, max(d)::TIMESTAMP AS b FROM flow_daily GROUP BY 1, 2), m AS (SELECT basin, date_trunc('month', d)::TIMESTAMP AS k, date_trunc('month', d)::TIMESTAMP+INTERVAL 3 DAYS AS a, date_trunc('month', d)::TIMESTAMP+INTERVAL 40 DAYS AS b FROM precip_daily GROUP BY ALL)"
+
+
+def _spans(v):
+    q = v.flow_daily.groupBy("basin", F.date_trunc("quarter", "d").alias("k")).agg(F.min("d").cast("timestamp_ntz").alias("start"), F.max("d").cast("timestamp_ntz").alias("end"))
+    return q, _files(v)
+
+
+def _files(v):
+    m = v.precip_daily.select("basin", F.trunc("d", "month").cast("timestamp_ntz").alias("file")).distinct()
+    return m.select("basin", "file", F.expr("file + INTERVAL 3 DAYS").alias("from"), F.expr("file + INTERVAL 40 DAYS").alias("to"))
+
+
+def _second(v):
+    supp = v.precip_daily.where("dayofyear(d) % 3 = 0").select("basin", F.trunc("d", "month").cast("timestamp_ntz").alias("file"), "d", F.col("p").alias("prcp"), (F.col("t") - 273.15).alias("tmean"))
+    base = v.wb.select("basin", "d", F.col("p").alias("pptrate"), F.col("t").alias("airtemp"), "q")
+    return t.override_from_files(base, _files(v), supp, ["basin"], "d", {"pptrate": "kg m-2 s-1", "airtemp": "K"})
+
+
 QUERIES = [
     Query("c01_resample_daily", "site:i ts:t value:f total:f n:i", lambda v: t.resample(v.obs_event.selectExpr("site", "ts", "value", "value AS total", "value AS n"), ["site"], "ts", "D", {"value": "mean", "total": "sum", "n": "count"}), DAYS + " SELECT * FROM r"),
     Query("c01_resample_3h", "site:i ts:t hi:f", lambda v: t.resample(v.obs_event.withColumn("hi", F.col("value")), ["site"], "ts", "10800s", {"hi": "max"}).where("hi IS NOT NULL"), "SELECT site, time_bucket(INTERVAL 3 HOUR, ts, TIMESTAMP '1970-01-01') AS ts, max(value) AS hi FROM obs_event GROUP BY 1, 2"),
@@ -126,4 +146,6 @@ QUERIES = [
           f"SELECT p.basin, p.amplitude/p.level*cos(2*pi()*(p.phase-t.phase)) AS seasonality FROM ({sine_sql('p')}) p JOIN ({sine_sql('t')}) t ON t.basin=p.basin"),
     Query("c03_fill_policy", "basin:s d:d pptrate:f windspd:f airtemp:f", lambda v: t.fill_forcing(holed(v), ["basin"], "d"),
           f"WITH h AS (SELECT basin, d, CASE WHEN day(d)%3<>0 THEN p END AS pptrate, CASE WHEN day(d)%4<>0 AND basin<>'BUILDING' THEN t END AS windspd, CASE WHEN day(d)%5<>0 THEN t END AS airtemp FROM precip_daily) SELECT basin, d, coalesce(pptrate, 0) AS pptrate, {linear_sql('windspd', 2.0)} AS windspd, {linear_sql('airtemp', 273.15)} AS airtemp FROM h WINDOW a AS (PARTITION BY basin ORDER BY d ROWS UNBOUNDED PRECEDING), b AS (PARTITION BY basin ORDER BY d ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"),
+    Query("c11_file_overlap", "basin:s quarter:t month:t", lambda v: t.overlap_join(*_spans(v), ["basin"]).select("basin", F.col("start").alias("quarter"), F.col("from").alias("month")), f"{SPANS} SELECT a.basin, a.a AS quarter, b.a AS month FROM q a JOIN m b ON a.basin=b.basin AND a.a<=b.b AND b.a<=a.b"),
+    Query("c11_second_source", "basin:s d:d pptrate:f airtemp:f q:f", _second, f"{SPANS}, f AS (SELECT DISTINCT m.basin, m.k FROM m JOIN (SELECT basin, min(d) AS a, max(d) AS b FROM flow_daily GROUP BY 1) r ON r.basin=m.basin AND m.a<=r.b AND r.a<=m.b), su AS (SELECT p.* FROM precip_daily p JOIN f ON f.basin=p.basin AND f.k=date_trunc('month', d) WHERE dayofyear(d)%3=0), b AS (SELECT wb.basin, wb.d, wb.p, wb.t, wb.q, l.d AS ld, l.p AS lp, l.t AS lt FROM wb ASOF LEFT JOIN su l ON l.basin=wb.basin AND wb.d>=l.d), c AS (SELECT b.*, n.d AS nd, n.p AS np, n.t AS nt FROM b ASOF LEFT JOIN su n ON n.basin=b.basin AND b.d<=n.d), w AS (SELECT *, CASE WHEN ld=nd THEN 0.0 ELSE (d-ld)::DOUBLE/(nd-ld) END AS w FROM c) SELECT basin, d, coalesce((lp+(np-lp)*w)/3600, p) AS pptrate, coalesce(lt-273.15+(nt-lt)*w+273.15, t) AS airtemp, q FROM w"),
 ]

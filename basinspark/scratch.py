@@ -6,18 +6,22 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The frame written to the shared folder and read again. Where none is named, a local session gets a temporary one and a cluster's is refused."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """A new folder below the shared one. Where none is named, a local session gets a temporary one and a cluster's is refused."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = os.path.join(base, uuid.uuid4().hex)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return os.path.join(base, uuid.uuid4().hex)
+
+
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+    """The frame written to a new folder, or added to the table at `path`, and read again."""
+    to = path or folder(df.sparkSession)
+    df.write.mode("append").parquet(to)
+    return df.sparkSession.read.schema(df.schema).parquet(to)

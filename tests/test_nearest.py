@@ -32,7 +32,7 @@ def test_nearest_segment(spark):
 
 def test_all_fronts(spark):
     rows = [(i, float(i % 4), float(i // 4)) for i in range(16)] + [(16, None, 1.0)]
-    got = {r.id: r.front for r in experiments.pareto_ranks(spark.createDataFrame(rows, "id int, f1 double, f2 double"), "id", "f1", "f2").collect()}
+    got = {r.id: r.front for r in experiments.pareto_ranks(spark.createDataFrame(rows, "id int, f1 double, f2 double"), ["f1", "f2"]).collect()}
     assert got == {i: 6 - i % 4 - i // 4 if i < 16 else None for i in range(17)}
 
 
