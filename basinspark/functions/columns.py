@@ -240,6 +240,23 @@ def clean_fractions(df: DataFrame, keys: list[str], cls: str, frac: str, least:
     return d.withColumn(frac, F.when(total > 0, F.col(frac) / total).otherwise(F.col(frac)))
 
 
+def complete_fractions(df: DataFrame, key: str, cls: str, frac: str, classes: int = 20, least: float = 0.01, tiny: float = 1e-5) -> DataFrame:
+    """(key, cls, frac) with a row for each of the classes 1..n: shares cleaned as `clean_fractions` does, missing ones 0, and those of the
+    unit of lowest key `tiny` at least, so that every class occurs somewhere."""
+    have = clean_fractions(df.select(key, cls, frac), [key], cls, frac, least)
+    every = df.select(key).distinct().withColumn(cls, F.explode(F.sequence(F.lit(1), F.lit(classes))))
+    d = every.join(have.withColumn(cls, F.col(cls).cast("int")), [key, cls], "left").crossJoin(F.broadcast(df.agg(F.min(key).alias("_first"))))
+    v = F.coalesce(F.col(frac).cast("double"), F.lit(0.0))
+    return d.select(key, cls, F.when(F.col(key) == F.col("_first"), F.greatest(v, F.lit(tiny))).otherwise(v).alias(frac))
+
+
+def fill_majority(df: DataFrame, col: str, unify: bool = False) -> DataFrame:
+    """Classes null or 0 become the most frequent class of all rows (ties to the lowest); with `unify` every class does. Without any other class they stay."""
+    best = df.where(F.col(col) != 0).groupBy(F.col(col).alias("_c")).agg(F.count("*").alias("_n")).agg((-F.max(F.struct("_n", (-F.col("_c")).alias("k")))["k"]).alias("_best"))
+    known = F.lit(False) if unify else F.coalesce(F.col(col) != 0, F.lit(False))
+    return df.crossJoin(F.broadcast(best)).withColumn(col, F.when(known, F.col(col)).otherwise(F.coalesce("_best", F.col(col)))).drop("_best")
+
+
 def normalise(c: Column, low: Column, high: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (c - low) / (high - low)))
 
@@ -263,6 +280,19 @@ def bbox_filter(df: DataFrame, north: float, west: float, south: float, east: fl
     return df.where(F.col(lat).between(south, north) & side)
 
 
+def bbox_mean(df: DataFrame, by: list[str], cols: list[str], north: float, west: float, south: float, east: float, lat: str = "lat", lon: str = "lon", smallest: float = 0.1, expand: float = 0.2) -> DataFrame:
+    """Rows in a box as `bbox_filter` finds them; of a box thinner than `smallest` on a side the mean of `cols` for each `by`, one point with the mean position.
+
+    Where such a box holds no row, it is first grown by `expand` on all sides.
+    """
+    d = bbox_filter(df, north, west, south, east, lat, lon, smallest)
+    if north - south >= smallest and (west > east or east - west >= smallest):
+        return d.select(*by, lat, lon, *cols)
+    if d.isEmpty():
+        d = bbox_filter(df, north + expand, west - expand, south - expand, east + expand, lat, lon, smallest)
+    return d.groupBy(*by).agg(*[F.avg(c).alias(c) for c in (lat, lon, *cols)])
+
+
 def drop_spinup(df: DataFrame, keys: list[str], d: str, rule: str, value: float | str | None = None) -> DataFrame:
     """first_year: the first calendar year; percent: that share of the days from first to last; until: up to a date;
     one_year: the first year of record."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -158,6 +160,15 @@ def morphometry(segments: DataFrame, keys: list[str], length: str, order: str, s
     return n.withColumn("share", F.col("n") / F.sum("n").over(w)).withColumn("bifurcation", F.when(follows, F.col("n") / nxt))
 
 
+def basin_shape(units: DataFrame, segments: DataFrame, key: str, area: str, length: str, perimeter: str, order: str) -> DataFrame:
+    """Of each unit elongation (diameter of the circle of its area over its length), form factor (area over length squared), circularity
+    (4 pi area over perimeter squared), and its headwaters (segments of order 1), as a number and by area."""
+    a, n = F.col(area), F.coalesce("_n", F.lit(0))
+    head = segments.where(F.col(order) == 1).groupBy(key).agg(F.count("*").alias("_n"))
+    size = F.nullif(F.col(length).cast("double"), F.lit(0.0))
+    return units.join(head, key, "left").select(key, (2 * F.sqrt(a / math.pi) / size).alias("elongation"), (a / size**2).alias("form_factor"), (4 * math.pi * a / F.nullif(F.col(perimeter).cast("double"), F.lit(0.0)) ** 2).alias("circularity"), n.alias("headwaters"), (n / F.nullif(a.cast("double"), F.lit(0.0))).alias("headwater_density"))
+
+
 def prepare_network(df: DataFrame, outlets: list[int], seg: str = "seg", down: str = "down", length: str = "length", slope: str = "slope") -> DataFrame:
     """Length null or 0 becomes 1, slope 0.001 (if there is such a column); the segments listed flow out of the network (0)."""
     defaults = {c: F.coalesce(F.nullif(F.col(c), F.lit(0.0)), F.lit(v)) for c, v in ((length, 1.0), (slope, 0.001)) if c in df.columns}
@@ -176,6 +187,22 @@ def topology(segments: DataFrame, units: DataFrame, unit: str = "unit_id", area:
     return units.join(to, unit).join(d, "seg").select(unit, "seg", "down", area)
 
 
+def routing_table(hrus: DataFrame, segments: DataFrame, hru: str = "hru", gru: str = "gru", area: str = "area", seg: str = "seg", seg_unit: str = "unit_id", lumped: DataFrame | None = None) -> DataFrame:
+    """(unit, seg, area): what drains to which segment of the routing model.
+
+    As a rule each GRU, with the summed area of its HRUs, drains to its segment (of lowest id). A single GRU that no segment
+    names drains to the lowest segment of all. With `lumped` (seg, fraction) there is one basin: each segment gets its fraction of the total area, the unit being the segment itself.
+    """
+    total = hrus.groupBy(F.col(gru).alias("unit")).agg(F.sum(area).alias("area"))
+    if lumped is not None:
+        whole = total.agg(F.sum("area").alias("_a"))
+        return lumped.crossJoin(F.broadcast(whole)).select(F.col(seg).alias("unit"), F.col(seg).alias("seg"), (F.col("fraction") * F.col("_a")).alias("area"))
+    own = segments.groupBy(F.col(seg_unit).alias("unit")).agg(F.min(seg).alias("_own"))
+    only = total.agg((F.count("*") == 1).alias("_one")).crossJoin(segments.agg(F.min(seg).alias("_any")))
+    d = total.join(own, "unit", "left").crossJoin(F.broadcast(only))
+    return d.select("unit", F.coalesce("_own", F.when(F.col("_one"), F.col("_any"))).alias("seg"), "area").where("seg IS NOT NULL")
+
+
 def spread(totals: DataFrame, units: DataFrame, key: str, value: str, area: str) -> DataFrame:
     """A lumped value dealt to units by area, and evenly."""
     w = W.partitionBy(key)

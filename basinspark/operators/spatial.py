@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -95,6 +96,20 @@ def diversity(joined: DataFrame, keys: list[str], cls: str) -> DataFrame:
     return f.groupBy(*keys).agg(F.max("shannon").alias("shannon"), (1 - F.sum(F.col("fraction") ** 2)).alias("simpson"), F.count("*").alias("classes"))
 
 
+def composite_cover(df: DataFrame, key: str, dataset: str, group: str, fraction: str, human: list[str]) -> DataFrame:
+    """(key, group, composite, shannon, simpson, anthropogenic, natural_share): a group's mean share within each dataset, then over datasets.
+
+    A dataset without a group has no say on it. Diversities are those of the composite made to sum to 1; `human` lists the groups that are not natural.
+    """
+    one = df.where(F.col(fraction).isNotNull()).groupBy(key, dataset, group).agg(F.avg(fraction).alias("_f"))
+    d = one.groupBy(key, group).agg(F.avg("_f").alias("composite"))
+    w = W.partitionBy(key)
+    p = F.col("composite") / F.nullif(F.sum("composite").over(w), F.lit(0.0))
+    d = d.withColumn("_p", p).withColumn("shannon", -F.sum(F.when(F.col("_p") > 0, F.col("_p") * F.log("_p")).otherwise(0.0)).over(w)).withColumn("simpson", 1 - F.sum(F.col("_p") ** 2).over(w))
+    made = F.sum(F.when(F.col(group).isin(human), F.col("composite")).otherwise(0.0)).over(w)
+    return d.withColumn("anthropogenic", made).withColumn("natural_share", F.sum("composite").over(w) - F.col("anthropogenic")).drop("_p")
+
+
 def height_distribution(joined: DataFrame, keys: list[str], col: str, tall: float) -> DataFrame:
     p = F.percentile(col, F.array(*[F.lit(x) for x in (0.05, 0.25, 0.5, 0.75, 0.95)]))
     d = joined.groupBy(*keys).agg(F.count(col).alias("n"), F.skewness(col).alias("skew"), F.kurtosis(col).alias("kurt"), p.alias("_p"), F.avg((F.col(col) >= tall).cast("double")).alias("tall_share")).where("n > 10")
@@ -293,15 +308,31 @@ def lake_stats(lakes: DataFrame, keys: list[str], area: str, depth: str, name: s
     return lakes.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(area).alias("total_area"), F.min(area).alias("lo"), F.max(area).alias("hi"), F.median(area).alias("median"), (F.sum(F.col(area) * F.col(depth)) / F.sum(area)).alias("mean_depth"), F.max(F.struct(F.col(area), (-F.col(name)).alias("k")))["k"].alias("_k")).withColumn("largest", -F.col("_k")).drop("_k")
 
 
+def lake_indices(lakes: DataFrame, key: str, area: str, volume: str, residence: str, units: DataFrame, unit_area: str) -> DataFrame:
+    """For each unit (key, its area): lakes, their share of its area in percent, number by area, volume (in 1e9), and residence time weighted by area; 0 lakes where there are none."""
+    r = F.when(F.col(residence).isNotNull(), F.col(area))
+    d = lakes.groupBy(key).agg(F.count("*").alias("_n"), F.sum(area).alias("_a"), (F.sum(volume) / 1e9).alias("volume"), (F.sum(r * F.col(residence)) / F.nullif(F.sum(r).cast("double"), F.lit(0.0))).alias("residence"))
+    n = F.coalesce("_n", F.lit(0))
+    return units.select(key, unit_area).join(d, key, "left").select(key, n.alias("lakes"), (100 * F.coalesce("_a", F.lit(0.0)) / F.col(unit_area)).alias("percent"), (n / F.col(unit_area)).alias("density"), F.coalesce("volume", F.lit(0.0)).alias("volume"), "residence")
+
+
 def elbow(df: DataFrame, threshold: str, drop: str) -> DataFrame:
-    """The threshold after the greatest bend of log drop over log threshold (evenly weighted second difference)."""
-    w = W.orderBy(threshold)
-    d = df.select(F.col(threshold).alias("_t"), F.log10(F.col(threshold)).alias("_x"), F.log10(F.col(drop) + 1).alias("_y"))
+    """The threshold after the greatest bend of log drop over log threshold (evenly weighted second difference); of fewer than three the median threshold."""
     w = W.orderBy("_t")
+    d = df.select(F.col(threshold).alias("_t"), F.log10(F.col(drop) + 1).alias("_y"))
     d = d.withColumn("_c", F.abs(F.lead("_y").over(w) - 2 * F.col("_y") + F.lag("_y").over(w))).withColumn("_n", F.lead("_t").over(w))
-    return d.where("_c IS NOT NULL").agg(F.max(F.struct("_c", (-F.col("_t")).alias("k"), "_n"))["_n"].alias("threshold"))
-
-
+    bend = F.max(F.when(F.col("_c").isNotNull(), F.struct("_c", (-F.col("_t")).alias("k"), "_n")))["_n"]
+    return d.agg(F.coalesce(bend.cast("double"), F.median("_t")).alias("threshold"))
+
+
+def lithology_categories(df: DataFrame, keys: list[str], kind: str, area: str, words: dict[str, list[str]]) -> DataFrame:
+    """Share of each category of the area that any takes: the first category one of whose words the type's name holds, in lower case."""
+    name, c = F.lower(F.col(kind)), None
+    for category, some in words.items():
+        hit = reduce(lambda x, y: x | y, [name.contains(w.lower()) for w in some])
+        c = F.when(hit, category) if c is None else c.when(hit, category)
+    d = df.withColumn("category", c).where("category IS NOT NULL").groupBy(*keys, "category").agg(F.sum(area).alias("_a"))
+    return d.withColumn("fraction", F.col("_a") / F.nullif(F.sum("_a").over(W.partitionBy(*keys)), F.lit(0.0))).drop("_a")
 
 
 def lithology(df: DataFrame, keys: list[str], kind: str, area: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -321,6 +322,19 @@ def water_balance(df: DataFrame, keys: list[str], d: str, p: str = "p", q: str =
     return a.join(b, keys).withColumn("peak_month", -F.col("_k")).drop("_k")
 
 
+def water_indices(df: DataFrame, keys: list[str], d: str, p: str = "p", q: str = "q", pet: str = "pet") -> DataFrame:
+    """Of annual sums the mean and standard deviation of P - Q and of PET / P, and the mean of (P - Q) / P; of the months' mean sums the
+    least and greatest Q / P, their difference and their months (ties to the first). Days where one of the three is null are left out; so are years and months without P."""
+    rows = df.where(F.col(p).isNotNull() & F.col(q).isNotNull() & F.col(pet).isNotNull())
+    year = rows.groupBy(*keys, F.year(d).alias("_y")).agg(F.sum(p).alias("_p"), F.sum(q).alias("_q"), F.sum(pet).alias("_e")).where("_p > 0")
+    aet, dry = F.col("_p") - F.col("_q"), F.col("_e") / F.col("_p")
+    a = year.groupBy(*keys).agg(F.avg(aet).alias("aet_mean"), F.stddev_samp(aet).alias("aet_std"), F.avg(dry).alias("aridity_mean"), F.stddev_samp(dry).alias("aridity_std"), F.avg(aet / F.col("_p")).alias("evaporative_mean"))
+    month = rows.groupBy(*keys, F.year(d).alias("_y"), F.month(d).alias("_m")).agg(F.sum(p).alias("_p"), F.sum(q).alias("_q")).groupBy(*keys, "_m").agg(F.avg("_p").alias("_p"), F.avg("_q").alias("_q")).where("_p > 0")
+    r = F.col("_q") / F.col("_p")
+    b = month.groupBy(*keys).agg(F.min(F.struct(r.alias("r"), F.col("_m").alias("m"))).alias("_lo"), F.max(F.struct(r.alias("r"), (-F.col("_m")).alias("m"))).alias("_hi"))
+    return a.join(b, keys).select(*a.columns, F.col("_lo.r").alias("ratio_min"), F.col("_hi.r").alias("ratio_max"), (F.col("_hi.r") - F.col("_lo.r")).alias("ratio_range"), F.col("_lo.m").alias("min_month"), (-F.col("_hi.m")).alias("max_month"))
+
+
 def precip_seasonality(df: DataFrame, keys: list[str], d: str, p: str = "p") -> DataFrame:
     """Walsh index, and Markham's vector of monthly sums as length and month."""
     m = df.groupBy(*keys, F.month(d).alias("_m")).agg(F.sum(p).alias("_p"))
@@ -354,16 +368,38 @@ def budyko_w(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return e.groupBy(*keys).agg(F.min(F.struct(F.round("_e", 12), F.col("w"))).alias("_b")).select(*keys, F.col("_b.w").alias("w"))
 
 
-def baseflow(df: DataFrame, keys: list[str], ts: str, col: str, a: float = 0.98, bfi_max: float = 0.8) -> DataFrame:
-    """Eckhardt's filter b = min(q, ((1-B) a b' + (1-a) B q) / (1 - a B)) and the index mean b / mean q of each key.
+def baseflow_rows(df: DataFrame, keys: list[str], ts: str, col: str, a: float = 0.98, bfi_max: float = 0.8) -> DataFrame:
+    """Each row with `base`: Eckhardt's filter b = min(q, ((1-B) a b' + (1-a) B q) / (1 - a B)), from b = q at a key's first value; nulls are passed over.
 
-    The recursion needs a key's rows in order: they are folded as one array, as long as the record of one gauge.
+    The recursion needs a key's rows in order: one gauge's record, not more, is in a task's memory.
     """
-    rows = F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(col).alias("q"))))
-    q = lambda x: x["q"]
-    fold = F.aggregate("_r", F.struct(F.lit(None).cast("double").alias("b"), F.lit(0.0).alias("s")), lambda acc, x: F.struct(F.coalesce(F.least(q(x), ((1 - bfi_max) * a * acc["b"] + (1 - a) * bfi_max * q(x)) / (1 - a * bfi_max)), q(x)).alias("b"), (acc["s"] + F.coalesce(F.least(q(x), ((1 - bfi_max) * a * acc["b"] + (1 - a) * bfi_max * q(x)) / (1 - a * bfi_max)), q(x))).alias("s")))
-    g = df.where(F.col(col).isNotNull()).groupBy(*keys).agg(rows.alias("_r"), F.sum(col).alias("_q"))
-    return g.select(*keys, (fold["s"] / F.col("_q")).alias("bfi"))
+    f, g = (1 - bfi_max) * a / (1 - a * bfi_max), (1 - a) * bfi_max / (1 - a * bfi_max)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(ts)
+        q = pdf[col].astype(float).to_numpy()
+        out, b = np.full(len(q), np.nan), None
+        for k, v in enumerate(q):
+            if v == v:
+                b = out[k] = v if b is None else min(v, f * b + g * v)
+        return pdf.assign(base=out)
+
+    kinds = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in df.schema)
+    out = df.groupBy(*keys).applyInPandas(run, f"{kinds}, base double")
+    return out.withColumn("base", F.nanvl("base", F.lit(None).cast("double")))
+
+
+SEASONS = {"DJF": (12, 1, 2), "MAM": (3, 4, 5), "JJA": (6, 7, 8), "SON": (9, 10, 11)}
+
+
+def baseflow(df: DataFrame, keys: list[str], ts: str, col: str, a: float = 0.98, bfi_max: float = 0.8, seasonal: bool = False) -> DataFrame:
+    """The baseflow index, mean b / mean q, of each key; with `seasonal` a row for each season of it (DJF, MAM, JJA, SON)."""
+    d = baseflow_rows(df.select(*keys, ts, col), keys, ts, col, a, bfi_max).where(F.col(col).isNotNull())
+    by = list(keys)
+    if seasonal:
+        name = reduce(lambda x, k: x.when(F.month(ts).isin(*SEASONS[k]), k), SEASONS, F)
+        d, by = d.withColumn("season", name), [*keys, "season"]
+    return d.groupBy(*by).agg((F.sum("base") / F.nullif(F.sum(F.col(col).cast("double")), F.lit(0.0))).alias("bfi"))
 
 
 def pet(df: DataFrame, d: str, t: str, latitude: float, method: str = "oudin") -> DataFrame:
@@ -416,6 +452,14 @@ def thin(df: DataFrame, keys: list[str], ts: str, col: str, most: int) -> DataFr
     return df.withColumn("_k", F.pmod(F.row_number().over(w.orderBy(ts)) - 1, k)).where("_k = 0").drop("_k")
 
 
+def thin_by_size(df: DataFrame, keys: list[str], ts: str, col: str, most: int = 500, weekly: int = 10_000, daily: int = 1_000) -> DataFrame:
+    """A series fit to be drawn: of more than `weekly` rows a key the means of weeks (from Monday), of more than `daily` those of days, then every k-th row."""
+    n = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    step = F.when(F.col("_n") > weekly, F.date_trunc("week", ts)).when(F.col("_n") > daily, F.date_trunc("day", ts)).otherwise(F.col(ts).cast("timestamp_ntz"))
+    d = df.join(n, keys).groupBy(*keys, step.cast("timestamp_ntz").alias(ts)).agg(F.avg(col).alias(col))
+    return thin(d, keys, ts, col, most)
+
+
 def assemble(series: dict[str, DataFrame], keys: list[str], d: str) -> DataFrame:
     """Daily series (keys, d, value columns) on every day of their common period."""
     names = list(series)

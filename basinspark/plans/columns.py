@@ -56,6 +56,12 @@ QUERIES = [
           "WITH m AS (SELECT cell_id, (" + "+".join(f"CASE WHEN cls%3<>{i % 3} THEN (elev/10+{i})*{t} ELSE 0 END" for i, t in enumerate((5, 10, 15, 30, 40, 100))) + ")/200 AS sand, (" + "+".join(f"(cls+{i})*{t}" for i, t in enumerate((5, 10, 15, 30, 40, 100))) + ")/200.0 AS clay, (" + "+".join(f"(cls*2-{i})*{t}" for i, t in enumerate((5, 10, 15, 30, 40, 100))) + ")/200.0 AS silt FROM cells), h AS (SELECT *, 0.46-0.0026*clay AS porosity, 0.2576-0.002*sand+0.0036*clay+0.0299*silt AS field_capacity, 0.026+0.005*clay+0.0158*silt AS wilting_point FROM m) SELECT *, field_capacity-wilting_point AS available_water, log10(10*2.54*2.778e-6)+3.0*porosity-8.5 AS log_ksat FROM h"),
     Query("b26_fractions", "unit_id:i cls:i f:f", lambda v: c.clean_fractions(_fractions(v), ["unit_id"], "cls", "f", 0.05), "WITH n AS (SELECT unit_id, cls, count(*)*1.0/sum(count(*)) OVER (PARTITION BY unit_id) AS f FROM inzone GROUP BY 1, 2), z AS (SELECT unit_id, cls, CASE WHEN f<0.05 THEN 0 ELSE f END AS f FROM n) SELECT unit_id, cls, CASE WHEN sum(f) OVER (PARTITION BY unit_id)>0 THEN f/sum(f) OVER (PARTITION BY unit_id) ELSE f END AS f FROM z"),
     Query("b27_network_defaults", "seg:i down:i length:f", lambda v: n.prepare_network(v.network.withColumn("length", F.when(F.col("seg") % 10 != 0, F.col("length"))), [7, 11, 13]), "SELECT seg, CASE WHEN seg IN (7,11,13) THEN 0 ELSE down END AS down, CASE WHEN seg%10=0 OR length=0 THEN 1 ELSE length END AS length FROM network"),
+    Query("b08_spinup_until", "basin:s d:d", lambda v: c.drop_spinup(v.flow_daily, ["basin"], "d", "until", "1993-06-30"), "SELECT basin, d FROM flow_daily WHERE d > DATE '1993-06-30'"),
+    Query("b08_spinup_one_year", "basin:s d:d", lambda v: c.drop_spinup(v.flow_daily, ["basin"], "d", "one_year"), "SELECT basin, d FROM flow_daily QUALIFY d >= min(d) OVER (PARTITION BY basin) + INTERVAL 1 YEAR"),
+    Query("b06_point", "ts:i lat:f lon:f elev:f", lambda v: c.bbox_mean(v.cells.selectExpr("y % 3 AS ts", "y * 0.1D AS lat", "x * 0.25D AS lon", "elev"), ["ts"], ["elev"], 0.34, 5.0, 0.33, 5.02), "SELECT y%3 AS ts, avg(y*0.1) AS lat, avg(x*0.25) AS lon, avg(elev) AS elev FROM cells WHERE y*0.1::DOUBLE BETWEEN 0.285 AND 0.385 AND x*0.25::DOUBLE BETWEEN 4.96 AND 5.06 GROUP BY 1"),
+    Query("b06_grown", "ts:i lat:f lon:f elev:f", lambda v: c.bbox_mean(v.cells.selectExpr("y % 3 AS ts", "y * 1.0D AS lat", "x * 0.25D AS lon", "elev"), ["ts"], ["elev"], 2.2, 5.1, 2.15, 5.12), "SELECT y%3 AS ts, avg(y) AS lat, avg(x*0.25) AS lon, avg(elev) AS elev FROM cells WHERE y=2 AND x*0.25::DOUBLE BETWEEN 4.9 AND 5.32 GROUP BY 1"),
+    Query("b26_classes", "unit_id:i cls:i f:f", lambda v: c.complete_fractions(_fractions(v), "unit_id", "cls", "f", 20, 0.05), "WITH n AS (SELECT unit_id, cls, count(*)*1.0/sum(count(*)) OVER (PARTITION BY unit_id) AS f FROM inzone GROUP BY 1, 2), z AS (SELECT unit_id, cls, CASE WHEN f<0.05 THEN 0 ELSE f END AS f FROM n), w AS (SELECT unit_id, cls, CASE WHEN sum(f) OVER (PARTITION BY unit_id)>0 THEN f/sum(f) OVER (PARTITION BY unit_id) ELSE f END AS f FROM z), e AS (SELECT DISTINCT unit_id, k AS cls FROM n, (SELECT unnest(range(1,21)) AS k)) SELECT e.unit_id, e.cls, CASE WHEN e.unit_id=(SELECT min(unit_id) FROM n) THEN greatest(coalesce(f,0),1e-5) ELSE coalesce(f,0) END AS f FROM e LEFT JOIN w ON w.unit_id=e.unit_id AND w.cls=e.cls"),
+    Query("b26_majority", "cell_id:i cls:i", lambda v: c.fill_majority(v.cells.selectExpr("cell_id", "CASE WHEN cell_id % 7 = 0 THEN 0 WHEN cell_id % 11 = 0 THEN NULL ELSE cls END AS cls"), "cls"), "WITH d AS (SELECT cell_id, CASE WHEN cell_id%7=0 THEN 0 WHEN cell_id%11=0 THEN NULL ELSE cls END AS cls FROM cells) SELECT cell_id, coalesce(nullif(cls,0), (SELECT cls FROM d WHERE cls<>0 GROUP BY 1 ORDER BY count(*) DESC, cls LIMIT 1)) AS cls FROM d"),
 ]
 
 

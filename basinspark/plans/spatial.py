@@ -21,6 +21,23 @@ def inzone(v):
 LOOPED = "looped AS (SELECT seg, CASE WHEN seg%8=7 THEN -1 WHEN seg%8=4 AND seg//8%5=1 THEN seg-2 WHEN seg%8=0 AND seg//8%7=3 THEN -1 WHEN seg%8=6 THEN -1 ELSE seg+1 END AS down FROM network UNION SELECT seg, seg+1 FROM network WHERE seg%8=4 AND seg//8%5=1)"
 
 
+COVERS = "c AS (SELECT unit_id, 'a' AS dataset, CASE cls%4 WHEN 0 THEN 'crop' WHEN 1 THEN 'wood' WHEN 2 THEN 'town' ELSE 'bog' END AS kind, cls/20.0::DOUBLE AS f FROM inzone UNION ALL SELECT unit_id, 'b', CASE cls%3 WHEN 0 THEN 'crop' WHEN 1 THEN 'wood' ELSE 'sea' END, cls/30.0::DOUBLE FROM inzone WHERE cls>4)"
+
+
+def _covers(v):
+    d = inzone(v)
+    a = d.selectExpr("unit_id", "'a' AS dataset", "CASE cls % 4 WHEN 0 THEN 'crop' WHEN 1 THEN 'wood' WHEN 2 THEN 'town' ELSE 'bog' END AS kind", "cls / 20.0D AS f")
+    return a.unionByName(d.where("cls > 4").selectExpr("unit_id", "'b' AS dataset", "CASE cls % 3 WHEN 0 THEN 'crop' WHEN 1 THEN 'wood' ELSE 'sea' END AS kind", "cls / 30.0D AS f"))
+
+
+def _rocks(v):
+    return inzone(v).withColumn("rock", F.expr("CASE cls % 5 WHEN 0 THEN 'Sandstone' WHEN 1 THEN 'GRANITE, grey' WHEN 2 THEN 'gneiss' WHEN 3 THEN 'Limestone' ELSE 'water' END"))
+
+
+def _hrus(v):
+    return inzone(v).select(F.col("cell_id").alias("hru"), F.col("unit_id").alias("gru"), F.col("elev").alias("area"))
+
+
 COAST = """WITH RECURSIVE z AS (SELECT * FROM zones WHERE unit_id%2=0), o AS (SELECT * FROM cells WHERE elev%7<5 AND cell_id NOT IN (SELECT cell_id FROM cells JOIN z ON x>=xmin AND x<xmax AND y>=ymin AND y<ymax)),
 nz AS (SELECT cell_id, x, y, unit_id AS nearest FROM o, z QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY pow((xmin+xmax)/2-x,2)+pow((ymin+ymax)/2-y,2), unit_id)=1),
 ne AS (SELECT a.cell_id AS a, b.cell_id AS b FROM nz a JOIN nz b ON a.nearest=b.nearest AND abs(a.x-b.x)+abs(a.y-b.y)=1), re AS (SELECT cell_id AS a, cell_id AS b FROM nz UNION SELECT re.a, ne.b FROM re JOIN ne ON re.b=ne.a),
@@ -98,4 +115,12 @@ QUERIES = [
     Query("e20_sinuosity", "unit_id:i n:i w_sinuosity:f", lambda v: n.river_stats(net(v).withColumn("chord", F.col("length") / (1 + F.col("seg") % 3) * F.when(F.col("seg") % 11 == 0, 0).otherwise(1)), ["unit_id"], "length", "ord", "slope", "chord"),
           f"SELECT unit_id, count(*) AS n, sum(CASE WHEN seg%11<>0 AND length>0 THEN length*(1+seg%3) END)/sum(CASE WHEN seg%11<>0 AND length>0 THEN length END) AS w_sinuosity FROM ({NET}) GROUP BY 1"),
     Query("e21_mean_slope", "unit_id:i ord:i mean_slope:f", lambda v: n.morphometry(net(v), ["unit_id"], "length", "ord", "slope"), f"SELECT unit_id, ord, avg(slope) AS mean_slope FROM ({NET}) GROUP BY 1, 2"),
+    Query("e14_composite", "unit_id:i kind:s composite:f shannon:f simpson:f anthropogenic:f natural_share:f", lambda v: s.composite_cover(_covers(v), "unit_id", "dataset", "kind", "f", ["crop", "town"]), f"WITH {COVERS}, o AS (SELECT unit_id, dataset, kind, avg(f) AS f FROM c GROUP BY 1, 2, 3), g AS (SELECT unit_id, kind, avg(f) AS composite FROM o GROUP BY 1, 2), p AS (SELECT *, composite/sum(composite) OVER u AS p, sum(CASE WHEN kind IN ('crop','town') THEN composite ELSE 0 END) OVER u AS anthropogenic, sum(composite) OVER u AS tot FROM g WINDOW u AS (PARTITION BY unit_id)) SELECT unit_id, kind, composite, -sum(p*ln(p)) OVER u AS shannon, 1-sum(p*p) OVER u AS simpson, anthropogenic, tot-anthropogenic AS natural_share FROM p WINDOW u AS (PARTITION BY unit_id)"),
+    Query("e17_categories", "unit_id:i category:s fraction:f", lambda v: s.lithology_categories(_rocks(v), ["unit_id"], "rock", "elev", {"sedimentary": ["sand", "lime"], "igneous": ["granite", "SAND"], "metamorphic": ["gneiss"]}), "WITH r AS (SELECT unit_id, elev, CASE cls%5 WHEN 0 THEN 'Sandstone' WHEN 1 THEN 'GRANITE, grey' WHEN 2 THEN 'gneiss' WHEN 3 THEN 'Limestone' ELSE 'water' END AS rock FROM inzone), c AS (SELECT unit_id, elev, CASE WHEN rock IN ('Sandstone','Limestone') THEN 'sedimentary' WHEN rock='gneiss' THEN 'metamorphic' WHEN rock<>'water' THEN 'igneous' END AS category FROM r) SELECT unit_id, category, sum(elev)/sum(sum(elev)) OVER (PARTITION BY unit_id) AS fraction FROM c WHERE category IS NOT NULL GROUP BY 1, 2"),
+    Query("e19_lake_indices", "unit_id:i lakes:i percent:f density:f volume:f residence:f", lambda v: s.lake_indices(inzone(v).where("cls < 6").withColumns({"vol": F.col("elev") * 1e6, "res": F.when(F.col("cls") > 1, F.col("cls") * 1.5)}), "unit_id", "elev", "vol", "res", v.zones.withColumn("a", F.lit(80000.0)), "a"), "SELECT z.unit_id, count(i.cell_id) AS lakes, 100*coalesce(sum(elev),0)/80000 AS percent, count(i.cell_id)/80000.0::DOUBLE AS density, coalesce(sum(elev*1e6)/1e9,0) AS volume, sum(elev*cls*1.5) FILTER (cls>1)/sum(elev) FILTER (cls>1) AS residence FROM zones z LEFT JOIN (SELECT * FROM inzone WHERE cls<6) i ON i.unit_id=z.unit_id GROUP BY 1"),
+    Query("e21_shape", "unit_id:i elongation:f form_factor:f circularity:f headwaters:i headwater_density:f", lambda v: n.basin_shape(v.zones.selectExpr("unit_id", "(xmax-xmin)*(ymax-ymin) AS a", "sqrt(pow(xmax-xmin,2)+pow(ymax-ymin,2)) AS l", "2*(xmax-xmin+ymax-ymin) AS p"), net(v), "unit_id", "a", "l", "p", "ord"), f"SELECT z.unit_id, 2*sqrt(80/pi())/sqrt(164) AS elongation, 80/164.0::DOUBLE AS form_factor, 4*pi()*80/pow(36,2) AS circularity, count(s.seg) AS headwaters, count(s.seg)/80.0::DOUBLE AS headwater_density FROM zones z LEFT JOIN (SELECT * FROM ({NET}) WHERE ord=1) s ON s.unit_id=z.unit_id GROUP BY 1"),
+    Query("e28_routing", "unit:i seg:i area:f", lambda v: n.routing_table(_hrus(v), v.network), "SELECT i.unit_id AS unit, min(n.seg) AS seg, max(i.a) AS area FROM (SELECT unit_id, sum(elev) AS a FROM inzone GROUP BY 1) i JOIN network n ON n.unit_id=i.unit_id GROUP BY 1"),
+    Query("e28_single", "unit:i seg:i area:f", lambda v: n.routing_table(_hrus(v).withColumn("gru", F.lit(-5)), v.network), "SELECT -5 AS unit, (SELECT min(seg) FROM network) AS seg, sum(elev) AS area FROM inzone"),
+    Query("e28_lumped", "unit:i seg:i area:f", lambda v: n.routing_table(_hrus(v), v.network, lumped=v.network.select("seg", (F.col("seg") % 10 / 100).alias("fraction"))), "SELECT seg AS unit, seg, (seg%10)/100.0::DOUBLE*(SELECT sum(elev) FROM inzone) AS area FROM network"),
+    Query("e36_few", "threshold:f", lambda v: s.elbow(v.cells.where("cls IN (3, 8)").groupBy((F.col("cls") * 10.0).alias("t")).agg(F.avg("elev").alias("q")), "t", "q"), "SELECT median(t) AS threshold FROM (SELECT DISTINCT cls*10.0::DOUBLE AS t FROM cells WHERE cls IN (3, 8))"),
 ]

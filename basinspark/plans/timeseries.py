@@ -67,6 +67,7 @@ def linear_sql(c: str, default: float) -> str:
     return f"coalesce({c}, {before} + ({after} - {before}) * (d - {since}) / ({until} - {since}), {before}, {after}, {default})"
 
 
+FILTERED = "WITH RECURSIVE r AS (SELECT basin, d, q, row_number() OVER (PARTITION BY basin ORDER BY d) AS k FROM flow_daily), b AS (SELECT basin, d, q, k, q AS b FROM r WHERE k=1 UNION ALL SELECT r.basin, r.d, r.q, r.k, least(r.q, ((1-0.8::DOUBLE)*0.98::DOUBLE*b.b+(1-0.98::DOUBLE)*0.8::DOUBLE*r.q)/(1-0.98::DOUBLE*0.8::DOUBLE)) FROM b JOIN r ON r.basin=b.basin AND r.k=b.k+1)"
 # quarters of the flow record, and month files of the second source that begin on the 4th and reach ten days into the next
 SPANS = "WITH q AS (SELECT basin, date_trunc('quarter', d)::TIMESTAMP AS k, min(d)::TIMESTAMP AS a, max(d)::TIMESTAMP AS b FROM flow_daily GROUP BY 1, 2), m AS (SELECT basin, date_trunc('month', d)::TIMESTAMP AS k, date_trunc('month', d)::TIMESTAMP+INTERVAL 3 DAYS AS a, date_trunc('month', d)::TIMESTAMP+INTERVAL 40 DAYS AS b FROM precip_daily GROUP BY ALL)"
 
@@ -148,4 +149,10 @@ QUERIES = [
           f"WITH h AS (SELECT basin, d, CASE WHEN day(d)%3<>0 THEN p END AS pptrate, CASE WHEN day(d)%4<>0 AND basin<>'BUILDING' THEN t END AS windspd, CASE WHEN day(d)%5<>0 THEN t END AS airtemp FROM precip_daily) SELECT basin, d, coalesce(pptrate, 0) AS pptrate, {linear_sql('windspd', 2.0)} AS windspd, {linear_sql('airtemp', 273.15)} AS airtemp FROM h WINDOW a AS (PARTITION BY basin ORDER BY d ROWS UNBOUNDED PRECEDING), b AS (PARTITION BY basin ORDER BY d ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"),
     Query("c11_file_overlap", "basin:s quarter:t month:t", lambda v: t.overlap_join(*_spans(v), ["basin"]).select("basin", F.col("start").alias("quarter"), F.col("from").alias("month")), f"{SPANS} SELECT a.basin, a.a AS quarter, b.a AS month FROM q a JOIN m b ON a.basin=b.basin AND a.a<=b.b AND b.a<=a.b"),
     Query("c11_second_source", "basin:s d:d pptrate:f airtemp:f q:f", _second, f"{SPANS}, f AS (SELECT DISTINCT m.basin, m.k FROM m JOIN (SELECT basin, min(d) AS a, max(d) AS b FROM flow_daily GROUP BY 1) r ON r.basin=m.basin AND m.a<=r.b AND r.a<=m.b), su AS (SELECT p.* FROM precip_daily p JOIN f ON f.basin=p.basin AND f.k=date_trunc('month', d) WHERE dayofyear(d)%3=0), b AS (SELECT wb.basin, wb.d, wb.p, wb.t, wb.q, l.d AS ld, l.p AS lp, l.t AS lt FROM wb ASOF LEFT JOIN su l ON l.basin=wb.basin AND wb.d>=l.d), c AS (SELECT b.*, n.d AS nd, n.p AS np, n.t AS nt FROM b ASOF LEFT JOIN su n ON n.basin=b.basin AND b.d<=n.d), w AS (SELECT *, CASE WHEN ld=nd THEN 0.0 ELSE (d-ld)::DOUBLE/(nd-ld) END AS w FROM c) SELECT basin, d, coalesce((lp+(np-lp)*w)/3600, p) AS pptrate, coalesce(lt-273.15+(nt-lt)*w+273.15, t) AS airtemp, q FROM w"),
+    Query("c24_indices", "basin:s aet_mean:f aet_std:f aridity_mean:f aridity_std:f evaporative_mean:f ratio_min:f ratio_max:f ratio_range:f min_month:i max_month:i", lambda v: t.water_indices(v.wb.withColumn("pet", F.col("t") / 100), ["basin"], "d"),
+          "WITH y AS (SELECT basin, year(d) AS k, sum(p) AS p, sum(q) AS q, sum(t/100) AS e FROM wb GROUP BY 1, 2), a AS (SELECT basin, avg(p-q) AS aet_mean, stddev_samp(p-q) AS aet_std, avg(e/p) AS aridity_mean, stddev_samp(e/p) AS aridity_std, avg((p-q)/p) AS evaporative_mean FROM y WHERE p>0 GROUP BY 1), ym AS (SELECT basin, month(d) AS m, sum(p) AS p, sum(q) AS q FROM wb GROUP BY basin, year(d), month(d)), m AS (SELECT basin, m, avg(q)/avg(p) AS r FROM ym GROUP BY 1, 2), b AS (SELECT basin, min(r) AS ratio_min, max(r) AS ratio_max, max(r)-min(r) AS ratio_range, first(m ORDER BY r, m) AS min_month, first(m ORDER BY r DESC, m) AS max_month FROM m GROUP BY 1) SELECT a.*, b.* EXCLUDE (basin) FROM a JOIN b ON a.basin=b.basin"),
+    Query("c28_baseflow_seasons", "basin:s season:s bfi:f", lambda v: t.baseflow(v.flow_daily, ["basin"], "d", "q", seasonal=True), f"{FILTERED} SELECT basin, CASE WHEN month(d) IN (12,1,2) THEN 'DJF' WHEN month(d) IN (3,4,5) THEN 'MAM' WHEN month(d) IN (6,7,8) THEN 'JJA' ELSE 'SON' END AS season, sum(b)/sum(q) AS bfi FROM b GROUP BY 1, 2"),
+    Query("c28_baseflow_rows", "basin:s d:d base:f", lambda v: t.baseflow_rows(v.flow_daily, ["basin"], "d", "q"), f"{FILTERED} SELECT basin, d, b AS base FROM b"),
+    Query("c33_thin_by_size", "user_type:s ts:t value:f", lambda v: t.thin_by_size(v.table("events").select(F.col("event_type").alias("user_type"), "ts", "value"), ["user_type"], "ts", "value", 40, 250, 150),
+          "WITH n AS (SELECT event_type AS user_type, ts, value, count(*) OVER (PARTITION BY event_type) AS n FROM events), m AS (SELECT user_type, CASE WHEN n>250 THEN date_trunc('week', ts)::TIMESTAMP WHEN n>150 THEN date_trunc('day', ts)::TIMESTAMP ELSE ts END AS ts, avg(value) AS value FROM n GROUP BY 1, 2) SELECT user_type, ts, value FROM m QUALIFY (row_number() OVER (PARTITION BY user_type ORDER BY ts)-1) % greatest(1, ceil(count(*) OVER (PARTITION BY user_type)/40.0)) = 0"),
 ]

@@ -83,7 +83,7 @@ def test_batches_end_in_the_same_moments(spark, tmp_path):
     for files in (1, 4):
         path = f"file://{tmp_path}/{files}"
         for k in range(files):
-            part = d.where(F.floor(F.dayofyear("ts") * files / 9) == k) if files > 1 else d
+            part = d.where(F.floor((F.dayofyear("ts") - 1) * files / 9) == k) if files > 1 else d
             part.coalesce(1).write.mode("append").parquet(f"{path}/in")
         s = G.stream_source(spark, f"{path}/in", "g string, ts timestamp, obs double, sim double", files=1)
         got = G.run_updates(G.stream_moments(s, ["g"], "ts", "1 hour", 10**12), path)
