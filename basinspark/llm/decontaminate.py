@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import Words, chunks, dropped, shingle_hashes, stored, table
 
@@ -47,7 +48,7 @@ class ItemIndex:
         w = Words(pa.array([t for _, t in items], pa.string()), extra=PUNCTUATION)
         words = [w.hash[w.bounds[i] : w.bounds[i + 1]] for i in range(len(items))]
         full = [i for i, x in enumerate(words) if len(x)]
-        self.ids = np.array([items[i][0] for i in full], np.int64)
+        self.ids = [items[i][0] for i in full]
         words = [words[i] for i in full]
         self.longest = whole.longest if whole else max(map(len, words), default=1)
         self.parts = []
@@ -212,12 +213,14 @@ def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     `overlap` of the question's and of the answer's distinct `words`-word shingles are in it. Letters A-Z are
     folded, punctuation separates words. Items are taken in blocks of bounded number and bytes, each an index
     that all texts are run against; statistics are those of all items. Null or empty texts and items match nothing;
-    repeated rows give their result once; equal items each match; no items, no rows; other columns are not
-    carried.
+    repeated rows give their result once, and so do texts of one id; ids are of any type, a null one is an id like others; a null item is left out;
+    equal items each match; no items, no rows; other columns are not carried.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    tests = items.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    tests = items.select(F.col(item_id).alias("item"), F.col(item_text).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
+    item_kind = to_arrow_type(tests.schema["item"].dataType)
+    shape = f"id {rows.schema['id'].dataType.simpleString()}, item {tests.schema['item'].dataType.simpleString()}, score double, question_overlap double, answer_overlap double"
     out = None
     for index, only in item_indexes(tests, share, overlap, words):
         shared = spark.sparkContext.broadcast(index)
@@ -225,11 +228,10 @@ def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         def run(batches, shared=shared):
             index = shared.value
             for b in chunks(batches):
-                ids = b.column("id").to_numpy(zero_copy_only=False)
                 got = index.matches(Words(b.column("text"), extra=PUNCTUATION))
-                yield pa.RecordBatch.from_pydict({"id": pa.array([int(ids[g[0]]) for g in got], pa.int64()), "item": pa.array([int(index.ids[g[1]]) for g in got], pa.int64()), **{c: pa.array([g[i] for g in got], pa.float64()) for i, c in ((2, "score"), (3, "question_overlap"), (4, "answer_overlap"))}})
+                yield pa.RecordBatch.from_pydict({"id": b.column("id").take(pa.array([g[0] for g in got], pa.int64())), "item": pa.array([index.ids[g[1]] for g in got], item_kind), **{c: pa.array([g[i] for g in got], pa.float64()) for i, c in ((2, "score"), (3, "question_overlap"), (4, "answer_overlap"))}})
 
-        found = rows.mapInArrow(run, "id long, item long, score double, question_overlap double, answer_overlap double")
+        found = rows.mapInArrow(run, shape)
         if not only:  # written, so that no more than one index is held at a time
             found = stored(found)
             shared.destroy()

@@ -12,7 +12,7 @@ def sf():
 @pytest.fixture(scope="session")
 def odd(spark):
     """Nulls, empty, blank, repeated and very long texts, and a column with a clashing name."""
-    rows = [(1, None, None, None), (2, "", "en", "a"), (3, " \n\t ", "en", None), (4, "one two three four five six", "en", "a"), (4, "one two three four five six", "en", "a"), (5, "word " * 20000, "de", "b"), (6, "x" * 50000, None, "b"), (7, "é ü 日本 <|endoftext|> 12's", "fr", "c")]
+    rows = [(1, None, None, None), (2, "", "en", "a"), (3, " \n\t ", "en", None), (4, "one two three four five six", "en", "a"), (4, "one two three four five six", "en", "a"), (5, "word " * 20000, "de", "b"), (6, "x" * 50000, None, "b"), (7, "é ü 日本 <|endoftext|> 12's", "fr", "c"), (None, "no number at all", "en", "a")]
     return spark.createDataFrame([(*r, 1, "id") for r in rows], "doc_id long, text string, lang string, source string, n long, id string")
 
 

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 from fractions import Fraction
 
@@ -52,6 +53,11 @@ def test_leaks_odd(spark, odd, none):
     items = spark.createDataFrame([(1, "one two three. Four five six"), (2, None), (3, ""), (None, "x")], "item_id long, text string")
     assert [(r.doc_id, r.item_id) for r in decontaminate.leaked_items(odd, items).collect()] == [(4, 1)]
     assert decontaminate.leaked_items(odd, items.where("false")).count() == 0 == decontaminate.leaked_items(none, items).count()
+    named = items.withColumn("item_id", F.concat(F.lit("i"), "item_id"))
+    for key, want in ((F.lit(None).cast("long"), None), (F.lit(2**60 + 1), 2**60 + 1), (F.lit("é"), "é")):
+        both = odd.withColumn("doc_id", F.when(F.col("doc_id") != 4, F.col("doc_id").cast(odd.select(key.alias("k")).schema["k"].dataType)).otherwise(key))
+        got = decontaminate.leaked_items(both, named).collect()
+        assert [(r.doc_id, r.item_id) for r in got] == [(want, "i1")]
 
 
 def test_blocks_of_items(spark, sf, monkeypatch):
@@ -185,7 +191,7 @@ def test_mixing(spark, sf):
 
 def test_mixing_odd(odd, none):
     rows = mixing.mix_sources(odd).collect()
-    assert len(rows) == 8 and all(r.taken <= 2 * r["size"] for r in rows)
+    assert len(rows) == 9 and all(r.taken <= 2 * r["size"] for r in rows)
     assert mixing.mix_sources(none).count() == 0
 
 
@@ -282,7 +288,7 @@ def test_jaccard_against_sql(same):
 
 def test_jaccard_odd(odd, none):
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(odd, words=4, similarity="17/20").collect()}
-    assert got == {(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 3, 4), (5, 1, 5), (6, 1, 6), (7, 2, 7)}
+    assert got == {(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 3, 4), (5, 1, 5), (6, 1, 6), (7, 2, 7), (None, 1, None)}
     assert jaccard.jaccard_components(none).count() == 0
 
 
@@ -463,6 +469,34 @@ def test_pages_of_one_path(spark):
     assert got == {1: "one", 2: "two", 3: "three", 4: "three", 5: "", 6: whole.format("old"), 7: whole.format("new")}
 
 
+def test_tags_against_a_plain_pattern():
+    """On pages whose quotes are closed the scan finds what one regular expression finds."""
+    plain = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|title)\b[^>]*>.*?(?:</\1\b[^>]*>|\Z)|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+    r = random.Random(7)
+    parts = ["<p>", "</p>", "<div class='a > b'>", '<a href="x<y>">', "text", " < ", "<3", "<!-- <p> -->", "<script>if (a<b) '</p>'</script>", "<STYLE>x</style >", "<!doctype html>", "<br/>", "&lt;", "<title>t</title>", "</", "\n"]
+    for _ in range(400):
+        html = "".join(r.choice(parts) for _ in range(r.randint(0, 15))) + "<p>"
+        want = [(m.start(), m.end(), " " if m[1] else (m[3] or "").lower(), bool(m[2]), m[4] or "") for m in plain.finditer(html)]
+        assert list(pages.tags(html)) == want, html
+
+
+def test_names_of_an_article():
+    """Inside the main element only whole names count, outside also the parts of hyphened ones; formulas are text."""
+    inside = "".join(f"<div class='{c}'>{c}</div>" for c in ("social-history", "share-price", "menu-of-the-day", "share", "ad"))
+    html = f"<div class='site-header'>h</div><article>{inside}<p id=search-theory>t <math><mi>x</mi></math></p></article><div class='cookie-notice'>c</div>"
+    assert [t for t, k in pages.page_lines(html) if k == pages.MAIN] == ["social-history", "share-price", "menu-of-the-day", "t", "x"]
+    assert {t for t, k in pages.page_lines(html) if k == pages.AROUND} == {"h", "share", "ad", "c"}
+    assert pages.page_lines('<p>a</p><a href="x>b</a><p>c</p>') == [("a", pages.FREE), ("b", pages.FREE), ("c", pages.FREE)]
+
+
+def test_odd_pages_take_linear_time():
+    began = time.time()
+    for piece in ('<a "', "<a x='", '<a">"', "<", "<!", "</", "<div>", "<b>", "</p>", "<!--", "<script>", '<p class="', "<div class='ad'>"):
+        pages.page_lines(piece * (1_000_000 // len(piece)))
+    pages.page_lines("<div>" * 100_000 + "</p>" * 100_000 + "<b>" * 100_000 + "</i>" * 100_000)
+    assert time.time() - began < 60
+
+
 def test_pages_empty(spark):
     d = spark.createDataFrame([], "page_id long, url string, html string")
     assert pages.main_text(d).count() == 0
