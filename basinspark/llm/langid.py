@@ -96,29 +96,29 @@ class ByteConvNet:
 
 
 def fit_language(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_label: int = SAMPLE_DOCS) -> ByteConvNet | None:
-    """Trains on a bounded sample: about `docs_per_label` texts a label, chosen by a hash of the id, SAMPLE_WINDOWS windows of each.
+    """Trains on a bounded sample: about `docs_per_label` texts a label, chosen by a hash of id and text, SAMPLE_WINDOWS windows of each.
 
     Windows are spread evenly over the whole text. Rows with a null label or an empty text teach nothing;
-    no row left gives None.
+    no row left gives None. Ids are of any type and may be null.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang IS NOT NULL AND text RLIKE '\\\\p{L}'")
     counts = {r.lang: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
     share = F.create_map(*[F.lit(z) for k, n in counts.items() for z in (k, min(1.0, docs_per_label / n))])
-    picked = rows.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
+    picked = rows.where(F.pmod(F.xxhash64("id", "text", F.lit(1)), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
 
     def cut(batches):
         for b in chunks(batches):
             x, n = windows(*utf8(b.column("text")))
             end = np.cumsum(n)
             keep = [sorted({int(s + (c - 1) * i // max(1, SAMPLE_WINDOWS - 1)) for i in range(SAMPLE_WINDOWS)}) if c else [] for s, c in zip(end - n, n, strict=True)]
-            yield pa.RecordBatch.from_pydict({"id": b.column("id").cast(pa.string()), "lang": b.column("lang"), "win": pa.array([[x[i].tobytes() for i in k] for k in keep], pa.list_(pa.binary()))})
+            yield pa.RecordBatch.from_pydict({"lang": b.column("lang"), "win": pa.array([[x[i].tobytes() for i in k] for k in keep], pa.list_(pa.binary()))})
 
-    got = sorted((r.lang, r.id, [bytes(w) for w in r.win]) for r in picked.mapInArrow(cut, "id string, lang string, win array<binary>").collect())
+    got = sorted((r.lang, [bytes(w) for w in r.win]) for r in picked.mapInArrow(cut, "lang string, win array<binary>").collect())
     labels = sorted({g[0] for g in got})
-    x = np.frombuffer(b"".join(w for g in got for w in g[2]), np.uint8).reshape(-1, WINDOW + LOOK)
-    y = np.array([labels.index(g[0]) for g in got for _ in g[2]])
+    x = np.frombuffer(b"".join(w for g in got for w in g[1]), np.uint8).reshape(-1, WINDOW + LOOK)
+    y = np.array([labels.index(g[0]) for g in got for _ in g[1]])
     net = ByteConvNet(labels)
     net.fit(x, y)
     return net
@@ -129,7 +129,7 @@ def predict_language(docs: DataFrame, net: ByteConvNet | None, id_col: str = "do
 
     The prediction is the label with the highest mean log probability over the windows, the score its mean
     probability. A null text, or one without a letter, is `und` with score 0. Repeated rows stay; a tie takes
-    the first label in order; other columns are not read.
+    the first label in order; ids are of any type and may be null; other columns are not read.
     """
     t = net.tables() if net else None
 
@@ -155,7 +155,7 @@ def predict_language(docs: DataFrame, net: ByteConvNet | None, id_col: str = "do
 def op4_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     net = fit_language(docs.where(crc_mod(F.col("doc_id"), 5) != 0), "doc_id", "text", "lang")
-    return predict_language(docs, net).select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+    return predict_language(docs, net).select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 QUERIES = {"op4_language_id": op4_language_id}
