@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import re
+from collections import Counter
+from collections.abc import Iterator
 from html import unescape
 
 import numpy as np
@@ -14,11 +17,8 @@ from .common import stored, table
 from .urls import url_host, url_path
 
 FREE, MAIN, AROUND = 0, 1, 2
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|svg|iframe|object|canvas|title|math)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
+HIDDEN = frozenset("script style noscript template textarea select svg iframe object canvas title".split())
+NAME, QUOTED = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)"), re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
 MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr label".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -28,13 +28,64 @@ AROUND_NAMES = frozenset("ad ads adv advert adverts advertisement banner sponsor
 MAIN_NAMES = frozenset("main article articlebody".split())
 
 
+def tags(html: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, closing, attributes) of each piece of markup, in time linear in the page.
+
+    Comments and declarations have no name; an element of HIDDEN is one piece with its content, named " ". A tag ends at
+    the first > outside quotes. Where a quote is not closed, that tag and all later ones end at the first >; a tag
+    without any > takes the rest of the page.
+    """
+    pos, n, quotes = html.find("<"), len(html), True
+    while pos >= 0:
+        sign, end = html[pos + 1 : pos + 2], pos + 1
+        if html.startswith("<!--", pos):
+            end = html.find("-->", pos + 4) + 3
+            end = n if end < 3 else end
+            yield pos, end, "", False, ""
+        elif sign in ("!", "?"):
+            end = html.find(">", pos) + 1
+            if not end:
+                return
+            yield pos, end, "", False, ""
+        elif m := NAME.match(html, pos + 1):
+            name, last = m[2].lower(), -1
+            if quotes:
+                last = QUOTED.match(html, m.end()).end()
+                quotes = html[last : last + 1] == ">"
+            if not quotes:
+                last = html.find(">", m.end())
+            if last < 0:
+                yield pos, n, "", False, ""
+                return
+            end = last + 1
+            if name in HIDDEN and not m[1]:
+                if not (name == "svg" and html[last - 1] == "/"):
+                    close = _closing(name).search(html, end)
+                    end = close.end() if close else n
+                yield pos, end, " ", False, ""
+            else:
+                yield pos, end, name, bool(m[1]), html[m.end() : last]
+        pos = html.find("<", end)
+
+
+@functools.cache
+def _closing(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}\b[^>]*+(?:>|\Z)", re.I)
+
+
+def _around(marks: list[str], inside: bool) -> set[str]:
+    """Names in class, id and role; outside the main element also the parts of names joined by hyphens and underscores."""
+    whole = {w for x in marks for w in x.lower().strip("\"'").split()}
+    return whole if inside else whole | {p for w in whole for p in re.split(r"[^a-z0-9]+", w)}
+
+
 def page_lines(html: str | None) -> list[tuple[str, int]]:
     """The text blocks of a page in order, white space made one space, each FREE, in the MAIN element or AROUND it.
 
     Comments, scripts, styles and markup are left out, character references decoded. Elements that are not
     closed, or closed in the wrong order, end with what holds them.
     """
-    out, buf, stack = [], [], []
+    out, buf, stack, opened = [], [], [], Counter()
     kind = FREE
 
     def flush():
@@ -46,16 +97,13 @@ def page_lines(html: str | None) -> list[tuple[str, int]]:
 
     at = 0
     html = html or ""
-    for m in TOKEN.finditer(html):
-        if m.start() > at:
-            buf.append(html[at : m.start()])
-        at = m.end()
-        name = m[3]
-        if not name:
-            if m[1]:
-                buf.append(" ")
+    for start, end, name, closing, attributes in tags(html):
+        if start > at:
+            buf.append(html[at:start])
+        at = end
+        if name in ("", " "):
+            buf.append(name)
             continue
-        name = name.lower()
         if name in VOID:
             if name == "hr":
                 flush()
@@ -65,11 +113,12 @@ def page_lines(html: str | None) -> list[tuple[str, int]]:
         block = name not in INLINE
         if block:
             flush()
-        if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
+        if closing:
+            for i in range(len(stack) - 1, -1, -1) if opened[name] else ():
                 if stack[i][0] == name:
                     flush()
                     kind = stack[i][1]
+                    opened.subtract(x for x, _ in stack[i:])
                     del stack[i:]
                     break
                 if not block and stack[i][0] not in INLINE:
@@ -77,8 +126,9 @@ def page_lines(html: str | None) -> list[tuple[str, int]]:
             continue
         if block and stack and stack[-1][0] == "p":
             kind = stack.pop()[1]
-        marks = MARK.findall(m[4]) if m[4] else []
-        names = {w for x in marks for w in re.split(r"[^a-z0-9]+", x.lower())} if marks else ()
+            opened["p"] -= 1
+        marks = MARK.findall(attributes) if attributes else []
+        names = _around(marks, kind == MAIN) if marks else ()
         now = kind
         if name in AROUND_TAGS or (names and names & AROUND_NAMES):
             now = kind if name == "header" and kind == MAIN else AROUND
@@ -88,6 +138,7 @@ def page_lines(html: str | None) -> list[tuple[str, int]]:
             flush()
         if block or now != kind:
             stack.append((name, kind))
+            opened[name] += 1
             kind = now
     if at < len(html):
         buf.append(html[at:])
