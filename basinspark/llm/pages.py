@@ -236,19 +236,31 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     gone = pairs.select("key", "lines", "other").mapInArrow(shared, "key long, gone array<int>").where("size(gone) > 0").withColumnRenamed("key", "same")
     gone = named.select("key", "same").join(gone, "same").select("key", "gone")
 
-    def text(batches):
+    def parsed(batches):
+        # what a page's text is made of is all that moves: its article, or, where none is marked, the lines that may be shared
         for b in batches:
-            texts, counts, n = [], [], []
-            for h, g in zip(b.column("html").to_pylist(), b.column("gone").to_pylist(), strict=True):
-                ls, g = page_lines(h), set(g or ())
+            main, free, n = [], [], []
+            for h in b.column("html").to_pylist():
+                ls = page_lines(h)
                 marked = any(k == MAIN for _, k in ls)
-                texts.append("\n".join(t for i, (t, k) in enumerate(ls) if k == MAIN or (k == FREE and not marked and i not in g)))
-                counts.append(len(ls))
+                main.append("\n".join(t for t, k in ls if k == MAIN) if marked else None)
+                free.append([] if marked else [t if k == FREE else None for t, k in ls])
+                n.append(len(ls))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "url", "key")), pa.array(main, pa.string()), pa.array(free, pa.list_(pa.string())), pa.array(n, pa.int64())], ["id", "url", "key", "main", "free", "n_lines"])
+
+    def text(batches):
+        for b in batches:
+            texts, n = [], []
+            for main, free, g in zip(*(b.column(c).to_pylist() for c in ("main", "free", "gone")), strict=True):
+                g = set(g or ())
+                texts.append(main if main is not None else "\n".join(t for i, t in enumerate(free) if t is not None and i not in g))
                 n.append(len(g))
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array(n, pa.int64())], ["id", "url", "text", "n_chars", "n_lines", "n_shared"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), b.column("n_lines"), pa.array(n, pa.int64())], ["id", "url", "text", "n_chars", "n_lines", "n_shared"])
 
-    joined = rows.select("id", "url", "html", "key").join(gone, "key", "left").select("id", "url", "html", "gone")
-    return joined.mapInArrow(text, f"id {rows.schema['id'].dataType.simpleString()}, url string, text string, n_chars long, n_lines long, n_shared long").withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)
+    kind = rows.schema["id"].dataType.simpleString()
+    pieces = rows.select("id", "url", "key", "html").mapInArrow(parsed, f"id {kind}, url string, key long, main string, free array<string>, n_lines long")
+    joined = pieces.join(gone, "key", "left").select("id", "url", "main", "free", "gone", "n_lines")
+    return joined.mapInArrow(text, f"id {kind}, url string, text string, n_chars long, n_lines long, n_shared long").withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)
 
 
 def op9_html_text(spark, sf_dir):
