@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_broadcast, stored, table
 
 SYMBOLS, BLANKS = "#*$%&|<>", "\t\n\x0b\x0c\r "
-LEAST_ROWS = 50  # of a group that gets its own estimate: ten for each statistic
+PRIOR_ROWS = 50.0  # rows that a language counts as in the estimate of its sources: ten for each statistic
 KEPT_SHARE = 0.75  # of a group's rows that the estimate rests on
 SCALE = 1.41  # 0.75 over the chi-square(7) distribution at the 0.75 quantile of chi-square(5): makes the covariance consistent
 CUTOFF = 12.83  # the 0.975 quantile of chi-square(5), usual for this estimate: of a normal group one row in 40 lies beyond
@@ -60,84 +62,113 @@ def _features() -> list[Column]:
     ]
 
 
-def _distance() -> Column:
-    """Squared Mahalanobis distance by forward substitution with the factor's columns l_i_j and means m_i."""
-    y = []
-    for i, f in enumerate(FEATURES):
-        rest = F.col(f) - F.col(f"m_{i}")
-        for j in range(i):
-            rest = rest - F.col(f"l_{i}_{j}") * y[j]
-        y.append(rest / F.col(f"l_{i}_{i}"))
-    return sum((v * v for v in y[1:]), y[0] * y[0])
+N = range(len(FEATURES))
+LOWER = [(i, j) for i in N for j in range(i + 1)]
+MOMENTS = {f"e_{i}": f for i, f in enumerate(FEATURES)} | {f"e_{i}_{j}": f"{FEATURES[i]} * {FEATURES[j]}" for i, j in LOWER}
+MEANS = [f"m_{i}" for i in N]
+
+
+def _with_distance(rows: DataFrame, estimates: DataFrame, groups: int) -> DataFrame:
+    """Rows with d2, the squared Mahalanobis distance by forward substitution with the factor's columns l_i_j and means m_i."""
+    y = [f"({f} - m_{i}{''.join(f' - l_{i}_{j} * y_{j}' for j in range(i))}) / l_{i}_{i} AS y_{i}" for i, f in enumerate(FEATURES)]
+    near = rows.join(bounded_broadcast(estimates, groups, 20_000), "key")
+    return near.selectExpr(*[f"`{c}`" for c in rows.columns], *y, " + ".join(f"y_{i} * y_{i}" for i in N) + " AS d2").drop(*[f"y_{i}" for i in N])
 
 
 def _factor(moments: DataFrame, scale: float) -> DataFrame:
-    """Means and the Cholesky factor of the covariance, floors added, from sums and sums of products by group."""
-    d = moments
-    for i in range(len(FEATURES)):
-        d = d.withColumn(f"m_{i}", F.col(f"s_{i}") / F.col("n"))
-    for i in range(len(FEATURES)):
-        for j in range(i + 1):
-            c = scale * (F.col(f"s_{i}_{j}") / F.col("n") - F.col(f"m_{i}") * F.col(f"m_{j}"))
-            if i == j:
-                c = F.greatest(c, F.lit(0.0)) + FLOORS[i] ** 2
-            for k in range(j):
-                c = c - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            d = d.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(c, F.lit(1e-9))) if i == j else c / F.col(f"l_{j}_{j}"))
-    return d.select("key", *[f"m_{i}" for i in range(len(FEATURES))], *[f"l_{i}_{j}" for i in range(len(FEATURES)) for j in range(i + 1)])
-
-
-def _moments(rows: DataFrame) -> DataFrame:
-    n = range(len(FEATURES))
-    return rows.groupBy("key").agg(F.count("*").alias("n"), *[F.sum(FEATURES[i]).alias(f"s_{i}") for i in n], *[F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"s_{i}_{j}") for i in n for j in range(i + 1)])
-
-
-def robust_estimates(rows: DataFrame, steps: int = 3) -> DataFrame:
-    """Minimum-covariance-determinant estimate of each key: concentration steps from medians and deviations.
-
-    Each step takes the KEPT_SHARE of a group's rows that are nearest under the present estimate and computes
-    mean and covariance of these, which does not raise the determinant but for the error of the quantile
-    sketches (a thousandth of the rows); a last one weighs out what lies beyond CUTOFF. All are grouped sums and quantile sketches: a group of any size is pre-aggregated.
+    """key, means and the Cholesky factor of the covariance, floors added, from mean features e_i and mean products e_i_j."""
+    out = []
+    for j in N:  # column by column: each refers to those before it
+        for i in range(j, len(FEATURES)):
+            c = f"{scale} * (e_{i}_{j} - e_{i} * e_{j})"
+            c = f"greatest({c}, 0D) + {FLOORS[i] ** 2}D" if i == j else c
+            c += "".join(f" - l_{i}_{k} * l_{j}_{k}" for k in range(j))
+            out.append(f"sqrt(greatest({c}, 1e-9D)) AS l_{i}_{j}" if i == j else f"({c}) / l_{j}_{j} AS l_{i}_{j}")
+    return moments.selectExpr("key", *[f"e_{i} AS m_{i}" for i in N], *out)
+
+
+def _shrunk(own: DataFrame, lang: DataFrame, all_: DataFrame, names: list[str], prior: float) -> DataFrame:
+    """key and `names` of each group, drawn towards its language's, which are drawn towards those of all.
+
+    The upper level's value counts as `prior` rows. `own` has parent, key, n; `lang` parent, n; `all_` n, one row.
+    """
+    up = lang.selectExpr("parent", "n AS n1", *[f"{c} AS p_{c}" for c in names]).crossJoin(F.broadcast(all_.selectExpr(*[f"{c} AS a_{c}" for c in names])))
+    mixed = lambda n, low, high: f"coalesce(({n} * {low} + {prior} * {high}) / ({n} + {prior}), {high})"
+    up = up.selectExpr("parent", *[f"{mixed('n1', f'p_{c}', f'a_{c}')} AS u_{c}" for c in names])
+    return own.join(up, "parent").selectExpr("key", *[f"{mixed('n', c, f'u_{c}')} AS {c}" for c in names])
+
+
+def _quantiles(rows: DataFrame, values: dict[str, str], at: float, prior: float) -> DataFrame:
+    """Quantile `at` of each expression for each group, language and all in one rollup, then `_shrunk`."""
+    r = stored(rows.rollup("parent", "key").agg(F.count("*").alias("n"), F.grouping_id().alias("level"), *[F.expr(f"percentile_approx({c}, {at}D, 1000) AS {name}") for name, c in values.items()]))
+    return _shrunk(r.where("level = 0"), r.where("level = 1"), r.where("level = 3"), list(values), prior)
+
+
+def _moments(rows: DataFrame, keys: DataFrame, prior: float) -> DataFrame:
+    """Mean features e_i and mean products e_i_j of each group, shrunk; a group that lost all its rows takes its language's."""
+    sums = rows.groupBy("key").agg(F.count("*").alias("n"), *[F.expr(f"sum({c}) AS {t}") for t, c in MOMENTS.items()])
+    sums = stored(keys.join(sums, "key", "left").selectExpr("parent", "key", "coalesce(n, 0L) AS n", *MOMENTS))
+    mean = [F.expr(f"sum({t}) / sum(n) AS {t}") for t in MOMENTS]
+    own = sums.selectExpr("parent", "key", "n", *[f"{t} / n AS {t}" for t in MOMENTS])
+    return _shrunk(own, sums.groupBy("parent").agg(F.sum("n").alias("n"), *mean), sums.agg(*mean), list(MOMENTS), prior)
+
+
+def _starts(rows: DataFrame, keys: DataFrame, groups: int, prior: float) -> list[DataFrame]:
+    """Two first estimates about the medians: the deviations alone, and with the correlations of tanh of what they scale."""
+    mid = _quantiles(rows, {f"m_{i}": f for i, f in enumerate(FEATURES)}, 0.5, prior)
+    off = _quantiles(rows.join(bounded_broadcast(mid, groups, 20_000), "key"), {f"d_{i}": f"abs({f} - m_{i})" for i, f in enumerate(FEATURES)}, 0.5, prior)
+    base = stored(mid.join(off, "key").selectExpr("key", *MEANS, *[f"sqrt(pow(1.4826D * d_{i}, 2) + {FLOORS[i] ** 2}D) AS d_{i}" for i in N]))
+    plain = base.selectExpr("key", *MEANS, *[f"d_{i} AS l_{i}_{j}" if i == j else f"0D AS l_{i}_{j}" for i, j in LOWER])
+    bent = rows.join(bounded_broadcast(base, groups, 20_000), "key").selectExpr("key", *[f"tanh(({f} - m_{i}) / d_{i}) AS {f}" for i, f in enumerate(FEATURES)])
+    spread = [f"greatest(e_{i}_{i} - e_{i} * e_{i}, 1e-9D) AS v_{i}" for i in N]
+    cov = [f"d_{i} * d_{j} * " + ("1D" if i == j else f"(e_{i}_{j} - e_{i} * e_{j}) / sqrt(v_{i} * v_{j})") + f" + m_{i} * m_{j} AS c_{i}_{j}" for i, j in LOWER]
+    e = _moments(bent, keys, prior).join(base, "key").selectExpr("key", *MEANS, *spread, *cov)
+    return [plain, stored(_factor(e.selectExpr("key", *[f"m_{i} AS e_{i}" for i in N], *[f"c_{i}_{j} AS e_{i}_{j}" for i, j in LOWER]), 1.0))]
+
+
+def robust_estimates(rows: DataFrame, steps: int = 3, prior: float = PRIOR_ROWS, cutoff: float = CUTOFF) -> DataFrame:
+    """Minimum-covariance-determinant estimate of each key of rows (parent, key, features), drawn towards its parent's.
+
+    From each of two starts, concentration steps take the KEPT_SHARE of a group's rows that are nearest under
+    the present estimate and compute mean and covariance of these; of a group's two ends the one of the lesser
+    determinant is taken, and a last step weighs out what lies beyond `cutoff`. Each moment and each quantile
+    is mixed with the language's, counted as `prior` rows, and that with the one of all rows: a group of a few
+    rows is judged nearly as its language, one of thousands by itself, with no size at which this changes. All
+    are grouped sums and quantile sketches (a thousandth of the rows): a group of any size is pre-aggregated.
     """
-    n = range(len(FEATURES))
-    mid = stored(rows.groupBy("key").agg(*[F.percentile_approx(f, 0.5, 1000).alias(f"m_{i}") for i, f in enumerate(FEATURES)]))
-    off = rows.join(bounded_broadcast(mid, mid.count(), 20_000), "key").groupBy("key").agg(*[F.percentile_approx(F.abs(F.col(f) - F.col(f"m_{i}")), 0.5, 1000).alias(f"d_{i}") for i, f in enumerate(FEATURES)])
-    now = mid.join(off, "key").select("key", *[f"m_{i}" for i in n], *[(F.sqrt((1.4826 * F.col(f"d_{i}")) ** 2 + FLOORS[i] ** 2) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i in n for j in range(i + 1)])
-    now = stored(now)
-    groups = now.count()  # rows of a hot group stay where they are while groups are few; only sketches and sums move
-    for _ in range(steps):
-        near = rows.join(bounded_broadcast(now, groups, 20_000), "key").withColumn("d2", _distance())
-        edge = stored(near.groupBy("key").agg(F.percentile_approx("d2", KEPT_SHARE, 1000).alias("edge")))
-        now = stored(_factor(_moments(near.join(bounded_broadcast(edge, groups, 20_000), "key").where("d2 <= edge")), SCALE))
-    return stored(_factor(_moments(rows.join(bounded_broadcast(now, groups, 20_000), "key").where(_distance() <= CUTOFF)), 1.0))
-
-
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_rows: int = LEAST_ROWS, cutoff: float = CUTOFF) -> DataFrame:
+    keys = stored(rows.select("parent", "key").distinct())
+    groups = keys.count()  # rows of a hot group stay where they are while groups are few; only sketches and sums move
+    factor = [*MEANS, *[f"l_{i}_{j}" for i, j in LOWER]]
+    ends = []
+    for start, now in enumerate(_starts(rows, keys, groups, prior)):
+        for _ in range(steps):
+            near = _with_distance(rows, now, groups)
+            edge = _quantiles(near, {"edge": "d2"}, KEPT_SHARE, prior)
+            now = stored(_factor(_moments(near.join(bounded_broadcast(edge, groups, 20_000), "key").where("d2 <= edge"), keys, prior), SCALE))
+        det = " + ".join(f"ln(l_{i}_{i})" for i in N)
+        ends.append(now.selectExpr("key", f"struct(round({det}, 9) AS det, {start} AS start, {', '.join(factor)}) AS e"))
+    best = stored(reduce(DataFrame.unionByName, ends).groupBy("key").agg(F.min("e").alias("e")).selectExpr("key", *[f"e.{c}" for c in factor]))
+    return stored(_factor(_moments(_with_distance(rows, best, groups).where(F.col("d2") <= cutoff), keys, prior), 1.0))
+
+
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", prior: float = PRIOR_ROWS, cutoff: float = CUTOFF) -> DataFrame:
     """id, the base statistics, base_failed, kept and distance of every row.
 
-    Estimates are made for each language and source from the rows that pass the base rules; a pair with
-    fewer than `least_rows` of them is pooled with the others of its language, what is still too few with all
-    of that kind; a null language or source is one of its own. A row is kept if it passes the base rules and
-    its squared distance is within `cutoff` (or too few rows are there to say). A null text has no words and fails.
-    Repeated rows stay and count; other columns are not carried.
+    Estimates are made for each language and source from the rows that pass the base rules, drawn towards the
+    language's and these towards all rows', which count as `prior` rows; a null language or source is one of
+    its own. A row is kept if it passes the base rules and its squared distance is within `cutoff`; a row that
+    fails them has no distance. A null text has no words and fails. Repeated rows stay and count; other columns
+    are not carried; an empty table gives an empty one.
     """
-    names = {"id": id_col}
     s = text_statistics(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source")), "id", "text", ["lang", "source"])
-    s = stored(s.withColumn("base_failed", base_failed()).select("*", *_features()))
-    count = s.where("NOT base_failed").groupBy("lang", "source").agg(F.count("*").alias("n"))
-    own = F.to_json(F.struct("lang", "source"), {"ignoreNullFields": "false"})
-    count = count.withColumn("one", F.col("n") >= least_rows)
-    by_lang = count.where("NOT one").groupBy("lang").agg(F.sum("n").alias("n_lang")).withColumnRenamed("lang", "lang_")
-    keys = count.join(by_lang, F.col("lang").eqNullSafe(F.col("lang_")), "left")
-    keys = keys.select(F.col("lang").alias("l"), F.col("source").alias("s"), F.when(F.col("one"), own).when(F.col("n_lang") >= least_rows, F.to_json(F.struct("lang"), {"ignoreNullFields": "false"})).otherwise("all").alias("key"))
-    rows = s.where("NOT base_failed").join(stored(keys), F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left").drop("l", "s")
-    rows = stored(rows)
-    enough = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= least_rows).select("key")
-    est = robust_estimates(rows.join(enough, "key", "left_semi"))
-    judged = rows.join(bounded_broadcast(est, est.count(), 20_000), "key", "left").withColumn("distance", F.sqrt(_distance()))
+    named = lambda *c: F.to_json(F.struct(*c), {"ignoreNullFields": "false"})
+    s = stored(s.withColumn("base_failed", base_failed()).select("*", *_features(), named("lang").alias("parent"), named("lang", "source").alias("key")).drop("lang", "source"))
+    rows = s.where("NOT base_failed")
+    est = robust_estimates(rows, prior=prior, cutoff=cutoff)
+    judged = _with_distance(rows, est, est.count()).withColumn("distance", F.sqrt("d2"))
     both = judged.unionByName(s.where("base_failed"), allowMissingColumns=True)
     out = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return both.select(F.col("id").alias(names["id"]), *out, (~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff**0.5, F.lit(True))).alias("kept"), "distance")
+    return both.select(F.col("id").alias(id_col), *out, (~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff**0.5, F.lit(False))).alias("kept"), "distance")
 
 
 def op6_quality_rules(spark, sf_dir):

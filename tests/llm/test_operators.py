@@ -334,15 +334,43 @@ def test_labelled_quality(spark):
 
 
 def test_small_groups(spark):
-    """A pair of language and source is judged by its own estimate from least_rows rows on, else with the others of its language."""
+    """A group of a few rows is judged nearly as its language, a larger one by itself; every row gets a distance."""
     r = random.Random(3)
     text = lambda unit, n: " ".join(r.choice(unit) for _ in range(n))
-    rows = [(i, text(["tree", "river", "stone", "of"], r.randint(60, 120)), "en", "a") for i in range(60)] + [(100 + i, text(["#tree", "river", "#stone"], r.randint(60, 120)), "en", "b") for i in range(30)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    own = {x.doc_id: x for x in quality.quality_rules(docs, least_rows=30).collect()}
-    assert all(own[100 + i].kept for i in range(28)) and all(x.distance is not None for x in own.values())
-    alone = {x.doc_id: x for x in quality.quality_rules(docs, least_rows=31).collect()}
-    assert all(alone[100 + i].distance is None and alone[100 + i].kept for i in range(30)) and alone[0].distance is not None
+    plain, marked = ["tree", "river", "stone", "of", "and"], ["#tree", "river", "#stone", "of", "#and"]
+    rows = [(i, text(plain, r.randint(60, 120)), "en", "a") for i in range(300)] + [(1000 + i, text(marked, r.randint(60, 120)), "en", "b") for i in range(4)] + [(2000 + i, text(marked, r.randint(60, 120)), "en", "c") for i in range(150)]
+    rows += [(3000 + i, text(plain, r.randint(60, 120)), "de", f"s{i}") for i in range(100)] + [(3999, text(["#$%&"], 80), "de", "z")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {x.doc_id: x for x in quality.quality_rules(d.where("source <> 'c'")).collect()}
+    assert all((x.distance is None) == x.base_failed for x in got.values()) and not any(got[1000 + i].kept for i in range(4))
+    assert not got[3999].kept and sum(got[3000 + i].kept for i in range(100)) >= 95
+    own = {x.doc_id: x.kept for x in quality.quality_rules(d.where("source <> 'b'")).collect()}
+    assert sum(own[2000 + i] for i in range(150)) >= 140 and sum(own[i] for i in range(300)) >= 285
+
+
+def test_estimates_against_plain_search(spark):
+    """The determinant comes near the least of many random starts, and the verdicts agree."""
+    r, k = np.random.default_rng(5), len(quality.FEATURES)
+    mix = np.tril(r.normal(0, 0.6, (k, k))) + np.eye(k)
+    x = np.concatenate([r.normal(0, 1, (400, k)) @ mix.T, r.normal(0, 0.4, (80, k)) + [9, -7, 8, 0, 5]])
+    floors = np.diag(np.square(quality.FLOORS))
+    away = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+    best = None
+    for _ in range(100):
+        at = r.choice(len(x), k + 1, replace=False)
+        for _ in range(30):
+            m, c = x[at].mean(0), quality.SCALE * np.cov(x[at].T, bias=True) + floors
+            at = np.argsort(away(m, c))[: int(quality.KEPT_SHARE * len(x))]
+        if best is None or np.linalg.det(c) < best[0]:
+            best = np.linalg.det(c), m, c
+    near = x[away(*best[1:]) <= quality.CUTOFF]
+    want = away(near.mean(0), np.cov(near.T, bias=True) + floors) <= quality.CUTOFF
+    rows = spark.createDataFrame([("p", "k", i, *map(float, v)) for i, v in enumerate(x)], "parent string, key string, i int, " + ", ".join(f"{f} double" for f in quality.FEATURES))
+    e = quality.robust_estimates(rows).first()
+    low = np.array([[e[f"l_{i}_{j}"] if j <= i else 0.0 for j in range(k)] for i in range(k)])
+    got = away(np.array([e[f"m_{i}"] for i in range(k)]), low @ low.T) <= quality.CUTOFF
+    assert not want[400:].any() and not got[400:].any() and (got == want).mean() >= 0.99
+    assert abs(np.linalg.det(low @ low.T) / np.linalg.det(np.cov(near.T, bias=True) + floors) - 1) < 0.05
 
 
 def test_quality_odd(odd, none):
