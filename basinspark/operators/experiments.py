@@ -46,12 +46,13 @@ def combinations(spark: SparkSession, options: dict[str, list[str]]) -> DataFram
 def spearman_sensitivity(df: DataFrame, parameters: list[str], score: str) -> DataFrame:
     """|Spearman| of each parameter with the score, ties at their mean rank.
 
-    Ranks come from counts of distinct values, so that sorting is over values, not rows."""
-    long = _long(df.where(F.col(score).isNotNull()), [F.col(score).cast("double").alias("s")], parameters).where("v IS NOT NULL")
+    Rows are numbered by range-partitioned sorts, so that no parameter's values come into one task."""
+    long = stored(_long(df.where(F.col(score).isNotNull()), [F.col(score).cast("double").alias("s")], parameters).where("v IS NOT NULL"))
 
     def ranks(c: str) -> DataFrame:
-        n = long.groupBy("parameter", c).agg(F.count("*").alias("_n"))
-        return n.select("parameter", c, (F.sum("_n").over(W.partitionBy("parameter").orderBy(c)) - (F.col("_n") - 1) / 2).alias(f"r_{c}"))
+        n = renumber(long.select("parameter", c), ["parameter", c], "_at").groupBy("parameter", c).agg(F.min("_at").alias("_a"), F.max("_at").alias("_z"))
+        first = n.groupBy("parameter").agg(F.min("_a").alias("_first"))  # a row for each of the parameters named
+        return n.join(F.broadcast(first), "parameter").select("parameter", c, ((F.col("_a") + F.col("_z")) / 2 - F.col("_first")).alias(f"r_{c}"))
 
     r = long.join(ranks("v"), ["parameter", "v"]).join(ranks("s"), ["parameter", "s"])
     return r.groupBy("parameter").agg(F.abs(correlation(F.col("r_v"), F.col("r_s"))).alias("spearman"))
@@ -266,11 +267,14 @@ def history(df: DataFrame, generation: str, score: str) -> DataFrame:
 
 
 def runtime_summary(df: DataFrame, keys: list[str], seconds: str, ok: str) -> DataFrame:
-    """Least, greatest, mean, population std, and the order statistics at positions n//2, int(.95 n), int(.99 n)."""
-    w = W.partitionBy(*keys)
-    d = df.withColumn("_i", F.row_number().over(w.orderBy(seconds)) - 1).withColumn("_n", F.count("*").over(w))
-    at = lambda p: F.max(F.when(F.col("_i") == F.floor(F.col("_n") * p), F.col(seconds)))
-    return d.groupBy(*keys).agg(F.min(seconds).alias("lo"), F.max(seconds).alias("hi"), F.avg(seconds).alias("mean"), F.stddev_pop(seconds).alias("std"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.avg(F.col(ok).cast("double")).alias("success"))
+    """Least, greatest, mean, population std, and the order statistics at positions n//2, int(.95 n), int(.99 n), nulls first.
+
+    Rows are numbered by a range-partitioned sort; a component of any number of runs is spread over tasks."""
+    d = renumber(df.select(*keys, F.col(seconds).alias("_v"), F.col(ok).cast("double").alias("_ok")), [*keys, "_v"], "_at")
+    start = d.groupBy(*keys).agg(F.min("_at").alias("_first"), F.count("*").alias("_n")).withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    d = d.join(start, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]))
+    at = lambda p: F.max(F.when(F.col("_at") - F.col("_first") == F.floor(F.col("_n") * p), F.col("_v")))
+    return d.groupBy(*keys).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.avg("_v").alias("mean"), F.stddev_pop("_v").alias("std"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.avg("_ok").alias("success"))
 
 
 def uncertainty(df: DataFrame, parameters: list[str]) -> DataFrame:

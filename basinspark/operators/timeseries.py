@@ -361,13 +361,69 @@ def seasonality_index(df: DataFrame, keys: list[str], d: str, p: str = "p", t: s
     return a.join(b, keys).select(*keys, index.alias("seasonality"))
 
 
+def sine_fit_clipped(df: DataFrame, keys: list[str], d: str, col: str) -> DataFrame:
+    """level m, amplitude a and phase f of v = max(0, m * (1 + a * sin(2 pi (x - f)))), x = (day of year - 1) / 365, by least squares.
+
+    For a fixed day the error depends on the day's count and sum only, so rows are summed by day first, at most
+    366 sums a key, and a key's fit is one small task. With a = tan(b) the model is a height times
+    max(0, cos b + sin b * sin(...)), whose best height is linear; the two angles are searched on a grid that
+    closes in on its best point. Null values are passed over; a key without any gives no row, one whose best
+    height is not positive has amplitude and phase null.
+    """
+    days = df.where(F.col(col).isNotNull()).groupBy(*keys, F.dayofyear(d).alias("_day")).agg(F.count("*").alias("_n"), F.sum(F.col(col).cast("double")).alias("_s"))
+    schema = df.select(*keys).schema.simpleString()[7:-1] + ", level double, amplitude double, phase double"
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, n, s = 2 * np.pi * (pdf["_day"].to_numpy() - 1) / 365, pdf["_n"].to_numpy(float), pdf["_s"].to_numpy()
+        b, f, wide, best = 0.25 * np.pi, 0.5, 1.0, (0.0, None, None, None)
+        while wide > 1e-9:
+            bs = np.clip(b + wide * 0.25 * np.pi * np.linspace(-1, 1, 41), 0, 0.5 * np.pi - 1e-6)
+            fs = f + wide * 0.5 * np.linspace(-1, 1, 61)
+            for at in bs:
+                g = np.maximum(0, np.cos(at) + np.sin(at) * np.sin(x[:, None] - 2 * np.pi * fs))
+                up, down = s @ g, n @ g**2
+                gain = np.where((up > 0) & (down > 0), up**2 / np.where(down > 0, down, 1), 0)
+                k = int(gain.argmax())
+                if gain[k] > best[0]:
+                    best = gain[k], up[k] / down[k], at, fs[k]
+            if best[1] is None:
+                break
+            b, f, wide = best[2], best[3], wide / 4
+        out = pdf[keys].head(1).copy()
+        found = best[1] is not None
+        out["level"] = best[1] * np.cos(best[2]) if found else s.sum() / n.sum()
+        out["amplitude"] = np.tan(best[2]) if found else np.nan
+        out["phase"] = best[3] % 1.0 if found else np.nan
+        return out
+
+    out = days.groupBy(*keys).applyInPandas(fit, schema)
+    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("amplitude", "phase")})
+
+
+def seasonality_index_clipped(df: DataFrame, keys: list[str], d: str, p: str = "p", t: str = "t") -> DataFrame:
+    """`seasonality_index` with precipitation that cannot fall below 0."""
+    a, b = sine_fit_clipped(df, keys, d, p), sine_fit(df, keys, d, t).select(*keys, F.col("amplitude").alias("_ta"), F.col("phase").alias("_tp"))
+    return a.join(b, keys).select(*keys, (F.col("amplitude") * F.signum("_ta") * F.cos(2 * math.pi * (F.col("phase") - F.col("_tp")))).alias("seasonality"))
+
+
+def _fu(x: Column, w: Column) -> Column:
+    return 1 + x - F.pow(1 + F.pow(x, w), 1 / w)
+
+
 def budyko_w(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Fu's parameter by a grid search from 1.01 to 10 in steps of 0.01 over rows with x, y > 0; the grid is made in place."""
     d = df.where(f"{x} > 0 AND {y} > 0").select(*keys, x, y, F.explode(F.sequence(F.lit(101), F.lit(1000))).alias("_k")).withColumn("w", F.col("_k") / 100)
-    e = d.groupBy(*keys, "w").agg(F.avg((1 + F.col(x) - F.pow(1 + F.pow(x, F.col("w")), 1 / F.col("w")) - F.col(y)) ** 2).alias("_e"))
+    e = d.groupBy(*keys, "w").agg(F.avg((_fu(F.col(x), F.col("w")) - F.col(y)) ** 2).alias("_e"))
     return e.groupBy(*keys).agg(F.min(F.struct(F.round("_e", 12), F.col("w"))).alias("_b")).select(*keys, F.col("_b.w").alias("w"))
 
 
+def budyko_residual(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """w, the ratio it predicts at the mean of x over all rows, and how far the mean of y is above it."""
+    mean = df.groupBy(*keys).agg(F.avg(x).alias("_x"), F.avg(y).alias("_y"))
+    d = budyko_w(df, keys, x, y).join(mean, keys).withColumn("predicted", _fu(F.col("_x"), F.col("w")))
+    return d.select(*keys, "w", "predicted", (F.col("_y") - F.col("predicted")).alias("residual"))
+
+
 def baseflow_rows(df: DataFrame, keys: list[str], ts: str, col: str, a: float = 0.98, bfi_max: float = 0.8) -> DataFrame:
     """Each row with `base`: Eckhardt's filter b = min(q, ((1-B) a b' + (1-a) B q) / (1 - a B)), from b = q at a key's first value; nulls are passed over.
 

@@ -131,6 +131,10 @@ QUERIES = [
           f"WITH x AS (SELECT basin, sin({X}) AS s, cos({X}) AS c, p AS v FROM precip_daily), a AS (SELECT basin, avg(v) AS m, covar_pop(s,v) AS sv, covar_pop(c,v) AS cv, var_pop(s) AS ss, var_pop(c) AS cc, covar_pop(s,c) AS sc, avg(s) AS ms, avg(c) AS mc FROM x GROUP BY 1), b AS (SELECT *, (sv*cc-cv*sc)/(ss*cc-sc*sc) AS b1, (cv*ss-sv*sc)/(ss*cc-sc*sc) AS b2 FROM a) SELECT basin, m-b1*ms-b2*mc AS level, sqrt(b1*b1+b2*b2) AS amplitude, atan2(-b2,b1)/(2*pi()) - floor(atan2(-b2,b1)/(2*pi())) AS phase FROM b"),
     Query("c27_budyko", "basin:s w:f", lambda v: t.budyko_w(v.wb.groupBy("basin", F.year("d").alias("y")).agg((F.sum("t") / 100 / F.sum("p")).alias("x"), (F.sum("q") / F.sum("p") / 10).alias("e")), ["basin"], "x", "e"),
           "WITH y AS (SELECT basin, year(d) AS y, sum(t)/100/sum(p) AS x, sum(q)/sum(p)/10 AS e FROM wb GROUP BY 1, 2), g AS (SELECT basin, x, e, unnest(range(101, 1001))/100.0::DOUBLE AS w FROM y WHERE x>0 AND e>0), r AS (SELECT basin, w, avg(pow(1+x-pow(1+pow(x,w),1/w)-e,2)) AS err FROM g GROUP BY 1, 2) SELECT basin, w FROM r QUALIFY row_number() OVER (PARTITION BY basin ORDER BY round(err,12), w)=1"),
+    Query("c27_budyko_residual", "basin:s w:f predicted:f residual:f", lambda v: t.budyko_residual(v.wb.groupBy("basin", F.year("d").alias("y")).agg((F.sum("t") / 100 / F.sum("p")).alias("x"), (F.sum("q") / F.sum("p") / 10).alias("e")), ["basin"], "x", "e"),
+          "WITH y AS (SELECT basin, year(d) AS y, sum(t)/100/sum(p) AS x, sum(q)/sum(p)/10 AS e FROM wb GROUP BY 1, 2), g AS (SELECT basin, x, e, unnest(range(101, 1001))/100.0::DOUBLE AS w FROM y WHERE x>0 AND e>0), r AS (SELECT basin, w, avg(pow(1+x-pow(1+pow(x,w),1/w)-e,2)) AS err FROM g GROUP BY 1, 2), b AS (SELECT basin, w FROM r QUALIFY row_number() OVER (PARTITION BY basin ORDER BY round(err,12), w)=1), m AS (SELECT basin, avg(x) AS x, avg(e) AS e FROM y GROUP BY 1) SELECT basin, w, 1+x-pow(1+pow(x,w),1/w) AS predicted, e-(1+x-pow(1+pow(x,w),1/w)) AS residual FROM b JOIN m USING (basin)"),
+    Query("c26_clipped", "basin:s level:f amplitude:f phase:f", lambda v: t.sine_fit_clipped(v.precip_daily, ["basin"], "d", "p"), None),
+    Query("c26_clipped_index", "basin:s seasonality:f", lambda v: t.seasonality_index_clipped(v.precip_daily, ["basin"], "d"), None),
     Query("c28_baseflow", "basin:s bfi:f", lambda v: t.baseflow(v.flow_daily, ["basin"], "d", "q"),
           "WITH RECURSIVE o AS (SELECT basin, q, row_number() OVER (PARTITION BY basin ORDER BY d) AS i FROM flow_daily), r AS (SELECT basin, i, q AS b FROM o WHERE i=1 UNION ALL SELECT o.basin, o.i, least(o.q, (0.2*0.98*r.b+0.02*0.8*o.q)/(1-0.98*0.8)) FROM r JOIN o ON o.basin=r.basin AND o.i=r.i+1) SELECT r.basin, sum(b)/sum(o.q) AS bfi FROM r JOIN o ON o.basin=r.basin AND o.i=r.i GROUP BY r.basin"),
     *[Query(f"c29_pet_{m}", "basin:s d:d pet:f", lambda v, m=m: t.pet(v.precip_daily.withColumn("t", F.col("t") - 273.15), "d", "t", 51.0, m), f"WITH a AS (SELECT basin, d, t-273.15 AS t, 0.409*sin(2*pi()*dayofyear(d)/365-1.39) AS dec, dayofyear(d) AS j, radians(51.0) AS phi FROM precip_daily), w AS (SELECT *, acos(greatest(-1.0, least(1.0, -tan(phi)*tan(dec)))) AS ws FROM a), r AS (SELECT *, 24*60/pi()*0.0820*(1+0.033*cos(2*pi()*j/365))*(ws*sin(phi)*sin(dec)+cos(phi)*cos(dec)*sin(ws)) AS ra FROM w) SELECT basin, d, greatest(0, {e}) AS pet FROM r")
