@@ -37,21 +37,38 @@ def resource(url: Column) -> Column:
     return F.when(url.contains("://"), F.concat(url_host(url), F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)))
 
 
-def absolute(link: Column, url: Column) -> Column:
-    """A link resolved against its page: whole URLs, //host/..., /path and paths beside the page."""
-    base = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
-    folder = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*(?:/[^?#]*/|/)?)", 1)
-    return (F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link).when(link.startswith("//"), F.concat(F.lit("http:"), link))
-            .when(link.startswith("/"), F.concat(base, link)).when((link != "") & ~link.startswith("#"), F.concat(folder, link)))
+def plain_path(path: Column) -> Column:
+    """A path without `.` and `..` segments; `..` at the root stays there."""
+    parts = F.split(F.regexp_replace(path, r"(/\.\.?)$", "$1/"), "/")
+    step = lambda acc, x: F.when(x == ".", acc).when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).otherwise(F.concat(acc, F.array(x)))
+    done = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array(F.lit("")), step)
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.array_join(done, "/")).otherwise(path)
+
+
+def resolved(df: DataFrame, link: str, url: str, name: str) -> DataFrame:
+    """`name`: a link resolved against its page: whole URLs, //host/..., /path, ?query and paths beside the page, with . and .. segments.
+
+    Null for an empty link, one to a place in the page, or no URL."""
+    k, u = F.col(link), F.col(url)
+    df = df.withColumns({"_host": F.regexp_extract(u, r"(?s)^(.*?://[^/?#]*)", 1), "_scheme": F.regexp_extract(u, r"(?s)^(.*?:)//", 1), "_page": F.regexp_extract(u, r"(?s)^(.*?://[^?#]*)", 1), "_folder": F.regexp_extract(u, r"(?s)^.*?://[^/?#]*([^?#]*/)?", 1)})
+    beside = F.concat("_host", F.when(F.col("_folder") == "", "/").otherwise(F.col("_folder")), k)
+    whole = F.when(k.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), k).when(k.startswith("//"), F.concat("_scheme", k)).when(k.startswith("/"), F.concat("_host", k)).when(k.startswith("?"), F.concat("_page", k)).when((k != "") & ~k.startswith("#"), beside)
+    df = df.withColumn("_whole", whole).withColumns({f"_{i}": F.regexp_extract("_whole", r"(?s)^(.*?://[^/?#]*)([^?#]*)(.*)$", i) for i in (1, 2, 3)})
+    return df.withColumn(name, F.concat("_1", plain_path(F.col("_2")), "_3")).drop("_host", "_scheme", "_page", "_folder", "_whole", "_1", "_2", "_3")
 
 
 def html_aliases(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(url, alias) for canonical links and meta redirects in the pages' markup."""
-    h = F.col(html_col)
-    canon = F.regexp_extract_all(h, F.lit(r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]*)"""), F.lit(1))
-    fresh = F.regexp_extract_all(h, F.lit(r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?[^"'>]*?url\s*=\s*([^"'\s>]*)"""), F.lit(1))
-    rows = pages.where(h.rlike("(?i)canonical|http-equiv")).select(F.col(url_col).alias("url"), F.explode(F.concat(canon, fresh)).alias("link"))
-    return rows.select("url", absolute(F.col("link"), F.col("url")).alias("alias")).where("alias IS NOT NULL")
+    """(url, alias) for canonical links and meta redirects in the pages' markup.
+
+    What is in a comment, script or style does not count; links are resolved against the first <base href>, if there is one, else the page's URL.
+    """
+    rows = pages.where(F.col(html_col).rlike("(?i)canonical|http-equiv")).select(F.col(url_col).alias("url"), F.regexp_replace(html_col, r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)", "").alias("h"))
+    href = r"""[^>]*\bhref\s*=\s*["']?([^"'\s>]*)"""
+    canon = F.regexp_extract_all("h", F.lit(r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)""" + href), F.lit(1))
+    fresh = F.regexp_extract_all("h", F.lit(r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?[^"'>]*?url\s*=\s*([^"'\s>]*)"""), F.lit(1))
+    rows = rows.select("url", F.nullif(F.regexp_extract("h", r"(?is)<base\b" + href, 1), F.lit("")).alias("base"), F.explode(F.concat(canon, fresh)).alias("link"))
+    rows = resolved(rows, "base", "url", "from").withColumn("from", F.coalesce("from", "url"))
+    return resolved(rows, "link", "from", "alias").select("url", "alias").where("alias IS NOT NULL")
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html", redirects: DataFrame | None = None) -> DataFrame:
@@ -61,7 +78,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str
     canonical links, meta redirects and, if given, the rows of `redirects` (from_url, to_url) form a
     component; an explicit allow in it wins, else a block spreads to all, else the URL is allowed. via says
     which it was: rule, alias or default. A null URL, or one without ://, has an empty host and path and no
-    aliases. Repeated rows stay; other columns are not carried.
+    aliases; nor has a page whose html is null. URLs of any length are taken whole. Repeated rows stay; other
+    columns are not carried; an empty table gives an empty one.
     """
     url = F.col(url_col)
     rows = pages.select(F.col(id_col).alias("id"), url_host(url).alias("host"), url_path(url).alias("path"), resource(url).alias("res")).withColumn("own", best_rule(F.col("host"), F.col("path"), rules))

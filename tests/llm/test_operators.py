@@ -214,6 +214,18 @@ def test_language_odd(odd, none):
     assert {r.lang_pred for r in langid.predict_language(odd, None).collect()} == {"und"} and langid.predict_language(none, net).count() == 0
 
 
+def test_network_against_plain_convolution():
+    r = np.random.default_rng(8)
+    net = langid.ByteConvNet(["a", "b", "c"])
+    net.bias, net.base = r.normal(0, 1, net.bias.shape).astype(np.float32), r.normal(0, 1, 3).astype(np.float32)
+    x = r.integers(0, 256, (20, langid.WINDOW + langid.LOOK)).astype(np.uint8)
+    got = net.log_probs(x, net.tables())
+    for row, want in zip(x, got, strict=True):
+        pool = np.concatenate([[max(sum(float(k[j, row[i + j], f]) for j in range(w)) for i in range(langid.WINDOW)) for f in range(langid.FILTERS)] for w, k in zip(langid.WIDTHS, net.conv, strict=True)])
+        z = np.maximum(pool + net.bias, 0) @ net.dense + net.base
+        assert np.allclose(want, z - np.log(np.exp(z - z.max()).sum()) - z.max(), atol=1e-3)
+
+
 # 5: n-gram Jaccard join
 
 
@@ -547,6 +559,20 @@ def test_aliases(spark):
     assert got == {5: ("block", "alias")}
 
 
+def test_links_are_resolved(spark):
+    cases = [("http://a.org/x/y/z", "../w", "http://a.org/x/w"), ("http://a.org/x/y", "./w", "http://a.org/x/w"), ("http://a.org/x", "../../w?a=../b", "http://a.org/w?a=../b"), ("http://a.org", "w", "http://a.org/w"), ("https://a.org/x", "//B.org/q/..", "https://B.org/"), ("http://a.org/x?q", "?r", "http://a.org/x?r"),
+             ("http://a.org/x", "/y/./z", "http://a.org/y/z"), ("http://a.org/x", "http://b.org/a..b/c.", "http://b.org/a..b/c."), ("http://a.org/x", "#top", None), ("http://a.org/x", "", None), ("http://a.org/x", None, None)]
+    d = spark.createDataFrame([(i, u, k) for i, (u, k, _) in enumerate(cases)], "i int, url string, link string")
+    got = {r.i: r.a for r in urls.resolved(d, "link", "url", "a").collect()}
+    assert [got[i] for i in range(len(cases))] == [w for _, _, w in cases]
+    blocked = '<link rel="canonical" href="http://x.net/es/1">'
+    rows = [(1, "http://a.org/1", f"<!-- {blocked} -->"), (2, "http://a.org/2", f"<script>{blocked}</script >"), (3, "http://a.org/3", f"<!-- {blocked}"), (4, "http://a.org/4", '<base href="http://x.net/es/a/"><link rel="canonical" href="../b">'), (5, "http://a.org/5", f"<!-- x -->{blocked}"), (5, "http://a.org/5", f"<!-- x -->{blocked}"), (6, "http://a.org/" + "z" * 1_000_000, blocked), (None, "http://a.org/5", None)]
+    d = spark.createDataFrame([(*r, "h", "v") for r in rows], "page_id long, url string, html string, host string, verdict string")
+    got = sorted((r.page_id or 0, r.verdict) for r in urls.judge_urls(d, urls.RULES).collect())
+    assert got == [(0, "block"), (1, "allow"), (2, "allow"), (3, "allow"), (4, "block"), (5, "block"), (5, "block"), (6, "block")]
+    assert urls.judge_urls(d.where("false"), urls.RULES).count() == 0
+
+
 # the pipeline
 
 
