@@ -62,7 +62,7 @@ QUERIES = [
     Query("d32_pareto", "id:i f1:f f2:f", lambda v: x.pareto_front(v.solutions, "f1", "f2"), "SELECT * FROM solutions a WHERE NOT EXISTS (SELECT 1 FROM solutions b WHERE b.f1>=a.f1 AND b.f2>=a.f2 AND (b.f1>a.f1 OR b.f2>a.f2))"),
     Query("d32_pareto_ranks", "id:i front:i", lambda v: x.pareto_ranks(v.solutions, ["f1", "f2"], 500), FRONTS.format(d="b.f1>=a.f1 AND b.f2>=a.f2 AND (b.f1>a.f1 OR b.f2>a.f2)", s="solutions")),
     Query("d32_three_objectives", "id:i front:i", lambda v: x.pareto_ranks(v.solutions.withColumn("f3", F.col("id") * 37 % 101), ["f1", "f2", "f3"]), FRONTS.format(d="b.f1>=a.f1 AND b.f2>=a.f2 AND b.f3>=a.f3 AND (b.f1>a.f1 OR b.f2>a.f2 OR b.f3>a.f3)", s="(SELECT *, id*37%101 AS f3 FROM solutions)")),
-    Query("d33_crowding", "id:i crowding:f", lambda v: x.crowding_distance(v.solutions.withColumn("g", F.col("id") % 5), ["g"], "id", ["f1", "f2"]).where("crowding < 1e300"), "WITH s AS (SELECT id, id%5 AS g, f1, f2 FROM solutions), c AS (SELECT id, (lead(f1) OVER (PARTITION BY g ORDER BY f1, id)-lag(f1) OVER (PARTITION BY g ORDER BY f1, id))/(max(f1) OVER (PARTITION BY g)-min(f1) OVER (PARTITION BY g)) AS a, (lead(f2) OVER (PARTITION BY g ORDER BY f2, id)-lag(f2) OVER (PARTITION BY g ORDER BY f2, id))/(max(f2) OVER (PARTITION BY g)-min(f2) OVER (PARTITION BY g)) AS b FROM s) SELECT id, a+b AS crowding FROM c WHERE a IS NOT NULL AND b IS NOT NULL"),
+    Query("d33_crowding", "id:i crowding:f boundary:b", lambda v: x.crowding_distance(v.solutions.withColumn("g", F.col("id") % 5), ["g"], "id", ["f1", "f2"]).selectExpr("id", "CASE WHEN crowding < 1e300 THEN crowding END AS crowding", "crowding >= 1e300 AS boundary"), "WITH s AS (SELECT id, id%5 AS g, f1, f2 FROM solutions), c AS (SELECT id, (lead(f1) OVER (PARTITION BY g ORDER BY f1, id)-lag(f1) OVER (PARTITION BY g ORDER BY f1, id))/(max(f1) OVER (PARTITION BY g)-min(f1) OVER (PARTITION BY g)) AS a, (lead(f2) OVER (PARTITION BY g ORDER BY f2, id)-lag(f2) OVER (PARTITION BY g ORDER BY f2, id))/(max(f2) OVER (PARTITION BY g)-min(f2) OVER (PARTITION BY g)) AS b FROM s) SELECT id, a+b AS crowding, a IS NULL OR b IS NULL AS boundary FROM c"),
     Query("d34_composite", "id:i composite:f", lambda v: x.composite_best(v.solutions.selectExpr("id", "f1 / 2000 AS nse", "f2 / 50 AS kge"), "id", "nse", "kge"), "SELECT id, (f1/2000+1)/2+(f2/50+1)/2 AS composite FROM solutions ORDER BY 2 DESC, 1 LIMIT 1"),
     Query("d34_knee", "id:i distance:f", lambda v: x.knee_point(x.pareto_front(v.solutions, "f1", "f2"), "id", "f1", "f2"), "WITH p AS (SELECT * FROM solutions a WHERE NOT EXISTS (SELECT 1 FROM solutions b WHERE b.f1>=a.f1 AND b.f2>=a.f2 AND (b.f1>a.f1 OR b.f2>a.f2))), b AS (SELECT min(f1) AS a1, max(f1) AS b1, min(f2) AS a2, max(f2) AS b2 FROM p) SELECT id, sqrt(pow(1-CASE WHEN b1>a1 THEN (f1-a1)/(b1-a1) ELSE 1 END,2)+pow(1-CASE WHEN b2>a2 THEN (f2-a2)/(b2-a2) ELSE 1 END,2)) AS distance FROM p, b ORDER BY 2, 1 LIMIT 1"),
     Query("d35_diversity", "label:i mean_distance:f", lambda v: x.mean_pairwise_distance(v.table("embeddings"), ["label"], "embedding"), "SELECT a.label, avg(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: pow(z[1]::DOUBLE - z[2]::DOUBLE, 2))))) FILTER (a.vec_id < b.vec_id) AS mean_distance FROM embeddings a JOIN embeddings b ON a.label = b.label GROUP BY a.label"),
@@ -77,7 +77,7 @@ QUERIES = [
     Query("g03_water_table", "vec_id:i depth:f", lambda v: layers(v).select("vec_id", la.water_table(F.col("s"), F.col("a"), 0.8).alias("depth")), f"WITH l AS ({LAYERS}), c AS (SELECT vec_id, s, {CUM} AS c FROM l) SELECT vec_id, coalesce(list_max(list_transform(list_filter(range(1, len(c)+1), lambda i: s[i]>=0.8::DOUBLE), lambda i: c[i])), list_max(c)) AS depth FROM c"),
     Query("g04_components", "l_orderkey:i l_linenumber:i total:f", lambda v: la.sum_components(v.samples, ["p1", "p2", "p9"], "total"), "SELECT l_orderkey, l_linenumber, p1+p2 AS total FROM samples"),
     Query("g05_snow_cover", "cell_id:i sca:f", lambda v: v.cells.select("cell_id", la.snow_cover(F.when(F.col("cls") > 8, F.col("cls") / 17.0), F.col("elev") - 1100).alias("sca")), "SELECT cell_id, CASE WHEN cls>8 THEN cls/17.0::DOUBLE WHEN elev-1100>1 THEN 1 ELSE 0 END AS sca FROM cells"),
-    Query("g07_rescale", "vec_id:i first:f last:f", lambda v: layers(v).select("vec_id", la.rescale_depths(F.col("a"), 1.5, 0.7).alias("r")).selectExpr("vec_id", "r[0] AS first", "r[5] AS last"), f"WITH l AS ({LAYERS}), w AS (SELECT vec_id, a, (exp(0)+exp(0.14)+exp(0.28)+exp(0.42)+exp(0.56)+exp(0.7))/6 AS m FROM l) SELECT vec_id, a[1]*1.5/m AS first, a[6]*1.5*exp(0.7)/m AS last FROM w"),
+    Query("g07_rescale", "vec_id:i " + " ".join(f"r{i}:f" for i in range(6)), lambda v: layers(v).select("vec_id", la.rescale_depths(F.col("a"), 1.5, 0.7).alias("r")).selectExpr("vec_id", *[f"r[{i}] AS r{i}" for i in range(6)]), f"WITH l AS ({LAYERS}), w AS (SELECT vec_id, a, (exp(0)+exp(0.14)+exp(0.28)+exp(0.42)+exp(0.56)+exp(0.7))/6 AS m FROM l) SELECT vec_id, " + ", ".join(f"a[{i + 1}]*1.5*exp(0.7*{i}/5)/m AS r{i}" for i in range(6)) + " FROM w"),
     Query("f01_union", "basin:s d:d q:f p:f", lambda v: st.union_all([v.flow_daily, v.precip_daily.drop("t")]), "SELECT basin, d, q, NULL AS p FROM flow_daily UNION ALL SELECT basin, d, NULL, p FROM precip_daily"),
     Query("f02_common", "basin:s d:d", lambda v: st.common_keys([v.flow_daily, v.sim_daily, v.precip_daily], ["basin", "d"]), "SELECT basin, d FROM flow_daily INTERSECT SELECT basin, d FROM sim_daily"),
     Query("f03_missing", "basin:s d:d", lambda v: st.missing_keys(v.sim_daily, v.flow_daily, ["basin", "d"]), "SELECT basin, d FROM sim_daily EXCEPT SELECT basin, d FROM flow_daily"),

@@ -76,7 +76,8 @@ QUERIES = [
     Query("e12_fractions", "unit_id:i cls:i fraction:f dominant:i shannon:f", lambda v: s.class_fractions(inzone(v), ["unit_id"], "cls"), "WITH n AS (SELECT unit_id, cls, count(*) AS n FROM inzone GROUP BY 1, 2), f AS (SELECT *, n/sum(n) OVER (PARTITION BY unit_id) AS f FROM n), d AS (SELECT unit_id, cls AS dominant FROM n QUALIFY row_number() OVER (PARTITION BY unit_id ORDER BY n DESC, cls)=1) SELECT f.unit_id, cls, f AS fraction, dominant, -sum(f*ln(f)) OVER (PARTITION BY f.unit_id) AS shannon FROM f JOIN d ON d.unit_id=f.unit_id"),
     Query("e13_irrigation", "unit_id:i cropland:f irrigated:f intensity:f", lambda v: s.irrigation(inzone(v), ["unit_id"], "cls"), "SELECT unit_id, c AS cropland, i AS irrigated, CASE WHEN c>0 THEN i/c END AS intensity FROM (SELECT unit_id, avg(CASE WHEN cls IN (1,2,3) THEN 1.0::DOUBLE ELSE 0 END) AS c, avg(CASE WHEN cls IN (2,3) THEN 1.0::DOUBLE ELSE 0 END) AS i FROM inzone GROUP BY 1)"),
     Query("e14_diversity", "unit_id:i shannon:f simpson:f classes:i", lambda v: s.diversity(inzone(v), ["unit_id"], "cls"), "WITH f AS (SELECT unit_id, cls, count(*)/sum(count(*)) OVER (PARTITION BY unit_id) AS f FROM inzone GROUP BY 1, 2) SELECT unit_id, -sum(f*ln(f)) AS shannon, 1-sum(f*f) AS simpson, count(*) AS classes FROM f GROUP BY 1"),
-    Query("e15_heights", "unit_id:i n:i p5:f p50:f p95:f tall_share:f", lambda v: s.height_distribution(inzone(v), ["unit_id"], "elev", 1200.0), "SELECT unit_id, count(*) AS n, quantile_cont(elev,0.05) AS p5, median(elev) AS p50, quantile_cont(elev,0.95) AS p95, avg(CASE WHEN elev>=1200 THEN 1.0::DOUBLE ELSE 0 END) AS tall_share FROM inzone GROUP BY 1 HAVING count(*)>10"),
+    Query("e15_heights", "unit_id:i n:i skew:f kurt:f p5:f p25:f p50:f p75:f p95:f tall_share:f", lambda v: s.height_distribution(inzone(v), ["unit_id"], "elev", 1200.0), "WITH m AS (SELECT unit_id, elev, elev-avg(elev) OVER (PARTITION BY unit_id) AS x FROM inzone) SELECT unit_id, count(*) AS n, avg(x*x*x)/pow(avg(x*x),1.5) AS skew, avg(x*x*x*x)/pow(avg(x*x),2)-3 AS kurt, "
+          + ", ".join(f"quantile_cont(elev,{p / 100}) AS p{p}" for p in (5, 25, 50, 75, 95)) + ", avg(CASE WHEN elev>=1200 THEN 1.0::DOUBLE ELSE 0 END) AS tall_share FROM m GROUP BY 1 HAVING count(*)>10"),
     Query("e16_weighted", "unit_id:i w_mean:f w_std:f lo:f hi:f", lambda v: s.weighted_stats(inzone(v), ["unit_id"], "elev", "cls"), "WITH m AS (SELECT unit_id, sum(elev*cls)/sum(cls) AS m FROM inzone GROUP BY 1) SELECT i.unit_id, max(m) AS w_mean, sqrt(sum(cls*(elev-m)*(elev-m))/sum(cls)) AS w_std, min(elev) AS lo, max(elev) AS hi FROM inzone i JOIN m ON m.unit_id=i.unit_id GROUP BY 1"),
     Query("e18_line_density", "unit_id:i n:i total:f density:f", lambda v: s.line_density(v.network, v.zones.withColumn("area", (F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin"))), "unit_id", "length"), "SELECT z.unit_id, count(seg) AS n, coalesce(sum(length),0) AS total, coalesce(sum(length),0)/max((xmax-xmin)*(ymax-ymin)) AS density FROM zones z LEFT JOIN network n ON n.unit_id=z.unit_id GROUP BY 1"),
     Query("e19_lakes", "unit_id:i n:i total_area:f median:f mean_depth:f largest:i", lambda v: s.lake_stats(inzone(v), ["unit_id"], "elev", "cls", "cell_id"), "SELECT unit_id, count(*) AS n, sum(elev) AS total_area, median(elev) AS median, sum(elev*cls)/sum(elev) AS mean_depth, first(cell_id ORDER BY elev DESC, cell_id) AS largest FROM inzone GROUP BY 1"),

@@ -2,6 +2,7 @@
 
 import os
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..scratch import stored
@@ -10,6 +11,7 @@ from ..streaming import gauges as g
 from .base import Query
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+BASINS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 
 def scratch(v) -> str:
@@ -84,16 +86,17 @@ QUERIES = [
     Query("a05_unpivot_monthly", "station:s d:d flow:f", lambda v: r.unpivot_monthly(v.flow_daily.groupBy(F.col("basin").alias("STATION_NUMBER"), F.year("d").alias("YEAR"), F.month("d").alias("MONTH")).agg(*[x for i in range(1, 32) for x in (F.max(F.when(F.dayofmonth("d") == i, F.col("q"))).alias(f"FLOW{i}"), F.lit(None).cast("string").alias(f"SYMBOL{i}"))])), "SELECT basin AS station, d, q AS flow FROM flow_daily"),
     Query("a06_json", "event_id:i k:s", lambda v: v.table("events").select("event_id", F.element_at(F.map_keys(F.from_json("props", "map<string,string>")), 1).alias("k")), "SELECT event_id, json_keys(props)[1] AS k FROM events"),
     Query("a10_forcing", "unit_id:i time:t p:f t:f", lambda v: _forcing(v), "SELECT c.n AS unit_id, CAST(d AS TIMESTAMP) AS time, p, CASE WHEN year(d)>1997 THEN t END AS t FROM precip_daily p JOIN (SELECT basin, row_number() OVER (ORDER BY basin) AS n FROM (SELECT DISTINCT basin FROM precip_daily)) c ON c.basin=p.basin"),
-    Query("a12_wide_long", "d:d reach:s value:f", lambda v: r.read_wide(v.flow_daily.groupBy("d").pivot("basin", ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]).agg(F.first("q")), "d").where("value IS NOT NULL"), "SELECT d, basin AS reach, q AS value FROM flow_daily"),
+    Query("a12_wide_long", "d:d reach:s value:f", lambda v: r.read_wide(v.flow_daily.groupBy("d").pivot("basin").agg(F.first("q")), "d"), "SELECT d, basin AS reach, q AS value FROM (SELECT DISTINCT d FROM flow_daily) CROSS JOIN (SELECT DISTINCT basin FROM flow_daily) LEFT JOIN flow_daily USING (basin, d)"),
     Query("a13_write_read", "seg:i down:i length:f unit_id:i", lambda v: _round_trip(v), "SELECT seg, down, length, unit_id FROM network"),
-    Query("a14_matrix", "d:d BUILDING:f MACHINERY:f", lambda v: r.unit_matrix(v.flow_daily, "d", "basin", "q", ["BUILDING", "MACHINERY"]).where("BUILDING IS NOT NULL OR MACHINERY IS NOT NULL"), "SELECT d, round(max(CASE WHEN basin='BUILDING' THEN q END)+1e-12,3) AS BUILDING, round(max(CASE WHEN basin='MACHINERY' THEN q END)+1e-12,3) AS MACHINERY FROM flow_daily WHERE basin IN ('BUILDING','MACHINERY') GROUP BY 1"),
+    Query("a14_matrix", "d:d " + " ".join(f"{b}:f" for b in BASINS), lambda v: r.unit_matrix(v.flow_daily, "d", "basin", "q", BASINS), "SELECT d, " + ", ".join(f"round(max(CASE WHEN basin='{b}' THEN q END)+1e-12,3) AS {b}" for b in BASINS) + " FROM flow_daily GROUP BY 1"),
 ]
 
 
 def _forcing(v):
     path = scratch(v)
-    ids = F.expr("CASE basin WHEN 'AUTOMOBILE' THEN 1 WHEN 'BUILDING' THEN 2 WHEN 'FURNITURE' THEN 3 WHEN 'HOUSEHOLD' THEN 4 ELSE 5 END").cast("long")
-    d = v.precip_daily.select(ids.alias("unit_id"), F.col("d").cast("timestamp_ntz").alias("time"), "p", "t")
+    ids = v.precip_daily.select("basin").distinct()
+    ids = ids.withColumn("unit_id", F.row_number().over(Window.orderBy("basin")).cast("long"))  # a row a basin
+    d = v.precip_daily.join(ids, "basin").select("unit_id", F.col("d").cast("timestamp_ntz").alias("time"), "p", "t")
     d.where("year(time) <= 1997").drop("t").write.parquet(f"{path}/a")
     d.where("year(time) >= 1998").write.parquet(f"{path}/b")
     return r.read_forcing(v.spark, f"{path}/*")

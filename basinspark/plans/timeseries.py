@@ -141,7 +141,7 @@ QUERIES = [
       for m, e in (("oudin", "CASE WHEN t > -5 THEN 0.408*ra*(t+5)/100 ELSE 0 END"), ("hamon", "0.1651*(ws*24/pi()/12)*(216.7*6.108*exp(17.27*t/(t+237.3))/(t+273.3))"), ("hargreaves", "0.0023*0.408*ra*(t+17.8)*sqrt(10)"))],
     Query("c30_snow", "basin:s d:d swe:f", lambda v: t.snow_bucket(v.precip_daily, ["basin"], "d", "p", "t"), "WITH s AS (SELECT basin, d, sum(CASE WHEN t<273.15 THEN p ELSE -3.0*(t-273.15) END) OVER (PARTITION BY basin ORDER BY d) AS w FROM precip_daily) SELECT basin, d, w-least(0, min(w) OVER (PARTITION BY basin ORDER BY d)) AS swe FROM s"),
     Query("c31_growing_season", "basin:s months:i first_month:i last_month:i peak_month:i amplitude:f variation:f", lambda v: t.growing_season(v.precip_daily, ["basin"], "d", "t"), "WITH m AS (SELECT basin, month(d) AS m, avg(t) AS v FROM precip_daily GROUP BY 1, 2), b AS (SELECT *, min(v) OVER w AS a, max(v) OVER w AS z FROM m WINDOW w AS (PARTITION BY basin)) SELECT basin, count(*) FILTER (v>=a+0.5*(z-a)) AS months, min(m) FILTER (v>=a+0.5*(z-a)) AS first_month, max(m) FILTER (v>=a+0.5*(z-a)) AS last_month, arg_max(m, v) AS peak_month, max(v)-min(v) AS amplitude, stddev_pop(v)/avg(v) AS variation FROM b GROUP BY basin"),
-    Query("c32_sequences", "basin:s d:d first:f last:f y:f", lambda v: t.sequences(v.wb, ["basin"], "d", ["p", "t"], "q", 5).selectExpr("basin", "d", "x_p[0] AS first", "x_t[4] AS last", "y"), "WITH z AS (SELECT basin, d, greatest(-10, least(10, (p-avg(p) OVER w)/stddev_pop(p) OVER w)) AS p, greatest(-10, least(10, (t-avg(t) OVER w)/stddev_pop(t) OVER w)) AS t, greatest(-10, least(10, (q-avg(q) OVER w)/stddev_pop(q) OVER w)) AS q FROM wb WINDOW w AS (PARTITION BY basin)) SELECT basin, d, lag(p, 5) OVER o AS first, lag(t) OVER o AS last, q AS y FROM z WINDOW o AS (PARTITION BY basin ORDER BY d) QUALIFY row_number() OVER o > 5"),
+    Query("c32_sequences", "basin:s d:d " + " ".join(f"{c}{i}:f" for c in "pt" for i in range(1, 6)) + " y:f", lambda v: t.sequences(v.wb, ["basin"], "d", ["p", "t"], "q", 5).selectExpr("basin", "d", *[f"x_{c}[{i - 1}] AS {c}{i}" for c in "pt" for i in range(1, 6)], "y"), "WITH z AS (SELECT basin, d, greatest(-10, least(10, (p-avg(p) OVER w)/stddev_pop(p) OVER w)) AS p, greatest(-10, least(10, (t-avg(t) OVER w)/stddev_pop(t) OVER w)) AS t, greatest(-10, least(10, (q-avg(q) OVER w)/stddev_pop(q) OVER w)) AS q FROM wb WINDOW w AS (PARTITION BY basin)) SELECT basin, d, " + ", ".join(f"lag({c}, {6 - i}) OVER o AS {c}{i}" for c in "pt" for i in range(1, 6)) + ", q AS y FROM z WINDOW o AS (PARTITION BY basin ORDER BY d) QUALIFY row_number() OVER o > 5"),
     Query("c33_thin", "basin:s d:d q:f", lambda v: t.thin(v.flow_daily, ["basin"], "d", "q", 500), "SELECT basin, d, q FROM flow_daily QUALIFY (row_number() OVER (PARTITION BY basin ORDER BY d)-1) % greatest(1, ceil(count(*) OVER (PARTITION BY basin)/500.0)) = 0"),
     Query("c34_assemble", "basin:s d:d p:f t:f q:f", lambda v: t.assemble({"a": v.precip_daily, "b": v.flow_daily}, ["basin"], "d"), "WITH b AS (SELECT basin, greatest(a1, a2) AS a, least(b1, b2) AS b FROM (SELECT basin, min(d) AS a1, max(d) AS b1 FROM precip_daily GROUP BY 1) JOIN (SELECT basin, min(d) AS a2, max(d) AS b2 FROM flow_daily GROUP BY 1) USING (basin)), s AS (SELECT basin, CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS d FROM b) SELECT s.basin, s.d, p, t, q FROM s LEFT JOIN precip_daily p ON p.basin=s.basin AND p.d=s.d LEFT JOIN flow_daily f ON f.basin=s.basin AND f.d=s.d"),
     Query("c35_nearest_join", "site:i ts:t value:f", lambda v: t.nearest_join(v.obs_event.where("variable = 'click'").select("site", "ts").distinct(), v.obs_event.where("variable = 'view'").groupBy("site", "ts").agg(F.max("value").alias("value")), ["site"], "ts", "value", 6 * 3600),
