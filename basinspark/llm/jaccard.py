@@ -18,7 +18,7 @@ RECORD = np.dtype([("low", "u4"), ("digest", "u8")])
 DEALT = np.dtype([("sig", "u8"), ("digest", "u8")])
 SECOND = 3  # second-level parts of a first-level part; every two of them make a signature
 FAMILIES = 3  # independent partitions of the domain that sets with too many empty signatures go through
-LOCAL = 64  # a task's sets of one signature that meet in one place; more are dealt out
+LOCAL = 64  # a task's sets of one signature that meet in one place, more are dealt out; sets of one signature that are all compared
 BLOCK = 512  # sets of one signature that are compared at once with as many
 LEAST = 32  # of a set's signatures that it takes along to see at which of them a pair meets first
 
@@ -322,6 +322,34 @@ def compared_in_blocks(mixed: DataFrame, info: DataFrame, t: Fraction) -> DataFr
     return cells.mapInArrow(run, "a long, b long").distinct()
 
 
+def rare_features(sets: DataFrame, items: DataFrame, t: Fraction) -> DataFrame:
+    """(sig, digest) of features of the sets (column digest), such that two of them of similarity t share one.
+
+    The features are put in one order, those of few of these sets first. Two similar sets share one among the first
+    n - ceil(2t / (1 + t) n) + 1 of the smaller and the first n - ceil(t n) + 1 of the larger. So sets that have a
+    passage in common and are else unlike do not meet in it. Features that one set alone has are counted, not listed.
+    """
+    p, q = t.numerator, t.denominator
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 64):
+                piece = b.slice(i, 64)
+                own = [np.frombuffer(x.as_buffer(), np.int64) for x in piece.column("items")]
+                n = np.array([len(x) for x in own])
+                yield pa.RecordBatch.from_pydict({"sig": pa.array(np.concatenate(own)), "digest": pa.array(np.repeat(piece.column("digest").to_numpy(), n)), "n": pa.array(np.repeat(n, n))})
+
+    each = stored(items.join(sets, "digest", "left_semi").mapInArrow(run, "sig long, digest long, n long"))
+    shared = each.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1")
+    own = each.join(shared, "sig").groupBy("digest", "n").agg(F.sort_array(F.collect_list(F.struct("c", "sig"))).alias("f"))
+    own = own.withColumn("alone", F.col("n") - F.size("f")).withColumn("most", F.expr(f"n - (n * {p} + {q - 1}) div {q} + 1 - alone")).where("most > 0")
+    took = own.select("digest", "n", "alone", F.posexplode(F.slice("f", 1, F.col("most").cast("int"))).alias("i", "f"))
+    took = stored(took.select("f.sig", "digest", F.expr(f"alone + i <= n - (n * {2 * p} + {p + q - 1}) div {p + q}").alias("least")))
+    dropped(each)
+    kept = took.groupBy("sig").agg(F.count("*").alias("c"), F.max("least").alias("least")).where("c > 1 AND least").select("sig")
+    return took.join(kept, "sig").select("sig", "digest")
+
+
 def mixed_signatures(members: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
     """(sig, digest, comp, main, size, odd, pivot) of the signatures that sets of different components have. The pivot is of another component than main."""
     now = members.withColumn("comp", F.col("digest")) if labels is None else members.join(labels, "digest")
@@ -339,7 +367,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     without words, or null, is linked with nothing and its own component. Equal sets are one class; classes that share
     a signature are candidates. A signature's classes are first compared with one of them, the pivot; while that joins
     most of what is still apart, another pivot of another component follows; in the end all classes of a signature that are
-    still in different components are compared in blocks. So no link between components is missed and none
+    still in different components are compared in blocks, those of signatures of more than LOCAL sets only where they also share
+    one of their rare features. So no link between components is missed and none
     inside a component is looked for. Sketches turn pairs down before the sets themselves are compared. n_links counts the
     links found, copies included as one. component_id is the least id that is not null; a row whose id is
     null has the component of its text's links, null if there are none. A repeated id is one document for each of its rows: each row
@@ -367,6 +396,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             if not left:
                 break
             if blocks:
+                hot = stored(mixed.where(F.col("size") > LOCAL).select("digest").distinct())
+                if not hot.isEmpty():
+                    finer, coarse = mixed.where(F.col("size") <= LOCAL).select("sig", "digest").unionByName(rare_features(hot, items, t)), mixed
+                    mixed = stored(mixed_signatures(finer, labels, turn))
+                    dropped(coarse)
                 pairs = compared_in_blocks(mixed, info, t)
             else:
                 pairs = mixed.where("digest <> pivot").join(mixed.select("sig", F.col("digest").alias("pivot"), F.col("comp").alias("other")), ["sig", "pivot"]).where("comp <> other")
