@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -224,44 +225,91 @@ def line_density(segments: DataFrame, areas: DataFrame, unit: str, length: str)
     return areas.join(s, unit, "left").select(unit, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("total", F.lit(0.0)).alias("total"), (F.coalesce("total", F.lit(0.0)) / F.col("area")).alias("density"))
 
 
+def _boxes(bins: DataFrame, halvings: int, name: str) -> DataFrame:
+    """Bins so many times twice as wide (columns name + i, j) with the box of what is in them (name + x0, x1, y0, y1)."""
+    up = [F.shiftright(c, halvings).alias(f"{name}{c[1:]}") for c in ("_i", "_j")]
+    return bins.groupBy(*up).agg(*[f(c).alias(f"{name}{c[1:]}") for c, f in (("_x0", F.min), ("_x1", F.max), ("_y0", F.min), ("_y1", F.max))])
+
+
+def near_bins(places: DataFrame, pieces: DataFrame, halvings: int) -> DataFrame:
+    """(_pi, _pj, _ni, _nj): for each bin of places the bins of pieces that may hold a piece nearest to one of its places.
+
+    Both frames have a row a bin (_i, _j) with the box of what is in it (_x0, _x1, _y0, _y1). All bins of the coarsest grid meet; in each finer
+    one only the parts of what was kept do. Kept is what is no farther than the least distance within which there surely is a piece.
+    """
+    pairs, bins = None, ["_pi", "_pj", "_ni", "_nj"]
+    for k in range(halvings, -1, -1):
+        p, n = _boxes(places, k, "_p"), _boxes(pieces, k, "_n")
+        if pairs is None:
+            both = p.crossJoin(F.broadcast(n)).withColumn("_most", F.lit(float("inf")))
+        else:
+            of = lambda d, i, j: d.withColumns({"_ui": F.shiftright(i, 1), "_uj": F.shiftright(j, 1)})
+            both = pairs.withColumnsRenamed({"_pi": "_ui", "_pj": "_uj"}).join(of(p, "_pi", "_pj"), ["_ui", "_uj"]).drop("_ui", "_uj")
+            both = both.withColumnsRenamed({"_ni": "_ui", "_nj": "_uj"}).join(of(n, "_ni", "_nj"), ["_ui", "_uj"])
+        gap = [F.greatest(F.lit(0.0), F.col(f"_n{c}0") - F.col(f"_p{c}1"), F.col(f"_p{c}0") - F.col(f"_n{c}1")) for c in "xy"]
+        far = [F.greatest(F.col(f"_n{c}1") - F.col(f"_p{c}0"), F.col(f"_p{c}1") - F.col(f"_n{c}0")) for c in "xy"]
+        both = both.select(*bins, "_most", *[(x * x + y * y).alias(c) for c, (x, y) in (("_low", gap), ("_high", far))]).where("_low <= _most")
+        both = both.withColumn("_most", F.min("_high").over(W.partitionBy("_pi", "_pj")) * (1 + 1e-9))
+        pairs = stored(both.where("_low <= _most").select(*bins, "_most"))
+    return pairs.select(*bins)
+
+
 def nearest_segment(points: DataFrame, segments: DataFrame, key: str = "seg") -> DataFrame:
     """Each point (x, y and other columns) with the nearest of the segments (key, x1, y1, x2, y2) and its distance, ties to the
-    lowest key. A point without coordinates, and any point where there are no segments, gets nulls.
+    lowest key. A point without finite coordinates, and any point where there are no segments with such, gets nulls.
 
-    Places meet segments in square bins: a segment is in every bin within a bin's width of it, so that what is found within a
-    width is the nearest. Places with nothing so near try again in bins four times as wide.
+    Segments are cut into pieces no longer than a bin is wide, at most three a segment on average; bins are halved while many
+    pieces share one. Bins of places find the bins of pieces that may be nearest (`near_bins`), from coarse to fine, so that a
+    place far from all segments meets the pieces of a few bins too. Equal segments count once.
     """
     ends = ["x1", "y1", "x2", "y2"]
-    s = stored(segments.select(F.col(key).alias("_id"), *[F.col(c).cast("double").alias(c) for c in ends]).dropna(subset=ends))
+    sound = lambda d, cs: d.dropna(subset=cs).where(" AND ".join(f"abs({c}) < double('Infinity')" for c in cs))
+    s = sound(segments.select(F.col(key).alias("_id"), *[F.col(c).cast("double").alias(c) for c in ends]), ends)
+    s = stored(s.groupBy(*ends).agg(F.min("_id").alias("_id")))
     rows = points.withColumns({"_x": F.col("x").cast("double"), "_y": F.col("y").cast("double")})
-    left = stored(rows.select("_x", "_y").dropna().distinct())
-    low = lambda c: F.least(f"{c}1", f"{c}2")
-    high = lambda c: F.greatest(f"{c}1", f"{c}2")
-    n, side, *box = s.agg(F.count("*"), F.avg(F.greatest(high("x") - low("x"), high("y") - low("y"))), F.min(low("x")), F.max(high("x")), F.min(low("y")), F.max(high("y"))).first()
-    mine = left.agg(F.min("_x"), F.max("_x"), F.min("_y"), F.max("_y")).first()
+    places = stored(sound(rows.select("_x", "_y"), ["_x", "_y"]).distinct())
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    side = F.greatest(F.abs(dx), F.abs(dy))
+    n, total, *box = s.agg(F.count("*"), F.sum(side), *[f(g(f"{c}1", f"{c}2")) for c in "xy" for f, g in ((F.min, F.least), (F.max, F.greatest))]).first()
+    mine = places.agg(*[f(c) for c in ("_x", "_y") for f in (F.min, F.max)]).first()
     none = [F.lit(None).cast(s.schema["_id"].dataType).alias(key), F.lit(None).cast("double").alias("distance")]
     if not n or mine[0] is None:
         return points.select("*", *none)
-    span = max(max(box[1], mine[1]) - min(box[0], mine[0]), max(box[3], mine[3]) - min(box[2], mine[2]))
-    width = max(side, span / n**0.5) or 1.0
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    along = ((F.col("_x") - F.col("x1")) * dx + (F.col("_y") - F.col("y1")) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))
-    t = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), along)), F.lit(0.0))
-    d2 = F.pow(F.col("x1") + t * dx - F.col("_x"), F.lit(2)) + F.pow(F.col("y1") + t * dy - F.col("_y"), F.lit(2))
-    out = None
+    x0, y0 = min(box[0], mine[0]), min(box[2], mine[2])
+    span, across = max(max(box[1], mine[1]) - x0, max(box[3], mine[3]) - y0), max(box[1] - box[0], box[3] - box[2])
+    slack = 1e-14 * max(map(abs, [*box, *mine]))  # coordinates of pieces are rounded
+
+    def cut(width: float) -> DataFrame:
+        many = F.greatest(F.lit(1), F.ceil(side / width)).cast("int")
+        d = s.withColumn("_m", many).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
+        a, b = F.col("_k") / F.col("_m"), (F.col("_k") + 1) / F.col("_m")
+        return d.select("_id", *ends, *[f(F.col(f"{c}1") + a * v, F.col(f"{c}1") + b * v).alias(f"_{c}{i}") for c, v in (("x", dx), ("y", dy)) for i, f in enumerate((F.least, F.greatest))])
+
+    def dealt(d: DataFrame, x: Column, y: Column, width: float) -> DataFrame:
+        return d.withColumns({"_i": F.floor((x - x0) / width), "_j": F.floor((y - y0) / width)})
+
+    middle = (F.col("_x0") + F.col("_x1")) / 2, (F.col("_y0") + F.col("_y1")) / 2
+    width, least = max(total / n, across / n**0.5) or 1.0, max(total / (2 * n), across * 2.0**-40)
     while True:
-        bins = lambda c: F.sequence(F.floor((low(c) - width) / width), F.floor((high(c) + width) / width))
-        dealt = s.withColumn("_bx", F.explode(bins("x"))).withColumn("_by", F.explode(bins("y")))
-        here = left.withColumns({"_bx": F.floor(F.col("_x") / width), "_by": F.floor(F.col("_y") / width)})
-        near = here.join(dealt, ["_bx", "_by"]).groupBy("_x", "_y").agg(F.min(F.struct(d2.alias("d2"), F.col("_id"))).alias("_n"))
-        last = width > 2 * span
-        found = stored(near if last else near.where(F.sqrt("_n.d2") < 0.999 * width))
-        out = found if out is None else out.unionByName(found)
-        left = stored(left.join(found, ["_x", "_y"], "left_anti"))
-        if last or left.isEmpty():
+        pieces = dealt(cut(width), *middle, width)
+        crowd = pieces.groupBy("_i", "_j").agg(F.count("*").cast("double").alias("_c")).agg(F.sum(F.col("_c") * F.col("_c")) / F.sum("_c")).first()[0]
+        if crowd <= 8 or width <= least:
             break
-        width *= 4
-    return rows.join(out, ["_x", "_y"], "left").select(*points.columns, F.col("_n._id").alias(key), F.sqrt("_n.d2").alias("distance"))
+        width = max(least, width / 2 ** max(1, math.ceil(math.log2(crowd / 8) / 2)))
+    pieces = stored(pieces)
+    here = dealt(places, F.col("_x"), F.col("_y"), width)
+    wide = {c: F.col(c) + (slack if c[-1] == "1" else -slack) for c in ("_x0", "_x1", "_y0", "_y1")}
+    bins = stored(_boxes(here.withColumns({"_x0": F.col("_x"), "_x1": F.col("_x"), "_y0": F.col("_y"), "_y1": F.col("_y")}), 0, "_"))
+    near = near_bins(bins, stored(_boxes(pieces.withColumns(wide), 0, "_")), max(0, math.ceil(math.log2(max(span / width, 1) / 16))))
+    some = near.join(pieces.select(F.col("_i").alias("_ni"), F.col("_j").alias("_nj"), "_id", *ends), ["_ni", "_nj"]).select(F.col("_pi").alias("_i"), F.col("_pj").alias("_j"), "_id", *ends)
+    along = ((F.col("_x") - F.col("x1")) * dx + (F.col("_y") - F.col("y1")) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))
+    t = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), along)), F.lit(0.0))
+    off = F.col("x1") + t * dx - F.col("_x"), F.col("y1") + t * dy - F.col("_y")
+    d2 = off[0] * off[0] + off[1] * off[1]
+    # the least distance first, then the lowest key at it: both sums of a fixed size, no sort of all that meets
+    best = stored(here.join(some, ["_i", "_j"]).groupBy("_x", "_y").agg(F.min(d2).alias("_d2")))
+    found = dealt(best, F.col("_x"), F.col("_y"), width).join(some, ["_i", "_j"]).where(d2 == F.col("_d2")).groupBy("_x", "_y", "_d2").agg(F.min("_id").alias("_id"))
+    return rows.join(found, ["_x", "_y"], "left").select(*points.columns, F.col("_id").alias(key), F.sqrt("_d2").alias("distance"))
 
 
 def nearest_zone(points: DataFrame, zones: DataFrame) -> DataFrame:
