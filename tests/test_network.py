@@ -90,3 +90,48 @@ def test_a_long_river_takes_few_rounds(spark, monkeypatch):
 def test_no_edges(spark):
     e = table(spark, [])
     assert N.downstream_order(e).count() == N.positions(e).count() == N.upstream(e, spark.range(3).selectExpr("id AS seg")).count() == 0
+
+
+def plain_upstream(edges, outlets):
+    up = {}
+    for a, b in edges:
+        if a != b and a is not None and b is not None:
+            up.setdefault(b, set()).add(a)
+    there = {x for b, s in up.items() for x in (b, *s)}
+    want = set()
+    for o in set(outlets) & there:
+        todo = [o]
+        while todo:
+            x = todo.pop()
+            if (o, x) not in want:
+                want.add((o, x))
+                todo += up.get(x, ())
+    return want
+
+
+def test_closures_of_trees_braids_and_cycles(spark):
+    r = random.Random(21)
+    ids = list(range(150))
+    r.shuffle(ids)
+    tree = [(ids[k], ids[r.randrange(max(0, k - 3), k)]) for k in range(1, 150)]
+    rings = [(a, b) for ring in ([200, 207, 201, 215], [230, 231], [240, 400, 241]) for a, b in zip(ring, ring[1:] + ring[:1], strict=True)]
+    rings += [(250, 207), (251, 250), (252, 251), (231, 260), (260, 261), (270, 400)]
+    braided = [(r.randrange(60), r.randrange(60)) for _ in range(80)]
+    for edges in (tree, [*tree, *rings], [*tree, *tree[:9], *((ids[9], ids[40]), (5, 5), (7, None))], braided, [*rings, (215, 252)]):
+        outlets = [ids[0], ids[20], ids[21], ids[90], 207, 230, 241, 260, 261, 252, 3, 999]
+        got = [(x.outlet, x.seg) for x in N.upstream(table(spark, edges), spark.createDataFrame([(o,) for o in [*outlets, 3]], "seg long"), 16).collect()]
+        assert len(got) == len(set(got)) and set(got) == plain_upstream(edges, outlets)
+
+
+def test_a_closure_writes_less_than_it_gives(spark, monkeypatch):
+    written, plain = [], N.stored
+
+    def counted(d):
+        out = plain(d)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(N, "stored", counted)
+    e = spark.range(1, 20001).selectExpr("id AS seg", "id - 1 AS down")
+    assert N.upstream(e, e.where("seg % 100 = 7").select("seg"), 3000).count() == sum(20001 - o for o in range(7, 20001, 100))
+    assert sum(written) < 10 * 20000
