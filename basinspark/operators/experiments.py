@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from functools import reduce
 
 import numpy as np
@@ -122,7 +123,8 @@ def pareto_ranks(df: DataFrame, objectives: list[str], block: int = 200_000) ->
     Equal rows share a front; a row with a null or NaN objective is in none. One objective: the rank among distinct
     values. Two: distinct points are dealt to blocks of about `block` by ranges of both, and the blocks of a diagonal
     are worked on side by side, knowing of all blocks before them only the best point of each front in their own ranges
-    and the last front beyond; so 2 * sqrt(points / block) - 1 rounds, whatever the number of fronts. More: see `_ranks_many`.
+    and the last front beyond; so 2 * sqrt(points / block) - 1 rounds, whatever the number of fronts. Three: as many rounds, see
+    `_ranks_three`. More: every pair may have to be compared, see `_ranks_many`.
     """
     names = [f"_o{k}" for k in range(len(objectives))]
     o = [F.col(c).cast("double").alias(n) for c, n in zip(objectives, names, strict=True)]
@@ -134,6 +136,8 @@ def pareto_ranks(df: DataFrame, objectives: list[str], block: int = 200_000) ->
         ranks = renumber(points.withColumn("_k", -F.col("_o0")), ["_k"], "front").select("_o0", (F.col("front") - 1).cast("int").alias("front"))
     elif len(names) == 2:
         ranks = _ranks_two(points, max(1, math.ceil(math.sqrt(n / block))))
+    elif len(names) == 3:
+        ranks = _ranks_three(points, names, max(1, math.ceil(math.sqrt(n / block))))
     else:
         ranks = _ranks_many(points, names)
     return d.join(ranks, names, "left").drop(*names)
@@ -187,8 +191,77 @@ def _ranks_two(points: DataFrame, cuts: int) -> DataFrame:
     return done.select("_o0", "_o1", "front")
 
 
+def _sweep(a: np.ndarray, b: np.ndarray, c: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The front of each point of a block; known: fronts that are given, else -1.
+
+    Points are taken in falling order of a, b and c. Of each front the points met so far that are greatest in b and c are kept, b rising
+    and c falling. Who has a point of one front above has one of each front before, so that the last such front is found by halving.
+    """
+    out, rows = np.empty(len(a), np.int32), np.lexsort((-c, -b, -a))
+    steps: list[tuple[list, list]] = []
+    for k, y, z, given in zip(rows.tolist(), b[rows].tolist(), c[rows].tolist(), known[rows].tolist(), strict=True):
+        front = given
+        if given < 0:
+            front, beyond = 0, len(steps)
+            while front < beyond:
+                middle = (front + beyond) // 2
+                ys, zs = steps[middle]
+                at = bisect_left(ys, y)
+                if at < len(ys) and zs[at] >= z:
+                    front = middle + 1
+                else:
+                    beyond = middle
+        out[k] = front
+        while len(steps) <= front:
+            steps.append(([], []))
+        ys, zs = steps[front]
+        at = bisect_left(ys, y)
+        if at == len(ys) or zs[at] < z:
+            end = at + (at < len(ys) and ys[at] == y)
+            while at and zs[at - 1] <= z:
+                at -= 1
+            ys[at:end], zs[at:end] = [y], [z]
+    return out
+
+
+def _ranks_three(points: DataFrame, names: list[str], cuts: int) -> DataFrame:
+    """Three objectives: blocks by ranges of the two that take most values, those of a diagonal side by side as in `_ranks_two`.
+
+    Of blocks that are beyond in one of these and share the range of the other, a block needs of each front the points that are greatest
+    in that other and the third objective; of blocks beyond in both, the greatest third objective of each front.
+    """
+    many = points.agg(*[F.approx_count_distinct(n).alias(n) for n in names]).first()
+    a, b, c = sorted(names, key=lambda n: -many[n])
+    probs = [k / cuts for k in range(1, cuts)]
+    at = points.approxQuantile([a, b], probs, 0.1 / cuts) if probs else [[], []]
+    place = lambda c, q: F.size(F.filter(F.array(*map(F.lit, q)), lambda v: F.col(c) < v)) if q else F.lit(0)
+    points = stored(points.withColumns({"_i": place(a, at[0]), "_j": place(b, at[1])}))
+    path, done = folder(points.sparkSession), None
+    shape = "_i int, _j int, " + ", ".join(f"{n} double" for n in names) + ", front int"
+    columns, top = ["_i", "_j", *names, "front"], F.lit(float("inf"))
+
+    def fronts(rows: pd.DataFrame) -> pd.DataFrame:
+        known = rows["front"].fillna(-1).to_numpy().astype(np.int64)
+        return rows.assign(front=_sweep(*(rows[n].to_numpy() for n in (a, b, c)), known))[known < 0][columns]
+
+    def greatest(of: str, own: str, other: str) -> DataFrame:
+        """Of each front in a range the points that no other is above, in the objectives `own` and c."""
+        w = W.partitionBy(of, "front").orderBy(F.col(own).desc(), F.col(c).desc()).rowsBetween(W.unboundedPreceding, -1)
+        return done.withColumn("_z", F.max(c).over(w)).where(f"_z IS NULL OR {c} > _z").withColumns({other: top, "_j" if of == "_i" else "_i": F.lit(diagonal) - F.col(of)})
+
+    for diagonal in range(2 * cuts - 1):
+        rows = mine = points.where(F.col("_i") + F.col("_j") == diagonal).withColumn("front", F.lit(None).cast("int")).select(*columns)
+        if done is not None:
+            last = done.groupBy("_i", "_j", "front").agg(F.max(c).alias(c)).withColumn("_x", F.explode(F.sequence(F.lit(0), F.lit(cuts - 1)))).where((F.col("_x") > F.col("_i")) & (F.lit(diagonal) - F.col("_x") > F.col("_j")))
+            beyond = last.groupBy("_x", "front").agg(F.max(c).alias(c)).withColumns({"_i": F.col("_x"), "_j": F.lit(diagonal) - F.col("_x"), a: top, b: top})
+            for known in (greatest("_i", a, b), greatest("_j", b, a), beyond):
+                rows = rows.unionByName(known.select(*columns).join(mine.select("_i", "_j").distinct(), ["_i", "_j"], "left_semi"))
+        done = stored(rows.groupBy("_i", "_j").applyInPandas(fronts, shape), path)
+    return done.select(*names, "front")
+
+
 def _ranks_many(points: DataFrame, names: list[str], block: int = 4096) -> DataFrame:
-    """Three and more objectives: points in falling order, a block of them after the other.
+    """Any number of objectives: points in falling order, a block of them after the other.
 
     A row's front is settled in its block; the block (of bounded size) is then held against all later rows, which
     are spread over the tasks. As every pair may have to be compared, the work grows with the square of the points.

@@ -89,3 +89,26 @@ def test_a_link_stands_out_from_shuffles(spark):
     d = spark.range(400).selectExpr("id", "id % 2 AS k", "CAST(id * 7919 % 400 AS DOUBLE) AS x").withColumn("y", F.when(F.col("k") == 0, F.col("x")).otherwise((F.col("id") * 104729 + 13 * F.col("id") % 7) % 400.0))
     got = {r.k: r for r in X.mi_significance(d, ["k"], "x", "y", ["id"], 20, 6).collect()}
     assert got[0].significant and got[0].mi > 1
+
+
+@pytest.mark.parametrize("values, block", [((8, 8, 8), 20), ((10**6, 10**6, 10**6), 12), ((1, 50, 7), 25), ((1000, 3, 3), 15), ((40, 1, 1), 5)])
+def test_three_objectives_in_blocks(spark, values, block):
+    r = random.Random(sum(values) + block)
+    points = [tuple(float(r.randrange(v)) for v in values) for _ in range(400)]
+    points += [(float("inf"), 0.0, 1.0), (0.0, float("inf"), float("inf")), (float("-inf"), 2.0, 2.0)]
+    d = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "id long, f0 double, f1 double, f2 double")
+    got = {x.id: x.front for x in X.pareto_ranks(d, ["f0", "f1", "f2"], block).collect()}
+    want = plain_fronts(points)
+    assert got == {i: want[p] for i, p in enumerate(points)}
+
+
+def test_three_objectives_take_few_rounds(spark, monkeypatch):
+    calls, plain = [], X.stored
+    monkeypatch.setattr(X, "stored", lambda *a: calls.append(1) or plain(*a))
+    d = spark.range(20000).selectExpr("id", "id * 7919 % 10007 AS f0", "id * 31 % 50 AS f1", "id * 37 % 101 AS f2")
+    got = X.pareto_ranks(d, ["f0", "f1", "f2"]).orderBy("id").toPandas()
+    assert len(calls) < 6
+    v, front = got[["f0", "f1", "f2"]].to_numpy(float), got["front"].to_numpy()
+    for k in range(0, 20000, 500):
+        over = (v[None] >= v[k : k + 500, None]).all(axis=2) & (v[None] > v[k : k + 500, None]).any(axis=2)
+        assert (np.where(over, front[None] + 1, 0).max(axis=1) == front[k : k + 500]).all()
